@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, simhash
+from . import exact, mixing, simhash, substring, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring": substring.op2_substring,
+        "op3_tokens": tokens.op3_tokens,
         "op6_mix": mixing.op6_mix,
         "op9_exact": exact.op9_exact,
         "op10_simhash": simhash.op10_simhash,
@@ -18,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL}
+    return {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL}
