@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinloom.session import materialise, shared_dir, shared_path
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "bounded_sample", "keep_ids", "materialise", "mix64", "n_words", "prefix_hash", "shared_dir", "shared_path", "span_hash"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "attach", "bounded_sample", "keep_ids", "materialise", "mix64", "n_words", "prefix_hash", "shared_dir", "shared_path", "span_hash"]
 
 #: The whitespace of the word rule: U+0020 and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +28,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def attach(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Inner join on ``on``; ``small`` is broadcast if counted to have few rows, else both sides are shuffled."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(small) if few else small, on)
+
+
 def bounded_sample(df: DataFrame, key: str, label: str, per_class: int, most_classes: int = 1000) -> DataFrame:
     """About ``per_class`` rows of each value of ``label`` (all, if it has fewer), drawn by the hash of ``key``.
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, simhash, substring, tokens
+from . import exact, language, mixing, quality, simhash, substring, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring": substring.op2_substring,
         "op3_tokens": tokens.op3_tokens,
+        "op5_language": language.op5_language,
         "op6_mix": mixing.op6_mix,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_quality": quality.op8_quality,
         "op9_exact": exact.op9_exact,
         "op10_simhash": simhash.op10_simhash,
     }
