@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontaminate, exact, language, mixing, quality, simhash, substring, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substring": substring.op2_substring,
         "op3_tokens": tokens.op3_tokens,
         "op5_language": language.op5_language,

@@ -24,7 +24,7 @@ from .common import attach, bounded_sample
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting")
 BEGINNING = 5
 #: Most mined terms, and the least rows and score that a term needs.
-MOST_TERMS, LEAST_ROWS, LEAST_SCORE = 300, 3, 4.0
+MOST_TERMS, LEAST_ROWS, LEAST_SCORE = 300, 5, 5.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +72,7 @@ def design(votes: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior probability of class 1 for each row. known: 0, 1, or -1 where there is no label.
 
-    Each voter fires with one rate in each class. Rows with labels start the rates; then all rows count by their
+    Each voter fires with one rate in each class and else abstains; that no term fires is a vote of its own. Rows with labels start the rates; then all rows count by their
     posterior, a label being one strong voter among the others. Residual correlations of voters given the class cut
     their log-odds: a voter's weight is 1 over 1 plus the sum of its positive correlations.
     """
@@ -97,7 +97,9 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> np.nd
             tie = np.clip(rest.T @ rest / len(rest), 0, 1)
             np.fill_diagonal(tie, 0)
             weight = 1 / (1 + np.where(tie > 0.3, tie, 0).sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(on / off)) + (1 - v) @ (weight * np.log((1 - on) / (1 - off)))
+        none = ~v[:, :-N_PATTERNS].any(axis=1)
+        rate = [((none[rows] * q).sum() + 0.5) / (q.sum() + 1) for q in (p, 1 - p)]
+        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(on / off)) + none * np.log(rate[0] / rate[1])
         odds += np.where(known == 1, 4.0, np.where(known == 0, -4.0, 0.0))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         rows = np.ones(len(v), bool)
@@ -139,7 +141,7 @@ def mine(rows: DataFrame) -> list[str]:
     counts = bags.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     p = (F.col("a") + F.col("b")) / F.lit(toxic + clean)
     score = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt(p * (1 - p) * F.lit(1 / toxic + 1 / clean) + 1e-12)
-    found = counts.where((F.col("a") >= LEAST_ROWS) & (F.col("a") / toxic > 8 * F.col("b") / clean)).withColumn("score", score).where(F.col("score") >= LEAST_SCORE)
+    found = counts.where((F.col("a") >= LEAST_ROWS) & (F.col("a") / toxic > 20 * F.col("b") / clean)).withColumn("score", score).where(F.col("score") >= LEAST_SCORE)
     out = sorted(r["term"] for r in found.orderBy(F.desc("score"), "term").limit(MOST_TERMS).collect())
     bags.unpersist()
     return out
