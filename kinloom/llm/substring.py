@@ -28,7 +28,7 @@ from .common import _grown, _R, mix64, prefix_hash, span_hash
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
 _POS = 36
 _SPACE = np.zeros(256, dtype=bool)
