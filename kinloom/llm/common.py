@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from kinloom.session import materialise, shared_dir, shared_path
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "attach", "bounded_sample", "keep_ids", "materialise", "mix64", "n_words", "prefix_hash", "shared_dir", "shared_path", "span_hash"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "attach", "bounded_sample", "keep_ids", "materialise", "missing_ids", "mix64", "n_words", "prefix_hash", "shared_dir", "shared_path", "span_hash"]
 
 #: The whitespace of the word rule: U+0020 and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: A side with at most so many rows of one or two long columns (some 64 MB) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: A side with at most so many rows of one or two long columns (some 32 MB) may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -23,11 +23,18 @@ def n_words(text: Column) -> Column:
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``ids``. The ids are broadcast if counted to be few, else both sides are shuffled."""
-    ids = ids.select(on).distinct()
+    ids = materialise(ids.select(on).distinct(), "ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def missing_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is not in ``ids``, null included; joined as in keep_ids()."""
+    ids = materialise(ids.select(on).distinct(), "missing-ids")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_anti")
+
+
 def attach(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     """Inner join on ``on``; ``small`` is broadcast if counted to have few rows, else both sides are shuffled."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

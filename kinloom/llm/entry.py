@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontaminate, exact, language, license, mixing, quality, simhash, substring, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substring": substring.op2_substring,
         "op3_tokens": tokens.op3_tokens,
+        "op4_license": license.op4_license,
         "op5_language": language.op5_language,
         "op6_mix": mixing.op6_mix,
         "op7_toxicity": toxicity.op7_toxicity,

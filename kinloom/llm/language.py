@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import bounded_sample
 
@@ -138,13 +139,18 @@ def fit(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text_c
     return model
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for each row. Null texts and texts without a letter: ``und`` and 0."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with two more columns, lang_pred and score, which replace any of those names.
+
+    Null texts and texts without a letter: ``und`` and 0.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            texts = b.column(1).to_pylist()
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            texts = b.column(at).to_pylist()
             real = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if real:
@@ -152,9 +158,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 scores[real] = score
                 for k, n in zip(real, found, strict=True):
                     names[k] = n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,7 +174,7 @@ def identify(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; rows that repeat a doc_id are each predicted; extra columns are ignored.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    out = predict(docs, model)
+    out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
