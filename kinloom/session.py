@@ -19,7 +19,7 @@ SETTINGS = {
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    conf = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false"} | more
+    conf = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | more
     return SparkSession.builder.master(master).appName("kinloom").config(map=conf).getOrCreate()
 
 
