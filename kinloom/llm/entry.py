@@ -9,20 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, exact, language, license, mixing, quality, simhash, substring, tokens, toxicity
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_decontaminate": decontaminate.op1_decontaminate,
-        "op2_substring": substring.op2_substring,
-        "op3_tokens": tokens.op3_tokens,
-        "op4_license": license.op4_license,
-        "op5_language": language.op5_language,
-        "op6_mix": mixing.op6_mix,
-        "op7_toxicity": toxicity.op7_toxicity,
-        "op8_quality": quality.op8_quality,
-        "op9_exact": exact.op9_exact,
-        "op10_simhash": simhash.op10_simhash,
-    }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL}
+queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_substring": substring.op2_substring,
+    "op3_tokens": tokens.op3_tokens,
+    "op4_license": license.op4_license,
+    "op5_language": language.op5_language,
+    "op6_mix": mixing.op6_mix,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality": quality.op8_quality,
+    "op9_exact": exact.op9_exact,
+    "op10_simhash": simhash.op10_simhash,
+}
+
+sql: dict[str, str] = {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL}
