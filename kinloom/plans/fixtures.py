@@ -23,7 +23,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
 
     @cached_property
     def people(self) -> DataFrame:
@@ -194,9 +195,9 @@ crow AS (
   UNION ALL SELECT *, seq * 10 + 1, 'Re ' || name, 'people/' || entity_id || '/2' FROM people WHERE seq % 10 = 0),
 ckind AS (
   SELECT *, CASE WHEN seq % 17 = 0 THEN 'bad' WHEN seq % 13 = 0 THEN 'noemail' WHEN seq % 11 = 0 THEN 'noname' WHEN seq % 7 = 0 THEN 'flat' ELSE 'full' END AS kind,
-    CASE WHEN seq % 4 = 0 THEN ' ' || lower(company) || '  group' ELSE company END AS comp, 1704067200 + (seq % 1000) * 3600 AS at FROM crow),
+    CASE WHEN seq % 4 = 0 THEN ' ' || lower(company) || '  group' ELSE company END AS comp, 1704067200 + (seq % 1000) * 3600 AS t_s FROM crow),
 contacts AS (
-  SELECT raw_event_id, sid, at, seq, entity_id, kind, title AS raw_title, comp, email, CASE WHEN kind = 'noname' THEN 'Unknown' ELSE disp END AS full_name,
+  SELECT raw_event_id, sid, t_s, seq, entity_id, kind, title AS raw_title, comp, email, CASE WHEN kind = 'noname' THEN 'Unknown' ELSE disp END AS full_name,
     CASE WHEN kind <> 'noname' THEN split_part(disp, ' ', 1) END AS first_name, CASE WHEN kind <> 'noname' THEN substr(replace(disp, '  ', ' '), strpos(disp, ' ') + 1) END AS last_name,
     CASE WHEN kind = 'noemail' THEN '' ELSE email END AS emails, CASE WHEN kind = 'full' THEN '+1-' || entity_id ELSE '' END AS phones,
     CASE WHEN kind = 'noname' THEN 'missing_contact_name' ELSE '' END AS warnings,
@@ -211,18 +212,18 @@ att AS (SELECT k, email FROM sup WHERE k IN (SELECT o_orderkey FROM op) UNION SE
 atts AS (SELECT k, string_agg(email, ',' ORDER BY email) AS who, count(*) AS n FROM att GROUP BY k),
 mail AS (SELECT o_orderkey AS k, 'm' || o_orderkey AS sid, o_orderkey + 50000000000 AS raw_event_id, lower(name) || ' <' || email || '>' AS sender, email, coalesce(to_list, '') AS recipients,
     CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN 'old' END AS subject, o_orderstatus AS snippet, 'th' || o_orderkey % 1000 AS thread_id,
-    CAST(epoch(o_orderdate) AS BIGINT) + CASE WHEN o_orderkey % 4 = 3 THEN 86400 ELSE 0 END AS at FROM op LEFT JOIN sups ON k = o_orderkey),
+    CAST(floor(epoch(o_orderdate)) AS BIGINT) + CASE WHEN o_orderkey % 4 = 3 THEN 86400 ELSE 0 END AS t_s FROM op LEFT JOIN sups ON k = o_orderkey),
 meet AS (SELECT o_orderkey AS k, 'e' || o_orderkey AS sid, o_orderkey + 70000000000 AS raw_event_id, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderpriority END AS summary, 'Room ' || o_orderkey % 5 AS location, who, n,
-    CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS start_at, CAST(epoch(o_orderdate) AS BIGINT) AS at FROM op JOIN atts ON k = o_orderkey)"""
+    CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS start_at, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t_s FROM op JOIN atts ON k = o_orderkey)"""
 INTER = ORDERS + """,
 inter AS (
-  SELECT 'email' AS kind, m.at, m.email AS actor, s.email AS target, m.subject AS topic, m.sid FROM mail m JOIN sup s ON s.k = m.k
-  UNION ALL SELECT 'meeting', m.at, a.email, b.email, m.summary, m.sid FROM meet m JOIN att a ON a.k = m.k JOIN att b ON b.k = m.k WHERE a.email <> b.email)"""
+  SELECT 'email' AS kind, m.t_s, m.email AS actor, s.email AS target, m.subject AS topic, m.sid FROM mail m JOIN sup s ON s.k = m.k
+  UNION ALL SELECT 'meeting', m.t_s, a.email, b.email, m.summary, m.sid FROM meet m JOIN att a ON a.k = m.k JOIN att b ON b.k = m.k WHERE a.email <> b.email)"""
 KNOWS = PEOPLE + """,
-os AS (SELECT DISTINCT o_orderkey AS k, CAST(epoch(o_orderdate) AS BIGINT) AS at, 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-who AS (SELECT DISTINCT k, at, c AS p FROM os UNION SELECT DISTINCT k, at, s FROM os),
-pairs AS (SELECT 'email' AS kind, at, c AS from_id, s AS to_id, 'm' || k AS event FROM os UNION ALL SELECT 'meeting', a.at, a.p, b.p, 'e' || a.k FROM who a JOIN who b ON a.k = b.k WHERE a.p <> b.p),
-knows AS (SELECT from_id, to_id, count(*) AS interaction_count, round(least(1e0, count(*) / 1e1), 4) AS strength, max(at) AS last_at FROM pairs GROUP BY 1, 2),
+os AS (SELECT DISTINCT o_orderkey AS k, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t_s, 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+who AS (SELECT DISTINCT k, t_s, c AS p FROM os UNION SELECT DISTINCT k, t_s, s FROM os),
+pairs AS (SELECT 'email' AS kind, t_s, c AS from_id, s AS to_id, 'm' || k AS event FROM os UNION ALL SELECT 'meeting', a.t_s, a.p, b.p, 'e' || a.k FROM who a JOIN who b ON a.k = b.k WHERE a.p <> b.p),
+knows AS (SELECT from_id, to_id, count(*) AS interaction_count, round(least(1e0, count(*) / 1e1), 4) AS strength, max(t_s) AS last_at FROM pairs GROUP BY 1, 2),
 anchors AS (SELECT 'u:' || c_mktsegment AS user_id, 'c' || c_custkey AS anchor FROM (
   SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_custkey DESC) AS r
   FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey) WHERE r = 1)"""

@@ -86,9 +86,9 @@ def facts(t: Tables) -> DataFrame:
     return t.pair_facts.select(F.lit("t1").alias("tenant_id"), F.col("from_id").alias("actor_id"), F.col("to_id").alias("target_id"), F.col("kind").alias("touchpoint_type"), "occurred_at", F.col("event").alias("source_event_id"))
 
 
-@query("g9_interacted", f"WITH {KNOWS} SELECT from_id AS actor_id, to_id AS target_id, event AS source_event_id, kind AS channel, at FROM pairs")
+@query("g9_interacted", f"WITH {KNOWS} SELECT from_id AS actor_id, to_id AS target_id, event AS source_event_id, kind AS channel, t_s FROM pairs")
 def g9(t: Tables) -> DataFrame:
-    return G.interacted_with(facts(t)).select("actor_id", "target_id", "source_event_id", "channel", F.unix_seconds("occurred_at").alias("at"))
+    return G.interacted_with(facts(t)).select("actor_id", "target_id", "source_event_id", "channel", F.unix_seconds("occurred_at").alias("t_s"))
 
 
 INTRO = """,
@@ -430,12 +430,12 @@ def o8(t: Tables) -> DataFrame:
     return M.visible_children(t.nation, heads, "n_nationkey").select("n_name")
 
 
-@query("o9_register", "SELECT 't' || user_id % 10 AS tenant_id, user_id, CAST(epoch(max(ts)) AS BIGINT) AS at FROM events GROUP BY 1, 2")
+@query("o9_register", "SELECT 't' || user_id % 10 AS tenant_id, user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS t_s FROM events GROUP BY 1, 2")
 def o9(t: Tables) -> DataFrame:
     e = t.events.select(F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("tenant_id"), "user_id", F.col("ts").alias("occurred_at"))
     early = F.col("occurred_at") < F.lit("2024-01-10").cast("timestamp")
     known = e.where(early).groupBy("tenant_id", "user_id").agg(F.max("occurred_at").alias("updated_at"))
-    return M.register(known, e.where(~early)).select("tenant_id", "user_id", F.unix_seconds("updated_at").alias("at"))
+    return M.register(known, e.where(~early)).select("tenant_id", "user_id", F.unix_seconds("updated_at").alias("t_s"))
 
 
 # Streams
@@ -474,9 +474,9 @@ def st4(t: Tables) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path).select("user_id", "event_type")
 
 
-@query("st5_cursor", "SELECT user_id, CAST(epoch(max(ts)) AS BIGINT) AS at FROM events GROUP BY user_id")
+@query("st5_cursor", "SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS t_s FROM events GROUP BY user_id")
 def st5(t: Tables) -> DataFrame:
-    return streamed(t, ["user_id"], ["ts"], "user_id", "ts").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return streamed(t, ["user_id"], ["ts"], "user_id", "ts").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t_s"))
 
 
 @query("u1_upsert", "SELECT l_orderkey, CAST(max(l_linenumber) AS INTEGER) AS l_linenumber FROM lineitem GROUP BY l_orderkey")

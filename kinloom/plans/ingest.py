@@ -21,7 +21,7 @@ query = reg.query
 
 
 def secs(c: str = "occurred_at") -> Column:
-    return F.unix_seconds(F.col(c)).alias("at")
+    return F.unix_seconds(F.col(c)).alias("t_s")
 
 
 def joined(c: str) -> Column:
@@ -51,9 +51,9 @@ def calendar_files(t: Tables) -> DataFrame:
 
 
 NOW = "1009843200"
-S1 = f"SELECT 'google_contacts' AS source, sid AS source_event_id, CASE WHEN seq % 5 <> 0 AND kind <> 'bad' THEN at ELSE {NOW} END AS at FROM ckind"
-S2 = f"SELECT 'gmail' AS source, sid AS source_event_id, CASE WHEN k % 4 = 1 THEN at ELSE {NOW} END AS at FROM mail"
-S3 = "SELECT 'google_calendar' AS source, sid AS source_event_id, at FROM meet"
+S1 = f"SELECT 'google_contacts' AS source, sid AS source_event_id, CASE WHEN seq % 5 <> 0 AND kind <> 'bad' THEN t_s ELSE {NOW} END AS t_s FROM ckind"
+S2 = f"SELECT 'gmail' AS source, sid AS source_event_id, CASE WHEN k % 4 = 1 THEN t_s ELSE {NOW} END AS t_s FROM mail"
+S3 = "SELECT 'google_calendar' AS source, sid AS source_event_id, t_s FROM meet"
 
 
 @query("s1_contacts", f"WITH {CONTACTS} {S1}")
@@ -155,8 +155,8 @@ def s14(t: Tables) -> DataFrame:
 
 
 @query("s15_cursor", """
-WITH m AS (SELECT user_id, max(ts) AS at FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id)
-SELECT e.event_id, e.user_id FROM events e LEFT JOIN m ON e.user_id = m.user_id WHERE m.at IS NULL OR e.ts > m.at""")
+WITH m AS (SELECT user_id, max(ts) AS t_s FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id)
+SELECT e.event_id, e.user_id FROM events e LEFT JOIN m ON e.user_id = m.user_id WHERE m.t_s IS NULL OR e.ts > m.t_s""")
 def s15(t: Tables) -> DataFrame:
     """Marks are of what came before the fifteenth; what is beyond them is new."""
     e = t.events.withColumn("occurred_at", F.col("ts"))
@@ -179,7 +179,7 @@ def c2(t: Tables) -> DataFrame:
     return C.flatten_contacts(C.route(t.raw_contacts)).select("raw_event_id", "full_name", "first_name", "last_name", joined("emails"), joined("phones"), "company", "title", joined("warnings"))
 
 
-@query("c3_mail", f"WITH {ORDERS} SELECT raw_event_id, thread_id, subject, replace(replace(sender, lower(split_part(sender, ' <', 1)), name), email, upper(email)) AS sender, recipients, snippet, at, CASE WHEN subject IS NULL THEN 'missing_subject' ELSE '' END AS warnings FROM mail JOIN (SELECT o_orderkey, name FROM op) ON o_orderkey = k")
+@query("c3_mail", f"WITH {ORDERS} SELECT raw_event_id, thread_id, subject, replace(replace(sender, lower(split_part(sender, ' <', 1)), name), email, upper(email)) AS sender, recipients, snippet, t_s, CASE WHEN subject IS NULL THEN 'missing_subject' ELSE '' END AS warnings FROM mail JOIN (SELECT o_orderkey, name FROM op) ON o_orderkey = k")
 def c3(t: Tables) -> DataFrame:
     return C.flatten_mail(C.route(t.raw_mail)).select("raw_event_id", "thread_id", "subject", "sender", joined("recipients"), "snippet", secs(), joined("warnings"))
 
@@ -194,12 +194,12 @@ def c5(t: Tables) -> DataFrame:
     return C.failures(t.routed)
 
 
-@query("c6_header_date", "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END AS at FROM orders")
+@query("c6_header_date", "SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) - CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END AS t_s FROM orders")
 def c6(t: Tables) -> DataFrame:
     """Dates as headers write them: named zones, an offset, none."""
     k = F.col("o_orderkey") % 3
     header = F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.when(k == 0, " GMT").when(k == 1, " +0200").otherwise(""))
-    return t.orders.select("o_orderkey", F.unix_seconds(X.header_date(header)).alias("at"))
+    return t.orders.select("o_orderkey", F.unix_seconds(X.header_date(header)).alias("t_s"))
 
 
 @query("c7_name_split", f"WITH {CONTACTS} SELECT raw_event_id, split_part(disp, ' ', 1) AS first_name, substr(replace(disp, '  ', ' '), strpos(disp, ' ') + 1) AS last_name FROM ckind")
@@ -315,12 +315,12 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(F.col("touchpoint_type").alias("kind"), "actor", "target", "topic", "source_event_id", secs())
 
 
-@query("r1_mail", f"WITH {INTER} SELECT kind, actor, target, topic, sid AS source_event_id, at FROM inter WHERE kind = 'email'")
+@query("r1_mail", f"WITH {INTER} SELECT kind, actor, target, topic, sid AS source_event_id, t_s FROM inter WHERE kind = 'email'")
 def r1(t: Tables) -> DataFrame:
     return shown(R.from_mail(t.mail))
 
 
-@query("r2_meetings", f"WITH {INTER} SELECT kind, actor, target, topic, sid AS source_event_id, at FROM inter WHERE kind = 'meeting'")
+@query("r2_meetings", f"WITH {INTER} SELECT kind, actor, target, topic, sid AS source_event_id, t_s FROM inter WHERE kind = 'meeting'")
 def r2(t: Tables) -> DataFrame:
     return shown(R.from_meetings(t.meetings))
 
@@ -330,12 +330,12 @@ def r3(t: Tables) -> DataFrame:
     return C.flatten_mail(C.route(t.raw_mail)).select("raw_event_id", X.address(F.col("sender")).alias("address"))
 
 
-@query("r4_facts", f"WITH {INTER} SELECT split_part(actor, '@', 1) AS actor_id, split_part(target, '@', 1) AS target_id, kind, at, max(sid) AS source_event_id FROM inter GROUP BY ALL")
+@query("r4_facts", f"WITH {INTER} SELECT split_part(actor, '@', 1) AS actor_id, split_part(target, '@', 1) AS target_id, kind, t_s, max(sid) AS source_event_id FROM inter GROUP BY ALL")
 def r4(t: Tables) -> DataFrame:
     return R.facts(t.interactions, t.entities).select("actor_id", "target_id", F.col("touchpoint_type").alias("kind"), secs(), "source_event_id")
 
 
-STRENGTH = "SELECT actor, target, count(*) AS interaction_count, round(least(1e0, count(*) / 1e1), 4) AS strength, min(at) AS first_at, max(at) AS last_at FROM inter GROUP BY actor, target"
+STRENGTH = "SELECT actor, target, count(*) AS interaction_count, round(least(1e0, count(*) / 1e1), 4) AS strength, min(t_s) AS first_at, max(t_s) AS last_at FROM inter GROUP BY actor, target"
 
 
 @query("r5_strength", f"WITH {INTER} {STRENGTH}")
@@ -343,8 +343,8 @@ def r5(t: Tables) -> DataFrame:
     return R.strength(t.interactions).select("actor", "target", "interaction_count", "strength", F.unix_seconds("first_at").alias("first_at"), F.unix_seconds("last_at").alias("last_at"))
 
 
-@query("r6_evidence", f"""WITH {INTER}, n AS (SELECT *, row_number() OVER (PARTITION BY actor, target ORDER BY at DESC, kind DESC, sid DESC) AS r FROM inter)
-SELECT actor, target, string_agg(kind || ':' || sid, ',' ORDER BY at, kind, sid) AS evidence FROM n WHERE r <= 5 GROUP BY actor, target""")
+@query("r6_evidence", f"""WITH {INTER}, n AS (SELECT *, row_number() OVER (PARTITION BY actor, target ORDER BY t_s DESC, kind DESC, sid DESC) AS r FROM inter)
+SELECT actor, target, string_agg(kind || ':' || sid, ',' ORDER BY t_s, kind, sid) AS evidence FROM n WHERE r <= 5 GROUP BY actor, target""")
 def r6(t: Tables) -> DataFrame:
     return R.evidence(t.interactions).select("actor", "target", F.array_join(F.transform("evidence", lambda e: F.concat(e["touchpoint_type"], F.lit(":"), e["source_event_id"])), ",").alias("evidence"))
 
@@ -356,13 +356,13 @@ def r7(t: Tables) -> DataFrame:
     return R.upsert_relations(empty, R.strength(t.interactions), t.entities).select("from_id", "to_id", "interaction_count", "strength")
 
 
-DOC1 = "SELECT 'contact_profile' AS doc_type, nullif(emails, '') AS owner_email, replace(full_name, '  ', ' ') || ' | ' || title_t || ' | ' || company_t || CASE WHEN emails = '' THEN '' ELSE ' | ' || emails END AS content, sid AS source_event_id, at FROM tagged"
-DOC2 = "SELECT 'email_summary' AS doc_type, email AS owner_email, CASE WHEN subject IS NULL THEN snippet ELSE subject || ' | ' || snippet END AS content, sid AS source_event_id, at FROM mail"
-DOC3 = "SELECT 'calendar_summary' AS doc_type, split_part(who, ',', 1) AS owner_email, CASE WHEN summary IS NULL THEN location ELSE summary || ' | ' || location END AS content, sid AS source_event_id, at FROM meet"
+DOC1 = "SELECT 'contact_profile' AS doc_type, nullif(emails, '') AS owner_email, replace(full_name, '  ', ' ') || ' | ' || title_t || ' | ' || company_t || CASE WHEN emails = '' THEN '' ELSE ' | ' || emails END AS content, sid AS source_event_id, t_s FROM tagged"
+DOC2 = "SELECT 'email_summary' AS doc_type, email AS owner_email, CASE WHEN subject IS NULL THEN snippet ELSE subject || ' | ' || snippet END AS content, sid AS source_event_id, t_s FROM mail"
+DOC3 = "SELECT 'calendar_summary' AS doc_type, split_part(who, ',', 1) AS owner_email, CASE WHEN summary IS NULL THEN location ELSE summary || ' | ' || location END AS content, sid AS source_event_id, t_s FROM meet"
 BOTH2 = CONTACTS + ORDERS[len(ORDERS.split(",\nop AS", 1)[0]) :] + f""",
 docs AS ({DOC1} UNION ALL {DOC2} UNION ALL {DOC3}),
 bound AS (SELECT d.*, p.entity_id FROM docs d LEFT JOIN people p ON p.email = d.owner_email),
-store AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, doc_type, content ORDER BY at DESC, source_event_id DESC) AS r FROM bound WHERE entity_id IS NOT NULL) WHERE r = 1)"""
+store AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, doc_type, content ORDER BY t_s DESC, source_event_id DESC) AS r FROM bound WHERE entity_id IS NOT NULL) WHERE r = 1)"""
 
 
 def doc_rows(df: DataFrame) -> DataFrame:
@@ -454,7 +454,7 @@ def d11(t: Tables) -> DataFrame:
 
 
 @query("d12_keywords", r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), f AS (SELECT doc_id, list_filter(ws, x -> length(x) >= 3) AS ws FROM w),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), f AS (SELECT doc_id, list_filter(ws, lambda x: length(x) >= 3) AS ws FROM w),
 d AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM f) GROUP BY doc_id, word),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM d)
 SELECT w.doc_id, coalesce(string_agg(word, ' ' ORDER BY n), '') AS keywords FROM w LEFT JOIN (SELECT * FROM r WHERE n <= 12) k ON k.doc_id = w.doc_id GROUP BY w.doc_id""")
@@ -489,7 +489,7 @@ def d15(t: Tables) -> DataFrame:
 
 
 @query("d16_knn", """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM p)
 SELECT query_id, vec_id, round(c, 6) AS cosine, rank FROM r WHERE rank <= 5""")
@@ -518,8 +518,8 @@ def d17(t: Tables) -> DataFrame:
 
 
 @query("d18_ttl", """
-WITH l AS (SELECT event_type AS namespace, user_id AS key, max(ts) AS at FROM events GROUP BY 1, 2)
-SELECT namespace, count(*) AS n FROM l WHERE at + INTERVAL 90 DAY > TIMESTAMP '2024-04-28 00:00:00' GROUP BY namespace""")
+WITH l AS (SELECT event_type AS namespace, user_id AS key, max(ts) AS t_s FROM events GROUP BY 1, 2)
+SELECT namespace, count(*) AS n FROM l WHERE t_s + INTERVAL 90 DAY > TIMESTAMP '2024-04-28 00:00:00' GROUP BY namespace""")
 def d18(t: Tables) -> DataFrame:
     e = t.events.select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), "value", F.col("ts").alias("put_at"))
     empty = e.withColumn("expires_at", F.col("put_at")).where(F.lit(False))
