@@ -35,8 +35,13 @@ def companies(entities: DataFrame) -> DataFrame:
 
 def topic_mentions(entities: DataFrame) -> DataFrame:
     """G3, exploded: a row for each list element of each entity, with the list's name as its source."""
-    tagged = F.flatten(F.array(*[F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), lambda x, k=k: F.struct(F.trim(x).alias("name"), F.lit(k).alias("source"))) if k in entities.columns else F.array().cast("array<struct<name:string,source:string>>") for k in LISTS]))
-    rows = entities.select("tenant_id", "entity_id", "seq", F.explode(tagged).alias("t"))
+
+    def tagged(k: str) -> Column:
+        if k not in entities.columns:
+            return F.array().cast("array<struct<name:string,source:string>>")
+        return F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), lambda x: F.struct(F.trim(x).alias("name"), F.lit(k).alias("source")))
+
+    rows = entities.select("tenant_id", "entity_id", "seq", F.explode(F.concat(*map(tagged, LISTS))).alias("t"))
     return rows.select("tenant_id", "entity_id", "seq", F.col("t.name").alias("topic"), F.col("t.source").alias("source")).where("topic <> ''")
 
 

@@ -34,7 +34,7 @@ class Tables:
         for table, p, title, base in ((self.customer, "c", F.col("c_mktsegment"), 0), (self.supplier, "s", F.lit("SUPPLIER"), 1_000_000_000)):
             key = F.col("c_custkey") if p == "c" else F.col("s_suppkey")
             ident = F.concat(F.lit(p), key.cast("string"))
-            rows = table.join(F.broadcast(nation), F.col(f"{p}_nationkey") == F.col("n_nationkey")).select(ident.alias("entity_id"), F.col(f"{p}_name").alias("name"), F.concat(ident, F.lit("@"), F.lower("n_name"), F.lit(".com")).alias("email"), F.col("n_name").alias("company"), title.alias("title"), F.col("r_name").alias("location"), (key + base).alias("seq"))
+            rows = table.join(F.broadcast(nation), F.col(f"{p}_nationkey") == F.col("n_nationkey")).select(ident.alias("entity_id"), F.col(f"{p}_name").alias("name"), F.concat(ident, F.lit("@"), F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")), F.lit(".com")).alias("email"), F.col("n_name").alias("company"), title.alias("title"), F.col("r_name").alias("location"), (key + base).alias("seq"))
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -179,15 +179,15 @@ class Tables:
     def asked(self) -> DataFrame:
         """Queries of every kind for each nation: (query_id, text)."""
         first = self.people.groupBy("company").agg(F.min("name").alias("first"), F.max("name").alias("last"), F.max("email").alias("email"))
-        kinds = [("a", F.concat(F.lit("people at "), "company")), ("b", F.concat(F.lit("intro to "), "first")), ("c", F.concat(F.lit("mail of "), "email")), ("d", F.concat(F.lower("company"), F.lit(".com"))), ("e", F.concat(F.lit("Find the "), "last")), ("f", F.lit("who is the"))]
+        kinds = [("a", F.concat(F.lit("people at "), "company")), ("b", F.concat(F.lit("intro to "), "first")), ("c", F.concat(F.lit("mail of "), "email")), ("d", F.concat(F.replace(F.lower("company"), F.lit("_"), F.lit("-")), F.lit(".com"))), ("e", F.concat(F.lit("Find the "), "last")), ("f", F.lit("who is the"))]
         return first.select("company", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("text")) for k, t in kinds])).alias("q")).select(F.concat("q.k", F.lit(":"), "company").alias("query_id"), "q.text")
 
 
 PEOPLE = """people AS (
-  SELECT 'c' || c_custkey AS entity_id, c_name AS name, 'c' || c_custkey || '@' || lower(n_name) || '.com' AS email, n_name AS company, c_mktsegment AS title, r_name AS location, c_custkey AS seq
+  SELECT 'c' || c_custkey AS entity_id, c_name AS name, 'c' || c_custkey || '@' || replace(lower(n_name), '_', '-') || '.com' AS email, n_name AS company, c_mktsegment AS title, r_name AS location, c_custkey AS seq
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL
-  SELECT 's' || s_suppkey, s_name, 's' || s_suppkey || '@' || lower(n_name) || '.com', n_name, 'SUPPLIER', r_name, 1000000000 + s_suppkey
+  SELECT 's' || s_suppkey, s_name, 's' || s_suppkey || '@' || replace(lower(n_name), '_', '-') || '.com', n_name, 'SUPPLIER', r_name, 1000000000 + s_suppkey
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 CONTACTS = PEOPLE + """,
 crow AS (
@@ -230,5 +230,5 @@ anchors AS (SELECT 'u:' || c_mktsegment AS user_id, 'c' || c_custkey AS anchor F
 ASKED = """firsts AS (SELECT company, min(name) AS first, max(name) AS last, max(email) AS email FROM people GROUP BY company),
 asked AS (
   SELECT 'a:' || company AS query_id, 'people at ' || company AS text, company, first, last, email FROM firsts UNION ALL SELECT 'b:' || company, 'intro to ' || first, company, first, last, email FROM firsts
-  UNION ALL SELECT 'c:' || company, 'mail of ' || email, company, first, last, email FROM firsts UNION ALL SELECT 'd:' || company, lower(company) || '.com', company, first, last, email FROM firsts
+  UNION ALL SELECT 'c:' || company, 'mail of ' || email, company, first, last, email FROM firsts UNION ALL SELECT 'd:' || company, replace(lower(company), '_', '-') || '.com', company, first, last, email FROM firsts
   UNION ALL SELECT 'e:' || company, 'Find the ' || last, company, first, last, email FROM firsts UNION ALL SELECT 'f:' || company, 'who is the', company, first, last, email FROM firsts)"""

@@ -22,18 +22,18 @@ query = reg.query
 
 def tags_of(t: Tables) -> DataFrame:
     """People with lists of topics: their title as a tag, their region as an interest, of every third the company."""
-    return t.entities.withColumns({"tags": F.array("title"), "interests": F.array(F.initcap("location")), "skills": F.when(F.col("seq") % 3 == 0, F.array(F.concat(F.lit(" "), F.lower("company"))))})
+    return t.entities.withColumns({"tags": F.array("title"), "interests": F.array(F.lower("location")), "skills": F.when(F.col("seq") % 3 == 0, F.array(F.concat(F.lit(" "), F.lower("company"))))})
 
 
-MENTIONS = "men AS (SELECT entity_id, seq, title AS topic, 'tags' AS source FROM people UNION ALL SELECT entity_id, seq, upper(location[1]) || lower(location[2:]), 'interests' FROM people UNION ALL SELECT entity_id, seq, lower(company), 'skills' FROM people WHERE seq % 3 = 0), ment AS (SELECT *, 'top_' || regexp_replace(lower(topic), '[^a-z0-9]', '_', 'g') AS topic_id FROM men)"
+MENTIONS = "men AS (SELECT entity_id, seq, title AS topic, 'tags' AS source FROM people UNION ALL SELECT entity_id, seq, lower(location), 'interests' FROM people UNION ALL SELECT entity_id, seq, lower(company), 'skills' FROM people WHERE seq % 3 = 0), ment AS (SELECT *, 'top_' || regexp_replace(lower(topic), '[^a-z0-9]', '_', 'g') AS topic_id FROM men)"
 
 
-@query("g1_person", f"WITH {PEOPLE} SELECT entity_id, name, email AS primary_email, lower(company) || '.com' AS domain, title AS seniority, location FROM people")
+@query("g1_person", f"WITH {PEOPLE} SELECT entity_id, name, email AS primary_email, replace(lower(company), '_', '-') || '.com' AS domain, title AS seniority, location FROM people")
 def g1(t: Tables) -> DataFrame:
     return G.persons(t.entities).drop("tenant_id")
 
 
-@query("g2_company", f"WITH {PEOPLE} SELECT 'cmp_' || lower(company) AS company_id, min_by(company, seq) AS name, min_by(location, seq) AS location, lower(company) || '.com' AS domain FROM people GROUP BY company")
+@query("g2_company", f"WITH {PEOPLE} SELECT 'cmp_' || lower(company) AS company_id, min_by(company, seq) AS name, min_by(location, seq) AS location, replace(lower(company), '_', '-') || '.com' AS domain FROM people GROUP BY company")
 def g2(t: Tables) -> DataFrame:
     return G.companies(t.entities).drop("tenant_id")
 
@@ -140,7 +140,7 @@ def g13(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.slug(F.concat(F.lit(" "), "c_name", F.lit(" & "), "c_mktsegment", F.lit("!"))).alias("slug"))
 
 
-@query("g14_domain", f"WITH {PEOPLE} SELECT entity_id, lower(company) || '.com' AS domain FROM people")
+@query("g14_domain", f"WITH {PEOPLE} SELECT entity_id, replace(lower(company), '_', '-') || '.com' AS domain FROM people")
 def g14(t: Tables) -> DataFrame:
     return t.people.select("entity_id", X.domain(F.upper("email")).alias("domain"))
 
@@ -192,7 +192,7 @@ def s13(t: Tables) -> DataFrame:
 @query("q1_intent", f"""WITH {PEOPLE}, {ASKED}
 SELECT query_id, CASE query_id[1] WHEN 'a' THEN 'company_search' WHEN 'b' THEN 'intro_path' WHEN 'c' THEN 'person_search' WHEN 'd' THEN 'company_search' WHEN 'e' THEN 'person_search' ELSE 'general' END AS intent,
   CASE WHEN query_id[1] = 'b' THEN first END AS target_name, CASE WHEN query_id[1] = 'a' THEN company END AS company, CASE WHEN query_id[1] = 'c' THEN email END AS email,
-  CASE WHEN query_id[1] IN ('c', 'd') THEN lower(company) || '.com' END AS domain, CASE query_id[1] WHEN 'b' THEN lower(first) WHEN 'e' THEN lower(last) ELSE '' END AS name_tokens FROM asked""")
+  CASE WHEN query_id[1] IN ('c', 'd') THEN replace(lower(company), '_', '-') || '.com' END AS domain, CASE query_id[1] WHEN 'b' THEN lower(first) WHEN 'e' THEN lower(last) ELSE '' END AS name_tokens FROM asked""")
 def q1(t: Tables) -> DataFrame:
     return Q.parse(t.asked).select("query_id", "intent", "target_name", "company", "email", "domain", F.array_join("name_tokens", " ").alias("name_tokens"))
 
@@ -210,7 +210,7 @@ def q2(t: Tables) -> DataFrame:
     return Q.by_email(persons(t).drop("domain"), parsed(t, "c").drop("domain")).select("query_id", "entity_id")
 
 
-@query("q3_by_domain", f"WITH {PEOPLE} SELECT 'd:' || n_name AS query_id, entity_id FROM people JOIN nation ON contains(email, lower(n_name) || '.com')")
+@query("q3_by_domain", f"WITH {PEOPLE} SELECT 'd:' || n_name AS query_id, entity_id FROM people JOIN nation ON contains(email, replace(lower(n_name), '_', '-') || '.com')")
 def q3(t: Tables) -> DataFrame:
     return Q.by_domain(persons(t), parsed(t, "d").drop("domain")).select("query_id", "entity_id")
 
@@ -379,7 +379,7 @@ def stage_events(t: Tables) -> DataFrame:
 
 
 RUNS = """r AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, 'tr' || user_id AS trace_id, min(ts) AS requested_at, 't' || min(user_id % 10) AS tenant_id FROM events GROUP BY 1, 2),
-st AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS stage, CAST(epoch_ms(max(ts)) - epoch_ms(min(ts)) AS BIGINT) AS duration_ms, count(*) AS records_in, count(*) FILTER (value >= 10) AS records_out, CASE WHEN bool_and(value >= 10) THEN 'completed' ELSE 'failed' END AS status FROM events GROUP BY 1, 2)"""
+st AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS stage, CAST(floor(epoch_us(max(ts)) / 1000) - floor(epoch_us(min(ts)) / 1000) AS BIGINT) AS duration_ms, count(*) AS records_in, count(*) FILTER (value >= 10) AS records_out, CASE WHEN bool_and(value >= 10) THEN 'completed' ELSE 'failed' END AS status FROM events GROUP BY 1, 2)"""
 
 
 @query("o1_view", f"WITH {RUNS} SELECT r.run_id, trace_id, stage, status FROM r LEFT JOIN st ON r.run_id = st.run_id AND status = 'failed'")
