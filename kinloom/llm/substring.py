@@ -7,7 +7,7 @@ same anchor; the parse greedily takes the longest run of windows that occur in a
 factors. Windows across a factor's or a block's edge belong to the neighbouring block's anchor and are looked up there,
 so no duplicated window is lost at a boundary, whichever document it repeats.
 
-A window is known by its anchor and 48 more bits of hash. Before anything is shuffled, each chunk of documents drops
+A window is known by its 64-bit anchor and 40 more bits of hash. Before anything is shuffled, each chunk of documents drops
 the windows that repeat a smaller document of the same chunk, so a passage that many documents share sends one row
 from each chunk, not one from each document.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import _grown, _R, mix64, prefix_hash, span_hash
 
 WINDOW, GRAM = 13, 4
+#: Bytes of a window's hash beside its 64-bit anchor.
+BYTES = 5
 #: Bytes of text that are hashed at once.
 CHUNK_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
@@ -107,10 +109,10 @@ def _blocks(ids: np.ndarray, texts: list[bytes], window: int) -> Iterator[pa.Rec
     apart[1:] |= anchor[1:] != anchor[:-1]
     a, b = _runs(apart)
     a, b = a[~seen[a]], b[~seen[a]]
-    raw = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    raw = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
     for k in range(0, len(a), 1 << 16):
         x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        yield _batch(anchor[x].view(np.int64), ids[of[x]], pos[x] + tag[of[x]], [raw[6 * i : 6 * j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.zeros(len(x), np.int32), np.zeros(len(x), np.int64))
+        yield _batch(anchor[x].view(np.int64), ids[of[x]], pos[x] + tag[of[x]], [raw[BYTES * i : BYTES * j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.zeros(len(x), np.int32), np.zeros(len(x), np.int64))
 
 
 def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -128,9 +130,9 @@ def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             continue
         anchor, ids, pos = (b.column(i).to_numpy() for i in range(3))
         raw = b.column(3).to_pylist()
-        sizes = np.array([len(x) // 6 for x in raw], dtype=np.int64)
+        sizes = np.array([len(x) // BYTES for x in raw], dtype=np.int64)
         flat = np.zeros((sizes.sum(), 8), np.uint8)
-        flat[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+        flat[:, :BYTES] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BYTES)
         whole, row = flat.view("<u8").ravel().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         group = np.cumsum(np.concatenate([[anchor[0] != open_anchor], anchor[1:] != anchor[:-1]]))  # 0: goes on from the last batch
