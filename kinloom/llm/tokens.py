@@ -145,7 +145,7 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         self.tok = Tokenizer.from_file(path)
         self.most = most_pieces
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
