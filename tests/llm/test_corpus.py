@@ -238,6 +238,31 @@ def test_licenses(text, want):
     assert [x["license"] for x in license.scan(text)] == want
 
 
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (GPL, [("GPL-3.0-or-later", 1)]), ("code\n\n# All rights\n# reserved.", [("proprietary", 2)]), ("REM All rights\nREM reserved.", [("proprietary", 0)]),
+    ("MIT\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights", [("MIT", 2)]),
+    ("// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are\n// met:", [("BSD-3-Clause", 0)]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", [("MPL-2.0", 0)]),
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", [("MIT", 0), ("Apache-2.0", 0)]), ("Licensed under the MIT License. Licensed under CC BY 4.0.\nAll rights reserved.", [("MIT", 0), ("CC-BY-4.0", 0), ("proprietary", 1)]),
+    ("Licensed under the Apache License, Version 2.0. Die Katze lief mit.", [("Apache-2.0", 0)]), ("Licensed under the Foo License. Die Katze lief mit.", []),
+    ("Licensed under the MIT License.\n" * 2 + prose(30, 1), [("MIT", 0), ("MIT", 1)]),
+])
+def test_wrapped_and_several_licenses(text, want):
+    assert sorted((x["line"], x["license"]) for x in license.scan(text)) == sorted((n, x) for x, n in want)
+
+
+def test_license_rows_wrapped(spark):
+    assert {r["license"] for r in license.license_blocks(docs(spark, [(1, GPL), (2, "# All rights\n# reserved.")])).collect()} == {"GPL-3.0-or-later", "proprietary"}
+
+
 def test_license_rows(spark, odd):
     rows = [*odd, (60, "a\nReleased under the MIT License."), (60, "a\nReleased under the MIT License."), (None, "All rights reserved.")]
     got = license.license_blocks(messy(docs(spark, rows))).collect()
