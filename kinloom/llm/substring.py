@@ -7,7 +7,9 @@ same anchor; the parse greedily takes the longest run of windows that occur in a
 factors. Windows across a factor's or a block's edge belong to the neighbouring block's anchor and are looked up there,
 so no duplicated window is lost at a boundary, whichever document it repeats.
 
-A window is known by its 64-bit anchor and 40 more bits of hash. Before anything is shuffled, each chunk of documents drops
+Windows of one anchor are told apart by all 64 bits of their hash. An anchor that a phrase common to very many documents
+makes hot is split by bits of the window's hash, so its windows are dealt out to ``PIECES`` places; which anchors are hot
+is estimated on a sample of documents, and it decides only where windows meet, never which. Before anything is shuffled, each chunk of documents drops
 the windows that repeat a smaller document of the same chunk, so a passage that many documents share sends one row
 from each chunk, not one from each document.
 """
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 from .common import _grown, _R, mix64, prefix_hash, span_hash
 
 WINDOW, GRAM = 13, 4
-#: Bytes of a window's hash beside its 64-bit anchor.
-BYTES = 5
+#: Bytes of a window's hash: all of them.
+BYTES = 8
+#: An anchor with so many blocks among one of ``SAMPLE`` documents is hot; a hot anchor is split in ``PIECES``.
+HOT, SAMPLE, PIECES = 256, 64, 256
+#: The driver takes so many hot anchors at most, the hottest; others stay whole.
+MOST_HOT = 100_000
 #: Bytes of text that are hashed at once.
 CHUNK_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
@@ -87,13 +93,22 @@ def _batch(*cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
-def _blocks(ids: np.ndarray, texts: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
-    """Of a chunk: factors found within it (hashes null), and blocks of the other windows."""
+def _dealt(anchor: np.ndarray, whole: np.ndarray, hot: np.ndarray, pieces: int) -> np.ndarray:
+    """What windows are dealt out by: the anchor, and for a hot one also bits of the window's hash."""
+    if not len(hot):
+        return anchor
+    is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    return np.where(is_hot, mix64(anchor + np.uint64(1) + whole % np.uint64(pieces)), anchor)
+
+
+def _blocks(ids: np.ndarray, texts: list[bytes], window: int, hot: np.ndarray, pieces: int) -> Iterator[pa.RecordBatch]:
+    """Of a chunk: factors found within it (hashes null), and blocks of the other windows. ``hot``: sorted anchors to split."""
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
     of, pos, anchor, whole = _windows(texts, window)
     if not len(of):
         return
+    anchor = _dealt(anchor, whole, hot, pieces)
     tag = np.array([_tag(t) for t in texts], dtype=np.int64) << _POS
     code, _ = pd.factorize(whole)
     first = np.zeros(code.max() + 1, dtype=np.int64)
@@ -109,7 +124,7 @@ def _blocks(ids: np.ndarray, texts: list[bytes], window: int) -> Iterator[pa.Rec
     apart[1:] |= anchor[1:] != anchor[:-1]
     a, b = _runs(apart)
     a, b = a[~seen[a]], b[~seen[a]]
-    raw = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
+    raw = whole.astype("<u8").tobytes()
     for k in range(0, len(a), 1 << 16):
         x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
         yield _batch(anchor[x].view(np.int64), ids[of[x]], pos[x] + tag[of[x]], [raw[BYTES * i : BYTES * j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.zeros(len(x), np.int32), np.zeros(len(x), np.int64))
@@ -131,14 +146,12 @@ def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         anchor, ids, pos = (b.column(i).to_numpy() for i in range(3))
         raw = b.column(3).to_pylist()
         sizes = np.array([len(x) // BYTES for x in raw], dtype=np.int64)
-        flat = np.zeros((sizes.sum(), 8), np.uint8)
-        flat[:, :BYTES] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BYTES)
-        whole, row = flat.view("<u8").ravel().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+        whole, row = np.frombuffer(b"".join(raw), "<u8").astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         group = np.cumsum(np.concatenate([[anchor[0] != open_anchor], anchor[1:] != anchor[:-1]]))  # 0: goes on from the last batch
-        key = np.concatenate([open_hash, whole]) | np.concatenate([np.zeros(len(open_hash), np.int64), group[row]]).astype(np.uint64) << np.uint64(48)
+        hashes, groups = np.concatenate([open_hash, whole]), np.concatenate([np.zeros(len(open_hash), np.int64), group[row]])
         who = np.concatenate([open_id, ids[row]])
-        code, _ = pd.factorize(key)
+        code, _ = pd.factorize(pd.factorize(hashes)[0] | groups << 32)
         first = np.zeros(code.max() + 1, dtype=np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         ref = who[first[code]][len(open_hash) :]
@@ -149,9 +162,8 @@ def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         x, y = x[seen[x]], y[seen[x]]
         if len(x):
             yield _batch(anchor[row[x]], ids[row[x]], pos[row[x]] + inside[x], [None] * len(x), (y - x + window - 1).astype(np.int32), ref[x])
-        last = np.uint64(group[-1])
-        own = first[(key[first] >> np.uint64(48)) == last]
-        open_anchor, open_hash, open_id = anchor[-1], key[own] & np.uint64((1 << 48) - 1), who[own]
+        own = first[groups[first] == group[-1]]
+        open_anchor, open_hash, open_id = anchor[-1], hashes[own], who[own]
 
 
 def _cut(text: str | None, found: list[dict] | None) -> tuple[str, int, int, list[dict]]:
@@ -171,6 +183,24 @@ def _cut(text: str | None, found: list[dict] | None) -> tuple[str, int, int, lis
     return kept, len(words), int(drop.sum()), factors
 
 
+def hot_anchors(rows: DataFrame, window: int) -> np.ndarray:
+    """The anchors, sorted, that have HOT blocks or more among one of SAMPLE rows (id, text), drawn by hash."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                of, _, anchor, _ = _windows([(t.as_py() or "").encode() for t in b.column(0).slice(at, 256)], window)
+                apart = np.ones(len(of), dtype=bool)
+                apart[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])
+                found, n = np.unique(anchor[apart].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["anchor", "n"])
+
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(SAMPLE)) == 0).select("text")
+    found = drawn.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    found = found.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["anchor"] for r in found], dtype=np.int64).view(np.uint64))
+
+
 RESULT = "doc_id long, kept_text string, n_words long, n_removed long, factors array<struct<start:long,words:long,ref:long>>"
 
 
@@ -192,13 +222,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode()
                 if size + len(raw) > CHUNK_BYTES and texts:
-                    yield from _blocks(np.array(ids, dtype=np.int64), texts, window)
+                    yield from _blocks(np.array(ids, dtype=np.int64), texts, window, hot, pieces)
                     ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(raw)
                 size += len(raw)
         if texts:
-            yield from _blocks(np.array(ids, dtype=np.int64), texts, window)
+            yield from _blocks(np.array(ids, dtype=np.int64), texts, window, hot, pieces)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _factors(batches, window)
@@ -214,6 +244,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     own = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    hot, pieces = hot_anchors(rows, window), PIECES
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     finds = rows.mapInArrow(parse, ROWS).repartition(n, "anchor").sortWithinPartitions("anchor", "id").mapInArrow(meet, ROWS)
     finds = finds.groupBy("id").agg(F.collect_list(F.struct("pos", "words", "ref")).alias("found"))

@@ -148,6 +148,29 @@ def test_substring(spark, odd, monkeypatch, chunk):
     assert sorted(map(tuple, got), key=str) == cut(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_substring_of_hot_anchors(spark, odd, monkeypatch, hot):
+    """A phrase in ever other surroundings; its anchor is split, and nothing else changes."""
+    for name, value in (("HOT", hot), ("SAMPLE", 1), ("PIECES", 5), ("CHUNK_BYTES", 2000)):
+        monkeypatch.setattr(substring, name, value)
+    phrase = prose(9, 78)
+    rows = [*odd, *((400 + k, prose(20, k % 17) + " " + phrase + " " + prose(25, k % 11)) for k in range(60))]
+    plain = docs(spark, rows)
+    anchors = substring.hot_anchors(plain.select(F.col("doc_id").alias("id"), "text"), 13)
+    assert len(anchors) and (np.diff(anchors.view(np.uint64).astype(object)) > 0).all()
+    got = substring.substring_dedup(plain).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got), key=str) == cut(rows)
+
+
+@pytest.mark.parametrize("bit", [41, 47, 48, 56, 63])
+def test_windows_are_told_apart_by_all_bits(bit):
+    """Two documents under one anchor; their windows' hashes differ in one high bit, so nothing is a repeat."""
+    raw = [np.array([x], "<u8").tobytes() for x in (5, 5 | 1 << bit)]
+    batch = lambda r: substring._batch(np.full(len(r), 9), np.arange(len(r)), np.zeros(len(r), np.int64), [x[: substring.BYTES] for x in r], np.zeros(len(r), np.int32), np.zeros(len(r), np.int64))
+    assert not list(substring._factors(iter([batch(raw)]), 13))
+    assert [b.num_rows for b in substring._factors(iter([batch([raw[1], raw[0], raw[1]])]), 13)] == [1]
+
+
 def test_factors_span_what_went(spark):
     shared = prose(40, 8)
     rows = [(1, prose(30, 1) + " " + shared), (2, shared + " " + prose(30, 2))]
