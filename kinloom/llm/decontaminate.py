@@ -5,9 +5,10 @@ of ``SIMILAR`` or more with the item. Each window gets a SimHash of its ``SHINGL
 ``RADIUS`` + 1 blocks of the 64 bits finds every item of that size within ``RADIUS`` bits (two fingerprints that
 differ in at most RADIUS bits are equal in one of RADIUS + 1 blocks); the exact similarity then decides.
 
-A window that shares no shingle with any item has similarity zero with all of them, so only windows that start where a
-shared shingle would put an item's start are fingerprinted. That join is by equality of shingle hashes; hashes only
-propose, and the similarity is counted on words.
+A similarity of s between a shingles and b needs s * (a + b) / (1 + s) shared ones. So only windows with so many positions
+that hold a shingle of the item are fingerprinted, wherever in the window these stand: all starts from which the window
+spans that many. That join is by equality of shingle hashes; hashes only propose, and the similarity is counted on words.
+A text shorter than an item is one window as a whole.
 """
 
 from __future__ import annotations
@@ -73,29 +74,46 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return rows.withColumn("sh", shingles(F.col("ws"), F.col("k"))).withColumn("fp", simhash(_hashed(F.col("sh")))).drop("ws")
 
 
+def window_starts(hits: DataFrame, similar: float) -> DataFrame:
+    """(doc_id, row, n, k, start) of all windows that have shared shingles enough for ``similar``, once each.
+
+    hits: (doc_id, row, size, item_id, n, k, pos), the positions of a text's shingles that are in an item. Hits i to
+    i + need - 1, if they fit in a window, are spanned by the starts from the last less the window's length to the first.
+    """
+    hits = hits.withColumn("whole", F.least("n", "size") - F.col("k") + 1)
+    # The slack is for rounding: a start too many is harmless.
+    hits = hits.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("k") + 1 + F.col("whole")) * (similar / (1 + similar)) - 1e-6).cast("int")))
+    held = hits.groupBy("doc_id", "row", "size", "item_id", "n", "k", "whole", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).where(F.size("at") >= F.col("need"))
+    first = F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.get("at", i).alias("low"), F.get("at", i + F.col("need") - 1).alias("high"))))
+    spans = held.select("doc_id", "row", "size", "n", "k", "whole", first.alias("s")).where(F.col("s.high") - F.col("s.low") < F.col("whole"))
+    low, high = F.greatest(F.lit(0), F.col("s.high") - F.col("whole") + 1), F.least(F.col("s.low"), F.col("size") - F.col("k") + 1 - F.col("whole"))
+    return spans.select("doc_id", "row", "n", "k", low.alias("low"), high.alias("high")).distinct().where("low <= high").select("doc_id", "row", "n", "k", F.explode(F.sequence("low", "high")).alias("start")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """One row (doc_id, item_id, start, n_words, similarity, distance) for each document and item that it holds.
 
-    start: the first word of the most similar window (ties: the first); n_words: its size. Null and empty texts and
-    items give no rows, nor do texts shorter than an item. Rows that repeat a doc_id count as one document with all
+    start: the first word of the most similar window (ties: the first); n_words: its size, which is the item's, or the
+    text's if that is shorter. Null and empty texts and items give no rows. Rows that repeat a doc_id count as one document with all
     their windows; a null doc_id gives no rows. Empty tables give no rows; extra columns are ignored.
     """
     items = materialise(items_of(benchmark), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, n_words long, similarity double, distance int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    grams = items.select("item_id", "n", "k", F.posexplode("sh").alias("at", "s")).select("item_id", "n", "at", F.xxhash64("s").alias("h"), "k")
+    # ``row`` tells rows that repeat a doc_id apart.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), words(F.col(text_col)).alias("ws")).where("doc_id is not null")
+    grams = items.select("item_id", "n", "k", F.explode(F.array_distinct(_hashed(F.col("sh")))).alias("h"))
     few = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     proposed = []
     for k in sizes:
-        mine = grams.where(F.col("k") == k).drop("k")
-        own = rows.where(F.size("ws") >= k).select("doc_id", F.size("ws").alias("size"), F.posexplode(_hashed(shingles(F.col("ws"), F.lit(k)))).alias("pos", "h"))
-        hits = own.join(F.broadcast(mine) if few else mine, "h").where(F.col("n") <= F.col("size"))
-        proposed.append(hits.select("doc_id", "n", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n"))).alias("start"), F.lit(k).alias("k")))
-    starts = materialise(reduce(DataFrame.unionByName, proposed).distinct(), "window-starts")
+        mine = grams.where(F.col("k") == k)
+        own = rows.where(F.size("ws") >= k).select("doc_id", "row", F.size("ws").alias("size"), F.posexplode(_hashed(shingles(F.col("ws"), F.lit(k)))).alias("pos", "h"))
+        proposed.append(own.join(F.broadcast(mine) if few else mine, "h").select("doc_id", "row", "size", "item_id", "n", "k", "pos"))
+    hits = materialise(reduce(DataFrame.unionByName, proposed), "shared-shingles")
+    starts = materialise(window_starts(hits, similar), "window-starts")
     hit = keep_ids(rows, starts, "doc_id")
-    windows = hit.join(starts, "doc_id").where(F.col("start") + F.col("n") <= F.size("ws")).select("doc_id", "start", "n", "k", F.slice("ws", F.col("start") + 1, F.col("n")).alias("win"))
+    windows = hit.join(starts, ["doc_id", "row"]).select("doc_id", "start", "n", "k", F.slice("ws", F.col("start") + 1, F.col("n")).alias("win"))
     # Equal windows, of which a passage that many documents share makes as many, are judged once.
     windows = materialise(windows.withColumn("wid", F.sha2(F.array_join("win", " "), 256)), "windows")
     kinds = windows.groupBy("wid", "n", "k").agg(F.any_value("win").alias("win"))
@@ -107,9 +125,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = left.join(right, ["n", "no", "bits"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("wid", "n", "item_id", "distance").distinct()
     judged = near.join(kinds.select("wid", "n", "sh"), ["wid", "n"]).join(items.select(F.col("item_id").alias("_item"), F.col("sh").alias("item_sh")), F.col("item_id").eqNullSafe(F.col("_item")))
     judged = judged.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= similar).select("wid", "n", "item_id", "similarity", "distance")
-    found = windows.select("doc_id", "start", "n", "wid").join(judged, ["wid", "n"])
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n", "distance")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.before")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("b.distance").alias("distance"))
+    found = windows.select("doc_id", "start", "n", "wid", F.size("win").alias("size")).join(judged, ["wid", "n"])
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "size", "distance")).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.before")).cast("long").alias("start"), F.col("b.size").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("b.distance").alias("distance"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

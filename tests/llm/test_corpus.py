@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -237,6 +239,30 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(docs(spark, rows), empty).isEmpty() and decontaminate.contaminated(docs(spark, []), bench).isEmpty()
 
 
+def brute(text, item):
+    """The greatest similarity of an item-sized window, and its first start."""
+    ws, it = (re.findall(r"[a-z0-9]+", x.lower()) for x in (text, item))
+    k, n = min(len(it), 5), min(len(it), len(ws))
+    bags = [Counter(zip(*(x[i:] for i in range(k)), strict=False)) for x in [it, *(ws[s : s + n] for s in range(len(ws) - n + 1))]]
+    return max((((bags[0] & b).total() / (bags[0] | b).total(), -s) for s, b in enumerate(bags[1:])), default=(0, 0))
+
+
+def test_decontamination_of_every_window(spark):
+    """Parts that stand elsewhere than in the item, and texts shorter than it, against all windows."""
+    items = {1: prose(60, 31), 2: prose(36, 32), 3: " ".join(["ha", "hu", "ho"] * 14), 4: "just three words"}
+    w, v, h = (items[i].split() for i in (1, 2, 3))
+    pre, post = prose(100, 33).split(), prose(80, 34).split()
+    texts = [[*pre, *w[30:], *w[:30], *post], [*pre, *w[15:], *w[:15], *post], [*pre, *w[20:], *w[:20]], v[:-1], v[1:], v[:-4], v[:20], [*pre[:3], *v[2:]], [*v[18:], *v[:18], *post], h * 3, h[:-1], [*h[:20], "x", *h[20:]], "three words".split(), [*w[:25], "y", *w[25:], *post], [*pre, *w[:40]]]
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in items.items():
+            if (found := brute(" ".join(t), item))[0] >= 0.8:
+                want[i, j] = (pytest.approx(found[0]), -found[1])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.contaminated(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bench).collect()}
+    assert got == want and {(0, 1), (3, 2), (4, 2), (9, 3)} <= set(want)
+
+
 def test_blocks_hold_the_guarantee(spark):
     r = random.Random(2)
     rows = []
