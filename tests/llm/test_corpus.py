@@ -367,6 +367,24 @@ def test_mixing(spark, odd):
     assert mixing.schedule(docs(spark, []), mixing.WEIGHTS).isEmpty()
 
 
+def test_turns_interleave_sources(spark):
+    """A reader that stops early has read the sources in proportion; the query goes the same way."""
+    rows = [(k, prose(20 + k % 7, k), "abc"[k % 3]) for k in range(300)]
+    queue = mixing.schedule(docs(spark, rows), mixing.WEIGHTS).cache()
+    want = {(t["doc_id"], t["pass"]): t["turn"] for t in mixing.turns(queue).collect()}
+    assert sorted(want.values()) == list(range(len(want)))
+    mix = mixing.mixed(docs(spark, rows), mixing.WEIGHTS, turn_col="turn").collect()
+    assert [r["turn"] for r in mix] == list(range(len(want)))
+    aims = {r["source"]: r["target"] for r in queue.select("source", "target").distinct().collect()}
+    for share in (0.25, 0.5, 0.75):
+        read, left = dict.fromkeys("abc", 0), share * sum(aims.values())
+        for r in mix:
+            if left > 0:
+                read[r["source"]] += len(r["text"].split())
+                left -= len(r["text"].split())
+        assert all(abs(read[s] / aims[s] - share) < 0.05 for s in "abc")
+
+
 # 5, 7, 8: classifiers
 
 
