@@ -1,86 +1,98 @@
 """Substring deduplication by relative Lempel-Ziv parsing (operator 2).
 
 Documents are parsed relative to the documents before them (by doc_id). The reference is cut into blocks: a block is
-the stretch of a document whose windows of ``window`` words share their anchor, the least hash of ``GRAM``-word grams in
-the window. The blocks are the index, dealt out by anchor. A document's own blocks meet every reference block with the
-same anchor; the parse greedily takes the longest run of windows that occur in an earlier document, and the runs become
-factors. Windows across a factor's or a block's edge belong to the neighbouring block's anchor and are looked up there,
-so no duplicated window is lost at a boundary, whichever document it repeats.
-
-Windows of one anchor are told apart by all 64 bits of their hash. An anchor that a phrase common to very many documents
-makes hot is split by bits of the window's hash, so its windows are dealt out to ``PIECES`` places; which anchors are hot
-is estimated on a sample of documents, and it decides only where windows meet, never which. Before anything is shuffled, each chunk of documents drops
-the windows that repeat a smaller document of the same chunk, so a passage that many documents share sends one row
-from each chunk, not one from each document.
+the stretch of a document whose windows of ``window`` words share their anchor, the least word of the window by an order
+that puts rare words first. The blocks, as words with their document and position, are the index, dealt out by anchor.
+A document's own blocks meet every reference block with the same anchor; a run of windows that stands in one earlier
+document at consecutive positions is a factor (start, words, ref, ref_start). Windows across a block's edge belong to the
+neighbouring block's anchor and are looked up there. At the end the factors of a document are joined where they go on
+along the same reference, and the parse takes at each place the one that reaches furthest.
+
+Windows are equal if their words are: words are numbered exactly (dictionary ranks, and numbers of the other words in a
+batch), pairs of numbers are numbered again, and so on up to a window, so no hash decides. Hashes only deal rows out.
+A dictionary of frequent words, drawn from a bounded sample, shortens what is shuffled; it changes no result.
+
+An anchor that is common to very many blocks is hot: its windows are dealt out by bits of their own hash as well, to as
+many places as an estimate on a sample of documents asks for; that too decides only where windows meet, never which.
+Before anything is shuffled, each chunk of documents drops the windows that repeat a smaller document of the same chunk,
+so a passage that many documents share sends one row from each chunk, not one from each document.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _grown, _R, mix64, prefix_hash, span_hash
+from .common import _grown, _R, mix64, span_hash
 
-WINDOW, GRAM = 13, 4
-#: Bytes of a window's hash: all of them.
-BYTES = 8
-#: An anchor with so many blocks among one of ``SAMPLE`` documents is hot; a hot anchor is split in ``PIECES``.
-HOT, SAMPLE, PIECES = 256, 64, 256
+WINDOW = 13
+#: Most words of the dictionary, the longest that it takes, and the number that stands for all others.
+MOST_WORDS, LONGEST, OTHER = 65_000, 40, 65_535
+#: About so many documents are drawn for the dictionary, and for the dictionary of the text packer.
+DRAWN, PACK_DRAWN = 20_000, 1_000
+#: An anchor with so many blocks among one of ``SAMPLE`` documents is hot; each of its places gets about ``PLACE`` blocks.
+HOT, SAMPLE, PLACE = 256, 64, 1 << 14
 #: The driver takes so many hot anchors at most, the hottest; others stay whole.
 MOST_HOT = 100_000
-#: Bytes of text that are hashed at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are looked at together, and rows of blocks.
+CHUNK_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
 _LAST = (1 << 63) - 1
 _POS = 36
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-ROWS = "anchor long, id long, pos long, hashes binary, words int, ref long"
-_NAMES = ["anchor", "id", "pos", "hashes", "words", "ref"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+ROWS = "key long, id long, pos long, n int, body binary"
+_NAMES = ["key", "id", "pos", "n", "body"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
-@lru_cache(1)
-def _table() -> np.ndarray:
-    return np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64)
+@dataclass
+class Layout:
+    """How rows are laid out: frequent words, most frequent first, and hot anchors (sorted) with their places."""
+
+    words: list[bytes] = field(default_factory=list)
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def __post_init__(self) -> None:
+        self.rank = {w: k for k, w in enumerate(self.words)}
+
+    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word in its first-seen order, dictionary rank or OTHER, 64-bit hash) of distinct ``words``."""
+        rank = np.fromiter((self.rank.get(w, OTHER) for w in words), np.int64, len(words))
+        return np.arange(len(words)), rank, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _tag(text: bytes) -> int:
     """Tells rows that repeat a doc_id with another text apart."""
-    return zlib.crc32(text) & 0xFFFFFF
-
-
-def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, word position, anchor, hash) of every window of ``window`` words."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[buf]
-    edge = np.diff(np.concatenate([[True], space]).view(np.int8))
-    start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    offset = np.cumsum([0] + [len(t) + 1 for t in texts])
-    of = np.searchsorted(offset, start, "right") - 1
-    n = len(start)
-    if n < window:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    words = span_hash(prefix_hash(buf, _table()), start, end)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * _grown("r", _R, n), out=sums[1:])
-    at = np.arange(n - window + 1)
-    whole = span_hash(sums, at, at + window)
-    grams = span_hash(sums, np.arange(n - GRAM + 1), np.arange(n - GRAM + 1) + GRAM)
-    least, span, want = grams, 1, window - GRAM + 1
-    while span < want:  # the least of each ``want`` grams in a row, by doubling
-        step = min(span, want - span)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        span += step
-    ok = np.nonzero(of[: n - window + 1] == of[window - 1 :])[0]
-    first = np.searchsorted(start, offset[:-1])
-    return of[ok], ok - first[of[ok]], least[ok], whole[ok]
+    return zlib.crc32(text) & 0x7FFFFFF
+
+
+def _exact(symbols: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run of ``window`` symbols; runs have the same number exactly if they are equal."""
+    now, span = pd.factorize(symbols)[0].astype(np.int64), 1
+    while span < window:
+        step = min(span, window - span)
+        if len(now) <= step:
+            return np.zeros(0, np.int64)
+        now, span = pd.factorize(now[:-step] << 31 | now[step:])[0].astype(np.int64), span + step
+    return now
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row, by doubling."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values, span = np.minimum(values[:-step], values[step:]), span + step
+    return values
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,119 +101,240 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(breaks))
 
 
+def _first_of(codes: np.ndarray) -> np.ndarray:
+    """For each element the place of the first that has its code."""
+    first = np.zeros(codes.max(initial=-1) + 1, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first[codes]
+
+
 def _batch(*cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
-def _dealt(anchor: np.ndarray, whole: np.ndarray, hot: np.ndarray, pieces: int) -> np.ndarray:
-    """What windows are dealt out by: the anchor, and for a hot one also bits of the window's hash."""
-    if not len(hot):
-        return anchor
-    is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-    return np.where(is_hot, mix64(anchor + np.uint64(1) + whole % np.uint64(pieces)), anchor)
+def _factor_rows(key, ids, at, words, refs, ref_at) -> pa.RecordBatch:
+    """Factors travel with n < 0: minus their words; the body holds the reference and the position in it."""
+    bodies = [struct.pack("<qq", r, p) for r, p in zip(refs.tolist(), ref_at.tolist(), strict=True)]
+    return _batch(key, ids, at, -words.astype(np.int32), bodies)
+
+
+@dataclass
+class _Chunk:
+    """The words of some texts and their windows: of which text, at which word, under which anchor, and who is equal."""
+
+    words: list[bytes]
+    code: np.ndarray
+    rank: np.ndarray
+    of: np.ndarray
+    pos: np.ndarray
+    at: np.ndarray
+    key: np.ndarray
+    same: np.ndarray
 
 
-def _blocks(ids: np.ndarray, texts: list[bytes], window: int, hot: np.ndarray, pieces: int) -> Iterator[pa.RecordBatch]:
-    """Of a chunk: factors found within it (hashes null), and blocks of the other windows. ``hot``: sorted anchors to split."""
+def _windows(texts: list[bytes], window: int, layout: Layout, deal: bool = True) -> _Chunk:
+    split = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in split], dtype=np.int64)
+    words = [w for s in split for w in s]
+    n = len(words)
+    none = np.zeros(0, np.int64)
+    if n < window:
+        return _Chunk(words, none, none, none, none, none, none.astype(np.uint64), none)
+    objects = np.empty(n, dtype=object)
+    objects[:] = words
+    code, distinct = pd.factorize(objects)
+    _, rank, digest = layout.numbered(list(distinct))
+    # Words that aren't in the dictionary come first, then its words from the rarest; among alike ones a hash decides.
+    common = np.where(rank == OTHER, 0, 1 + np.log2(MOST_WORDS / (rank + 1.0)).clip(0)).astype(np.uint64)
+    order = (common << np.uint64(56)) | (digest >> np.uint64(8))
+    of_word = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(n - window + 1)
+    at = at[of_word[at] == of_word[at + window - 1]]
+    anchor = _least(order[code], window)[at]
+    if deal and len(layout.hot):
+        place = np.minimum(np.searchsorted(layout.hot, anchor), len(layout.hot) - 1)
+        hot = np.nonzero(layout.hot[place] == anchor)[0]
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(digest[code] * _grown("r", _R, n), out=sums[1:])
+        piece = span_hash(sums, at[hot], at[hot] + window) % layout.places[place[hot]]
+        anchor[hot] = mix64(anchor[hot] + np.uint64(1) + piece)
+    starts = np.cumsum(sizes) - sizes
+    of = of_word[at]
+    return _Chunk(words, code, rank[code], of, at - starts[of], at, anchor, _exact(code, window)[at])
+
+
+def _body(words: list[bytes], rank: np.ndarray) -> bytes:
+    """The words of a block: their number, a rank of two bytes each, and the words that the dictionary lacks."""
+    rare = np.nonzero(rank == OTHER)[0]
+    return struct.pack("<H", len(rank)) + rank.astype("<u2").tobytes() + b" ".join(words[i] for i in rare.tolist())
+
+
+def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Of a chunk: the factors found within it, and blocks of the other windows."""
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
-    of, pos, anchor, whole = _windows(texts, window)
-    if not len(of):
+    c = _windows(texts, window, layout)
+    if not len(c.of):
         return
-    anchor = _dealt(anchor, whole, hot, pieces)
     tag = np.array([_tag(t) for t in texts], dtype=np.int64) << _POS
-    code, _ = pd.factorize(whole)
-    first = np.zeros(code.max() + 1, dtype=np.int64)
-    first[code[::-1]] = np.arange(len(code))[::-1]
-    ref = ids[of[first[code]]]
-    seen = ids[of] > ref
-    apart = np.ones(len(of), dtype=bool)
-    apart[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1] + 1) | (seen[1:] != seen[:-1])
-    a, b = _runs(apart)
+    first = _first_of(c.same)
+    ref, ref_pos = ids[c.of[first]], c.pos[first]
+    seen = ids[c.of] > ref
+    apart = np.ones(len(c.of), dtype=bool)
+    apart[1:] = (c.of[1:] != c.of[:-1]) | (seen[1:] != seen[:-1])
+    along = apart.copy()
+    along[1:] |= seen[1:] & ((c.of[first[1:]] != c.of[first[:-1]]) | (ref_pos[1:] != ref_pos[:-1] + 1))
+    a, b = _runs(along)
     a, b = a[seen[a]], b[seen[a]]
     if len(a):
-        yield _batch(mix64(ids[of[a]].view(np.uint64)).view(np.int64), ids[of[a]], pos[a] + tag[of[a]], [None] * len(a), (b - a + window - 1).astype(np.int32), ref[a])
-    apart[1:] |= anchor[1:] != anchor[:-1]
+        own = ids[c.of[a]]
+        yield _factor_rows(mix64(own.view(np.uint64)).view(np.int64), own, c.pos[a] + tag[c.of[a]], b - a + window - 1, ref[a], ref_pos[a])
+    apart[1:] |= c.key[1:] != c.key[:-1]
     a, b = _runs(apart)
     a, b = a[~seen[a]], b[~seen[a]]
-    raw = whole.astype("<u8").tobytes()
     for k in range(0, len(a), 1 << 16):
         x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        yield _batch(anchor[x].view(np.int64), ids[of[x]], pos[x] + tag[of[x]], [raw[BYTES * i : BYTES * j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.zeros(len(x), np.int32), np.zeros(len(x), np.int64))
+        # A block's count of words goes in two bytes, so a longer one is cut, with the windows over the cut in both.
+        cuts = [(i, min(i + (1 << 15), j)) for i, j in zip(x.tolist(), y.tolist(), strict=True) for i in range(i, j, 1 << 15)]
+        x, y = (np.array(v, dtype=np.int64) for v in zip(*cuts, strict=True))
+        low, high = c.at[x], c.at[y - 1] + window
+        bodies = [_body(c.words[i:j], c.rank[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        yield _batch(c.key[x].view(np.int64), ids[c.of[x]], c.pos[x] + tag[c.of[x]], (y - x).astype(np.int32), bodies)
+
+
+def _symbols(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words of the blocks, words of each block): dictionary ranks, and OTHER or more for other words."""
+    sizes = [x[0] | x[1] << 8 for x in bodies]
+    symbols = np.frombuffer(b"".join(x[2 : 2 + 2 * n] for x, n in zip(bodies, sizes, strict=True)), "<u2").astype(np.int64)
+    rare = np.empty(int((symbols == OTHER).sum()), dtype=object)
+    rare[:] = b" ".join(r for x, n in zip(bodies, sizes, strict=True) if (r := x[2 + 2 * n :])).split()
+    symbols[symbols == OTHER] = OTHER + pd.factorize(rare)[0]
+    return symbols, np.array(sizes, dtype=np.int64)
 
 
 def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by anchor and id meet: runs of windows that an earlier document has become factors.
+    """Blocks sorted by key and id meet: runs of windows that an earlier document has at consecutive places are factors.
 
-    Only the windows of the anchor that a batch ends in are carried to the next, each with its first document.
+    Only blocks of the key that a batch ends in, and of them those that hold a first window, are carried to the next.
     """
-    open_anchor, open_hash, open_id = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for b in (b.slice(at, 1 << 15) for b in batches for at in range(0, b.num_rows, 1 << 15)):
-        done = b.column(3).is_null().to_numpy(zero_copy_only=False)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []  # key, id, pos and bodies that go on
+    for b in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
+        done = b.column(3).to_numpy() < 0
         if done.any():
             yield b.filter(pa.array(done))
             b = b.filter(pa.array(~done))
         if not b.num_rows:
             continue
-        anchor, ids, pos = (b.column(i).to_numpy() for i in range(3))
-        raw = b.column(3).to_pylist()
-        sizes = np.array([len(x) // BYTES for x in raw], dtype=np.int64)
-        whole, row = np.frombuffer(b"".join(raw), "<u8").astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        group = np.cumsum(np.concatenate([[anchor[0] != open_anchor], anchor[1:] != anchor[:-1]]))  # 0: goes on from the last batch
-        hashes, groups = np.concatenate([open_hash, whole]), np.concatenate([np.zeros(len(open_hash), np.int64), group[row]])
-        who = np.concatenate([open_id, ids[row]])
-        code, _ = pd.factorize(pd.factorize(hashes)[0] | groups << 32)
-        first = np.zeros(code.max() + 1, dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        ref = who[first[code]][len(open_hash) :]
-        seen = ids[row] > ref
-        apart = np.ones(len(row), dtype=bool)
-        apart[1:] = (row[1:] != row[:-1]) | (seen[1:] != seen[:-1])
-        x, y = _runs(apart)
-        x, y = x[seen[x]], y[seen[x]]
+        key, ids, pos = (b.column(i).to_numpy() for i in range(3))
+        bodies = b.column(4).to_pylist()
+        old = 0
+        if held and held[0][0][0] == key[0]:
+            k, i, p, x = held[0]
+            old = len(x)
+            key, ids, pos, bodies = np.concatenate([k, key]), np.concatenate([i, ids]), np.concatenate([p, pos]), x + bodies
+        symbols, sizes = _symbols(bodies)
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes - window + 1)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes - window + 1) - (sizes - window + 1), sizes - window + 1)
+        same = _exact(symbols, window)[starts[row] + inside]
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        first = _first_of(pd.factorize(same << 31 | group[row])[0])
+        at, tagless = pos[row] + inside, (pos[row] & ((1 << _POS) - 1)) + inside
+        seen = ids[row] > ids[row[first]]
+        along = np.ones(len(row), dtype=bool)
+        along[1:] = (row[1:] != row[:-1]) | (seen[1:] != seen[:-1]) | (row[first[1:]] != row[first[:-1]]) | (tagless[first[1:]] != tagless[first[:-1]] + 1)
+        x, y = _runs(along)
+        fresh = seen[x] & (row[x] >= old)
+        x, y = x[fresh], y[fresh]
         if len(x):
-            yield _batch(anchor[row[x]], ids[row[x]], pos[row[x]] + inside[x], [None] * len(x), (y - x + window - 1).astype(np.int32), ref[x])
-        own = first[groups[first] == group[-1]]
-        open_anchor, open_hash, open_id = anchor[-1], hashes[own], who[own]
+            yield _factor_rows(key[row[x]], ids[row[x]], at[x], y - x + window - 1, ids[row[first[x]]], tagless[first[x]])
+        keep = np.unique(row[(first == np.arange(len(first))) & (group[row] == group[-1])])
+        held = [(key[keep], ids[keep], pos[keep], [bodies[k] for k in keep.tolist()])]
+
+
+def _parse(found: list[dict]) -> list[dict]:
+    """The factors of one text: joined where they go on along their reference, then at each place the furthest-reaching."""
+    joined: list[list[int]] = []  # start, end, ref, ref_start
+    last: dict[tuple[int, int], list[int]] = {}
+    for f in sorted(found, key=lambda f: f["start"]):
+        along = last.get((f["ref"], f["ref_start"] - f["start"]))
+        if along and f["start"] <= along[1]:
+            along[1] = max(along[1], f["start"] + f["words"])
+        else:
+            along = last[f["ref"], f["ref_start"] - f["start"]] = [f["start"], f["start"] + f["words"], f["ref"], f["ref_start"]]
+            joined.append(along)
+    out: list[dict] = []
+    at, k, best = 0, 0, None
+    while k < len(joined) or (best and best[1] > at):
+        if not (best and best[1] > at):
+            at, best = max(at, joined[k][0]), joined[k]
+        while k < len(joined) and joined[k][0] <= at:
+            best = joined[k] if joined[k][1] > best[1] else best
+            k += 1
+        if best[1] > at:
+            out.append({"start": at, "words": best[1] - at, "ref": best[2], "ref_start": best[3] + at - best[0]})
+            at = best[1]
+    return out
+
+
+def _cut(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int, list[dict]]:
+    """Kept words, counts, and the parse."""
+    words, tag = text.split(), _tag(text)
+    mine = [{"start": f["pos"] & ((1 << _POS) - 1), **f} for f in found or () if f["pos"] >> _POS == tag]
+    factors = _parse(mine)
+    drop = np.zeros(len(words), dtype=bool)
+    for f in factors:
+        drop[f["start"] : f["start"] + f["words"]] = True
+    return b" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d), len(words), int(drop.sum()), factors
 
 
-def _cut(text: str | None, found: list[dict] | None) -> tuple[str, int, int, list[dict]]:
-    """Kept words, counts, and the parse: overlapping finds merged greedily into factors."""
-    raw = (text or "").encode()
-    words, tag = raw.split(), _tag(raw)
-    factors: list[dict] = []
-    drop = np.zeros(len(words), dtype=bool)
-    for f in sorted((x for x in found or () if x["pos"] >> _POS == tag), key=lambda x: (x["pos"], -x["words"])):
-        at, to = f["pos"] & ((1 << _POS) - 1), (f["pos"] & ((1 << _POS) - 1)) + f["words"]
-        drop[at:to] = True
-        if factors and at <= factors[-1]["start"] + factors[-1]["words"]:
-            factors[-1]["words"] = max(factors[-1]["words"], to - factors[-1]["start"])
-        else:
-            factors.append({"start": at, "words": f["words"], "ref": f["ref"]})
-    kept = b" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d).decode()
-    return kept, len(words), int(drop.sum()), factors
+def _drawn(rows: DataFrame, total: int, about: int) -> DataFrame:
+    """About ``about`` of ``total`` rows (all if fewer), by hash of id and length of text."""
+    many = 1 << 30
+    return rows.where(F.pmod(F.xxhash64("id", F.length("text"), F.lit("drawn")), F.lit(many)) < min(many, many * about // max(total, 1)))
+
+
+def frequent_words(rows: DataFrame, total: int) -> list[bytes]:
+    """The most frequent words, most frequent first, of about DRAWN rows (id, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pd.Series([w for t in b.column(0) for w in (t.as_py() or "").encode().split() if len(w) <= LONGEST], dtype=object)
+            n = words.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.array(list(n.index), pa.binary()), pa.array(n.to_numpy(), pa.int64())], ["word", "n"])
 
+    found = _drawn(rows, total, DRAWN).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in found.where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()]
 
-def hot_anchors(rows: DataFrame, window: int) -> np.ndarray:
-    """The anchors, sorted, that have HOT blocks or more among one of SAMPLE rows (id, text), drawn by hash."""
+
+def hot_anchors(rows: DataFrame, window: int, layout: Layout) -> Layout:
+    """``layout`` with the anchors that have HOT blocks or more among one of SAMPLE rows (id, text), drawn by hash."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                of, _, anchor, _ = _windows([(t.as_py() or "").encode() for t in b.column(0).slice(at, 256)], window)
-                apart = np.ones(len(of), dtype=bool)
-                apart[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])
-                found, n = np.unique(anchor[apart].view(np.int64), return_counts=True)
+                c = _windows([(t.as_py() or "").encode() for t in b.column(0).slice(at, 256)], window, layout, deal=False)
+                apart = np.ones(len(c.of), dtype=bool)
+                apart[1:] = (c.of[1:] != c.of[:-1]) | (c.key[1:] != c.key[:-1])
+                found, n = np.unique(c.key[apart].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["anchor", "n"])
 
     drawn = rows.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(SAMPLE)) == 0).select("text")
     found = drawn.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     found = found.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()
-    return np.sort(np.array([r["anchor"] for r in found], dtype=np.int64).view(np.uint64))
+    anchor = np.array([r["anchor"] for r in found], dtype=np.int64).view(np.uint64)
+    places = np.array([1 + r["n"] * SAMPLE // PLACE for r in found], dtype=np.uint64)
+    order = np.argsort(anchor)
+    return Layout(layout.words, anchor[order], places[order])
+
 
+def pack_dictionary(rows: DataFrame, total: int) -> bytes:
+    """A Zstandard dictionary of about PACK_DRAWN rows' texts, by which texts are packed for the way to their finds."""
+    short = _drawn(rows, total, PACK_DRAWN).where(F.length("text").between(1, 4000)).select("text")
+    return b"\n".join(sorted(t.encode() for (t,) in short.collect()))[: 1 << 17]
 
-RESULT = "doc_id long, kept_text string, n_words long, n_removed long, factors array<struct<start:long,words:long,ref:long>>"
+
+RESULT = "doc_id long, kept_text string, n_words long, n_removed long, factors array<struct<start:long,words:long,ref:long,ref_start:long>>"
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,10 +344,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     non-whitespace (U+0020, U+0009 to U+000D); kept ones are joined by a space. Null text has no words. Null ids come
     after all others. Rows that repeat an id are judged each, and none repeats the other, their ids being equal.
     Texts shorter than a window stay whole. An empty table gives no rows; extra columns are ignored.
-    A factor's ref is one earlier document that holds its first words.
+    A factor is a copy of ``words`` words of document ``ref`` from its word ``ref_start`` on; factors don't overlap.
     """
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    total = docs.count()
+    layout = hot_anchors(rows, window, Layout(frequent_words(rows, total)))
+    held = docs.sparkSession.sparkContext.broadcast((layout, pack_dictionary(rows, total)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = held.value[0]
         ids: list[int] = []
         texts: list[bytes] = []
         size = 0
@@ -222,34 +361,45 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode()
                 if size + len(raw) > CHUNK_BYTES and texts:
-                    yield from _blocks(np.array(ids, dtype=np.int64), texts, window, hot, pieces)
+                    yield from _blocks(np.array(ids, dtype=np.int64), texts, window, layout)
                     ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(raw)
                 size += len(raw)
         if texts:
-            yield from _blocks(np.array(ids, dtype=np.int64), texts, window, hot, pieces)
+            yield from _blocks(np.array(ids, dtype=np.int64), texts, window, layout)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _factors(batches, window)
+        names = ["id", "pos", "words", "ref", "ref_start"]
+        for b in _factors(batches, window):
+            refs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<i8").reshape(-1, 2)
+            cols = [b.column(1), b.column(2), pa.array(-b.column(3).to_numpy()), pa.array(refs[:, 0]), pa.array(refs[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = zstandard.ZstdCompressionDict(held.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=words)
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            packed = pa.array([packer.compress((t.as_py() or "").encode()) for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["id", "doc_id", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                out = [_cut(t, f) for t, f in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                cols = list(zip(*out, strict=True))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)], ["doc_id", "kept_text", "n_words", "n_removed", "factors"])
+        words = zstandard.ZstdCompressionDict(held.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        unpacker = zstandard.ZstdDecompressor(dict_data=words)
+        numbers = [("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct(numbers))]
+        for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            out = [_cut(unpacker.decompress(t.as_py()), f.as_py()) for t, f in zip(part.column(1), part.column(2), strict=True)]
+            cols = list(zip(*((k.decode(), *x) for k, *x in out), strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "kept_text", "n_words", "n_removed", "factors"])
 
-    own = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
-    hot, pieces = hot_anchors(rows, window), PIECES
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    finds = rows.mapInArrow(parse, ROWS).repartition(n, "anchor").sortWithinPartitions("anchor", "id").mapInArrow(meet, ROWS)
-    finds = finds.groupBy("id").agg(F.collect_list(F.struct("pos", "words", "ref")).alias("found"))
-    whole = docs.select(own.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(_LAST)).alias("id"))
-    return whole.join(finds, "id", "left").select("doc_id", "text", "found").mapInArrow(cut, RESULT)
+    blocks = rows.mapInArrow(parse, ROWS).repartition(n, "key").sortWithinPartitions("key", "id")
+    finds = blocks.mapInArrow(meet, "id long, pos long, words int, ref long, ref_start long")
+    finds = finds.groupBy("id").agg(F.collect_list(F.struct("pos", "words", "ref", "ref_start")).alias("found"))
+    whole = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), own.alias("doc_id"), F.col(text_col).alias("text"))
+    whole = whole.mapInArrow(pack, "id long, doc_id long, packed binary")
+    return whole.join(finds, "id", "left").select("doc_id", "packed", "found").mapInArrow(cut, RESULT)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

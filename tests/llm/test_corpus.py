@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,31 +154,53 @@ def test_substring(spark, odd, monkeypatch, chunk):
 @pytest.mark.parametrize("hot", [1, 3])
 def test_substring_of_hot_anchors(spark, odd, monkeypatch, hot):
     """A phrase in ever other surroundings; its anchor is split, and nothing else changes."""
-    for name, value in (("HOT", hot), ("SAMPLE", 1), ("PIECES", 5), ("CHUNK_BYTES", 2000)):
+    for name, value in (("HOT", hot), ("SAMPLE", 1), ("PLACE", 4), ("CHUNK_BYTES", 2000)):
         monkeypatch.setattr(substring, name, value)
     phrase = prose(9, 78)
     rows = [*odd, *((400 + k, prose(20, k % 17) + " " + phrase + " " + prose(25, k % 11)) for k in range(60))]
     plain = docs(spark, rows)
-    anchors = substring.hot_anchors(plain.select(F.col("doc_id").alias("id"), "text"), 13)
-    assert len(anchors) and (np.diff(anchors.view(np.uint64).astype(object)) > 0).all()
+    layout = substring.hot_anchors(plain.select(F.col("doc_id").alias("id"), "text"), 13, substring.Layout([b"abc"]))
+    assert len(layout.hot) and (np.diff(layout.hot.astype(object)) > 0).all() and layout.places.max() > 1
     got = substring.substring_dedup(plain).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     assert sorted(map(tuple, got), key=str) == cut(rows)
 
 
-@pytest.mark.parametrize("bit", [41, 47, 48, 56, 63])
-def test_windows_are_told_apart_by_all_bits(bit):
-    """Two documents under one anchor; their windows' hashes differ in one high bit, so nothing is a repeat."""
-    raw = [np.array([x], "<u8").tobytes() for x in (5, 5 | 1 << bit)]
-    batch = lambda r: substring._batch(np.full(len(r), 9), np.arange(len(r)), np.zeros(len(r), np.int64), [x[: substring.BYTES] for x in r], np.zeros(len(r), np.int32), np.zeros(len(r), np.int64))
-    assert not list(substring._factors(iter([batch(raw)]), 13))
-    assert [b.num_rows for b in substring._factors(iter([batch([raw[1], raw[0], raw[1]])]), 13)] == [1]
+def local_dedup(rows, layout, chunk=7, window=13):
+    """The operator's parts without Spark: {id: (n_words, n_removed, factors)} of rows with distinct ids."""
+    rows = [(i, (t or "").encode()) for i, t in rows]
+    blocks = [b for at in range(0, len(rows), chunk) for b in substring._blocks(np.array([i for i, _ in rows[at : at + chunk]]), [t for _, t in rows[at : at + chunk]], window, layout)]
+    table = pa.Table.from_batches(blocks).sort_by([("key", "ascending"), ("id", "ascending")])
+    found = {}
+    for b in substring._factors(iter(table.combine_chunks().to_batches()), window):
+        for x in b.to_pylist():
+            ref, start = np.frombuffer(x["body"], "<i8").tolist()
+            found.setdefault(x["id"], []).append({"pos": x["pos"], "words": -x["n"], "ref": ref, "ref_start": start})
+    return {i: substring._cut(t, found.get(i))[1:] for i, t in rows}
+
+
+@pytest.mark.parametrize(("bits", "rows_at_once", "words"), [(64, 1 << 15, 0), (2, 1 << 15, 0), (1, 50, 0), (2, 50, 300)])
+def test_no_hash_decides(monkeypatch, bits, rows_at_once, words):
+    """With hashes of a bit or two all windows meet under a few anchors; only those that are equal go."""
+    monkeypatch.setattr(substring.xxhash, "xxh64_intdigest", lambda w, h=xxhash.xxh64_intdigest: h(w) >> (64 - bits))
+    monkeypatch.setattr(substring, "BATCH_ROWS", rows_at_once)
+    r = random.Random(6)
+    phrase = [prose(n, n) for n in (5, 20, 40)]
+    rows = [(k, " ".join([prose(r.randint(0, 40), 1000 + k), r.choice(phrase), prose(r.randint(0, 12), 2000 + k % 9), phrase[k % 3], f"own{k}"])) for k in range(80)]
+    got = local_dedup(rows, substring.Layout([w.encode() for w in VOCAB[:words]]))
+    assert sorted((i, n, gone) for i, (n, gone, _) in got.items()) == sorted(x[:3] for x in cut(rows))
+    text = {i: t.split() for i, t in rows}
+    for i, (_, gone, factors) in got.items():
+        assert sum(f["words"] for f in factors) == gone
+        for f in factors:  # each factor is a copy of what it refers to, and an earlier document's
+            assert f["ref"] < i and text[i][f["start"] : f["start"] + f["words"]] == text[f["ref"]][f["ref_start"] : f["ref_start"] + f["words"]]
 
 
 def test_factors_span_what_went(spark):
     shared = prose(40, 8)
     rows = [(1, prose(30, 1) + " " + shared), (2, shared + " " + prose(30, 2))]
     r = substring.substring_dedup(docs(spark, rows)).where("doc_id = 2").first()
-    assert [(f["start"], f["words"], f["ref"]) for f in r["factors"]] == [(0, 40, 1)] and r["n_removed"] == 40
+    assert [tuple(f) for f in r["factors"]] == [(0, 40, 1, 30)] and r["n_removed"] == 40
+    assert substring.substring_dedup(docs(spark, [])).isEmpty()
 
 
 # 3: tokens
