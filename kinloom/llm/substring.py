@@ -48,31 +48,37 @@ MOST_HOT = 100_000
 CHUNK_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
 _LAST = (1 << 63) - 1
 _POS = 36
-ROWS = "key long, id long, pos long, n int, body binary"
+ROWS = "key int, id long, pos long, n int, body binary"
 _NAMES = ["key", "id", "pos", "n", "body"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 @dataclass
 class Layout:
-    """How rows are laid out: frequent words, most frequent first, and hot anchors (sorted) with their places."""
+    """How rows are laid out: frequent words, most frequent first; hot anchors (sorted) with their places; repeated ids or not."""
 
     words: list[bytes] = field(default_factory=list)
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    repeats: bool = True
 
     def __post_init__(self) -> None:
         self.rank = {w: k for k, w in enumerate(self.words)}
 
-    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of each word in its first-seen order, dictionary rank or OTHER, 64-bit hash) of distinct ``words``."""
+    def known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(dictionary rank or OTHER, 64-bit hash) of each of ``words``."""
         rank = np.fromiter((self.rank.get(w, OTHER) for w in words), np.int64, len(words))
-        return np.arange(len(words)), rank, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return rank, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows that repeat a doc_id with another text apart."""
-    return zlib.crc32(text) & 0x7FFFFFF
+def _tag(text: bytes, repeats: bool) -> int:
+    """Tells rows that repeat a doc_id with another text apart; 0 where no doc_id is repeated."""
+    return zlib.crc32(text) & 0x7FFFFFF if repeats else 0
+
+
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """What rows are dealt out and sorted by: 32 bits. Anchors that share them meet, too, which changes nothing."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _exact(symbols: np.ndarray, window: int) -> np.ndarray:
@@ -143,7 +149,7 @@ def _windows(texts: list[bytes], window: int, layout: Layout, deal: bool = True)
     objects = np.empty(n, dtype=object)
     objects[:] = words
     code, distinct = pd.factorize(objects)
-    _, rank, digest = layout.numbered(list(distinct))
+    rank, digest = layout.known(list(distinct))
     # Words that aren't in the dictionary come first, then its words from the rarest; among alike ones a hash decides.
     common = np.where(rank == OTHER, 0, 1 + np.log2(MOST_WORDS / (rank + 1.0)).clip(0)).astype(np.uint64)
     order = (common << np.uint64(56)) | (digest >> np.uint64(8))
@@ -163,10 +169,17 @@ def _windows(texts: list[bytes], window: int, layout: Layout, deal: bool = True)
     return _Chunk(words, code, rank[code], of, at - starts[of], at, anchor, _exact(code, window)[at])
 
 
-def _body(words: list[bytes], rank: np.ndarray) -> bytes:
-    """The words of a block: their number, a rank of two bytes each, and the words that the dictionary lacks."""
+def _bodies(words: list[bytes], rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+    """The words [low, high) of each block: how many, a rank of two bytes each, and the words that the dictionary lacks."""
+    ranks = rank.astype("<u2").tobytes()
     rare = np.nonzero(rank == OTHER)[0]
-    return struct.pack("<H", len(rank)) + rank.astype("<u2").tobytes() + b" ".join(words[i] for i in rare.tolist())
+    others = b"".join(words[i] + b" " for i in rare.tolist())
+    length = np.zeros(len(rank) + 1, dtype=np.int64)
+    length[rare + 1] = [len(words[i]) + 1 for i in rare.tolist()]
+    at = np.cumsum(length)
+    counts = (high - low).astype("<u2").tobytes()
+    spans = zip(low.tolist(), high.tolist(), at[low].tolist(), at[high].tolist(), strict=True)
+    return [counts[2 * k : 2 * k + 2] + ranks[2 * i : 2 * j] + others[x:y] for k, (i, j, x, y) in enumerate(spans)]
 
 
 def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) -> Iterator[pa.RecordBatch]:
@@ -176,7 +189,7 @@ def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) ->
     c = _windows(texts, window, layout)
     if not len(c.of):
         return
-    tag = np.array([_tag(t) for t in texts], dtype=np.int64) << _POS
+    tag = np.array([_tag(t, layout.repeats) for t in texts], dtype=np.int64) << _POS
     first = _first_of(c.same)
     ref, ref_pos = ids[c.of[first]], c.pos[first]
     seen = ids[c.of] > ref
@@ -188,18 +201,17 @@ def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) ->
     a, b = a[seen[a]], b[seen[a]]
     if len(a):
         own = ids[c.of[a]]
-        yield _factor_rows(mix64(own.view(np.uint64)).view(np.int64), own, c.pos[a] + tag[c.of[a]], b - a + window - 1, ref[a], ref_pos[a])
+        yield _factor_rows(_key(mix64(own.view(np.uint64))), own, c.pos[a] + tag[c.of[a]], b - a + window - 1, ref[a], ref_pos[a])
     apart[1:] |= c.key[1:] != c.key[:-1]
     a, b = _runs(apart)
     a, b = a[~seen[a]], b[~seen[a]]
-    for k in range(0, len(a), 1 << 16):
-        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        # A block's count of words goes in two bytes, so a longer one is cut, with the windows over the cut in both.
-        cuts = [(i, min(i + (1 << 15), j)) for i, j in zip(x.tolist(), y.tolist(), strict=True) for i in range(i, j, 1 << 15)]
-        x, y = (np.array(v, dtype=np.int64) for v in zip(*cuts, strict=True))
-        low, high = c.at[x], c.at[y - 1] + window
-        bodies = [_body(c.words[i:j], c.rank[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-        yield _batch(c.key[x].view(np.int64), ids[c.of[x]], c.pos[x] + tag[c.of[x]], (y - x).astype(np.int32), bodies)
+    if not len(a):
+        return
+    # A block's count of words goes in two bytes, so a longer one is cut.
+    cuts = [(i, min(i + (1 << 15), j)) for i, j in zip(a.tolist(), b.tolist(), strict=True) for i in range(i, j, 1 << 15)]
+    a, b = (np.array(v, dtype=np.int64) for v in zip(*cuts, strict=True))
+    bodies = _bodies(c.words, c.rank, c.at[a], c.at[b - 1] + window)
+    yield _batch(_key(c.key[a]), ids[c.of[a]], c.pos[a] + tag[c.of[a]], np.zeros(len(a), np.int32), bodies)
 
 
 def _symbols(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +219,7 @@ def _symbols(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [x[0] | x[1] << 8 for x in bodies]
     symbols = np.frombuffer(b"".join(x[2 : 2 + 2 * n] for x, n in zip(bodies, sizes, strict=True)), "<u2").astype(np.int64)
     rare = np.empty(int((symbols == OTHER).sum()), dtype=object)
-    rare[:] = b" ".join(r for x, n in zip(bodies, sizes, strict=True) if (r := x[2 + 2 * n :])).split()
+    rare[:] = b"".join(x[2 + 2 * n :] for x, n in zip(bodies, sizes, strict=True)).split()
     symbols[symbols == OTHER] = OTHER + pd.factorize(rare)[0]
     return symbols, np.array(sizes, dtype=np.int64)
 
@@ -277,15 +289,17 @@ def _parse(found: list[dict]) -> list[dict]:
     return out
 
 
-def _cut(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int, list[dict]]:
+def _cut(text: bytes, found: list[dict], repeats: bool = True) -> tuple[bytes, int, int, list[dict]]:
     """Kept words, counts, and the parse."""
-    words, tag = text.split(), _tag(text)
-    mine = [{"start": f["pos"] & ((1 << _POS) - 1), **f} for f in found or () if f["pos"] >> _POS == tag]
-    factors = _parse(mine)
-    drop = np.zeros(len(words), dtype=bool)
+    words = text.split()
+    tag = _tag(text, repeats)
+    factors = _parse([{"start": f["pos"] & ((1 << _POS) - 1), **f} for f in found if f["pos"] >> _POS == tag]) if found else []
+    kept, at = [], 0
     for f in factors:
-        drop[f["start"] : f["start"] + f["words"]] = True
-    return b" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d), len(words), int(drop.sum()), factors
+        kept += words[at : f["start"]]
+        at = f["start"] + f["words"]
+    kept += words[at:]
+    return b" ".join(kept), len(words), len(words) - len(kept), factors
 
 
 def _drawn(rows: DataFrame, total: int, about: int) -> DataFrame:
@@ -325,7 +339,7 @@ def hot_anchors(rows: DataFrame, window: int, layout: Layout) -> Layout:
     anchor = np.array([r["anchor"] for r in found], dtype=np.int64).view(np.uint64)
     places = np.array([1 + r["n"] * SAMPLE // PLACE for r in found], dtype=np.uint64)
     order = np.argsort(anchor)
-    return Layout(layout.words, anchor[order], places[order])
+    return Layout(layout.words, anchor[order], places[order], layout.repeats)
 
 
 def pack_dictionary(rows: DataFrame, total: int) -> bytes:
@@ -349,7 +363,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     own = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
     total = docs.count()
-    layout = hot_anchors(rows, window, Layout(frequent_words(rows, total)))
+    repeats = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    layout = hot_anchors(rows, window, Layout(frequent_words(rows, total), repeats=repeats))
     held = docs.sparkSession.sparkContext.broadcast((layout, pack_dictionary(rows, total)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +393,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = zstandard.ZstdCompressionDict(held.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=words)
+        packer = zstandard.ZstdCompressor(level=6, dict_data=words)
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             packed = pa.array([packer.compress((t.as_py() or "").encode()) for t in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["id", "doc_id", "packed"])
@@ -389,7 +404,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         numbers = [("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct(numbers))]
         for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            out = [_cut(unpacker.decompress(t.as_py()), f.as_py()) for t, f in zip(part.column(1), part.column(2), strict=True)]
+            finds = part.column(2)
+            ends, names = finds.offsets.to_numpy().tolist(), ("pos", "words", "ref", "ref_start")
+            flat = [dict(zip(names, x, strict=True)) for x in zip(*(finds.values.field(n).to_pylist() for n in names), strict=True)]
+            of_row = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            out = [_cut(unpacker.decompress(t), f, repeats) for t, f in zip(part.column(1).to_pylist(), of_row, strict=True)]
             cols = list(zip(*((k.decode(), *x) for k, *x in out), strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "kept_text", "n_words", "n_removed", "factors"])
 

@@ -175,7 +175,7 @@ def local_dedup(rows, layout, chunk=7, window=13):
         for x in b.to_pylist():
             ref, start = np.frombuffer(x["body"], "<i8").tolist()
             found.setdefault(x["id"], []).append({"pos": x["pos"], "words": -x["n"], "ref": ref, "ref_start": start})
-    return {i: substring._cut(t, found.get(i))[1:] for i, t in rows}
+    return {i: substring._cut(t, found.get(i, []))[1:] for i, t in rows}
 
 
 @pytest.mark.parametrize(("bits", "rows_at_once", "words"), [(64, 1 << 15, 0), (2, 1 << 15, 0), (1, 50, 0), (2, 50, 300)])
