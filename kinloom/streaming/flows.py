@@ -11,12 +11,18 @@ from pyspark.sql.types import StructType
 from kinloom.operators.upsert import latest_by
 
 
+def place(path: str) -> str:
+    """A pattern of one place: a plain path to a single file is refused by streams."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read(spark: SparkSession, path: str, schema: StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files at ``path`` (a folder, or one file)."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(place(path))
 
 
 def drain(stream: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None], mode: str = "append") -> None:
