@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.session import materialise, shared_dir, shared_path
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "attach", "bounded_sample", "keep_ids", "materialise", "missing_ids", "mix64", "n_words", "prefix_hash", "shared_dir", "shared_path", "span_hash"]
+__all__ = [
+    "SPACES", "attach", "bounded_sample", "drawn", "free_name", "keep_ids", "materialise", "missing_ids", "mix64", "n_words", "numbered",
+    "prefix_hash", "running", "shared_dir", "shared_path", "small", "span_hash", "spread_join",
+]
 
 #: The whitespace of the word rule: U+0020 and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: A side with at most so many rows of one or two long columns (some 32 MB) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many measured bytes may be broadcast.
+BROADCAST_BYTES = 48 << 20
+#: A key is heavy if it has more than HEAVY_ROWS rows and more than one HEAVY_KEYS-th of all; so at most HEAVY_KEYS keys are.
+HEAVY_ROWS, HEAVY_KEYS = 64, 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -21,36 +26,99 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, SPACES), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, or a longer one if ``df`` has such a column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written with a number of each row's own, and that column's name: rows without an id or with the same stay apart."""
+    (name,) = free_name(df, name)
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def small(df: DataFrame, limit: int | None = None) -> bool:
+    """True if the rows of ``df`` measure at most ``limit`` (BROADCAST_BYTES) bytes: 16 and 8 a column for each, and what texts and arrays hold."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    sizes += [F.greatest(F.size(c), F.lit(0)) * 48 for c, kind in df.dtypes if kind.startswith("array")]
+    row = sum(sizes, F.lit(16 + 8 * len(df.columns)))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df) else df
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``ids``. The ids are broadcast if counted to be few, else both sides are shuffled."""
-    ids = materialise(ids.select(on).distinct(), "ids")
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    """Rows of ``df`` whose ``on`` is in ``ids``. The ids are broadcast if measured to be small, else both sides are shuffled."""
+    return df.join(_side(materialise(ids.select(on).distinct(), "ids")), on, "left_semi")
 
 
 def missing_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not in ``ids``, null included; joined as in keep_ids()."""
-    ids = materialise(ids.select(on).distinct(), "missing-ids")
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, on, "left_anti")
+    return df.join(_side(materialise(ids.select(on).distinct(), "missing-ids")), on, "left_anti")
+
+
+def attach(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Inner join on ``on``; ``few`` is broadcast if measured to be small, else both sides are shuffled."""
+    return df.join(_side(few), on)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row for each key and in ``count`` how many of all ``total`` rows have it.
+
+    Heavy keys go by broadcast, of which there are at most HEAVY_KEYS by their definition; the others are shuffled, and
+    none of them fills a task. Keys aren't null.
+    """
+    bound = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    on = [on] if isinstance(on, str) else on
+    heavy = F.broadcast(table.where(F.col(count) > bound))
+    light = rows.join(F.broadcast(table.where(F.col(count) > bound).select(*on)), on, "left_anti").join(table.where(F.col(count) <= bound), on)
+    return rows.join(heavy, on).unionByName(light)
+
+
+def running(df: DataFrame, order: list, number: str, name: str, **sums: str) -> DataFrame:
+    """``df`` with ``number``, the place of each row by ``order`` from 0, and for each new=old of ``sums`` the sum of old over the rows before.
+
+    Rows are range-sorted; the totals of the ranges, of which there are as many as shuffle partitions, are summed first.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(F.count("*").alias("_rows"), *[F.sum(old).alias(f"_{new}") for new, old in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_rows", *(f"_{new}" for new in sums))])
+    within = Window.partitionBy("_range").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(totals), "_range").withColumn(number, F.col("_rows") + F.row_number().over(within) - 1)
+    for new, old in sums.items():
+        rows = rows.withColumn(new, F.col(f"_{new}") + F.coalesce(F.sum(old).over(so_far), F.lit(0)))
+    return rows.drop("_range", "_rows", *(f"_{new}" for new in sums))
 
 
-def attach(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
-    """Inner join on ``on``; ``small`` is broadcast if counted to have few rows, else both sides are shuffled."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(small) if few else small, on)
+def drawn(df: DataFrame, key: str, about: int) -> DataFrame:
+    """About ``about`` rows of ``df`` (all, if it has fewer), drawn by the hash of ``key``, each key once: reruns agree."""
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("drawn")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.where(draw < about / max(df.count(), 1)).dropDuplicates([key])
 
 
 def bounded_sample(df: DataFrame, key: str, label: str, per_class: int, most_classes: int = 1000) -> DataFrame:
     """About ``per_class`` rows of each value of ``label`` (all, if it has fewer), drawn by the hash of ``key``.
 
-    The draw depends on the rows alone, so reruns agree. Its size is bounded by ``per_class * most_classes``
-    whatever the size of ``df``; it is for fitting classifiers only.
+    The draw depends on the rows alone, so reruns agree; rows that repeat a key and label count once. Its size is bounded
+    by ``per_class * most_classes`` whatever the size of ``df``; it is for fitting classifiers only.
     """
     counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes)
     share = counts.select(F.col(label).alias("_label"), (F.lit(float(per_class)) / F.col("count")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.join(F.broadcast(share), F.col(label) == F.col("_label")).where(draw < F.col("_share")).drop("_label", "_share")
+    found = df.join(F.broadcast(share), F.col(label) == F.col("_label")).where(draw < F.col("_share"))
+    return found.drop("_label", "_share").dropDuplicates([key, label])
 
 
 # Hashes of spans of an array: a polynomial over a random table, summed once, so that any span's hash is a difference.

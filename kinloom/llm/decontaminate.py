@@ -1,14 +1,20 @@
 """Benchmark decontamination with SimHash windows (operator 1); DataFrame functions only.
 
 A document is contaminated by a benchmark item if a window of the item's size in it has a weighted-shingle similarity
-of ``SIMILAR`` or more with the item. Each window gets a SimHash of its ``SHINGLE``-word shingles; a multi-index over
-``RADIUS`` + 1 blocks of the 64 bits finds every item of that size within ``RADIUS`` bits (two fingerprints that
-differ in at most RADIUS bits are equal in one of RADIUS + 1 blocks); the exact similarity then decides.
-
-A similarity of s between a shingles and b needs s * (a + b) / (1 + s) shared ones. So only windows with so many positions
-that hold a shingle of the item are fingerprinted, wherever in the window these stand: all starts from which the window
-spans that many. That join is by equality of shingle hashes; hashes only propose, and the similarity is counted on words.
-A text shorter than an item is one window as a whole.
+of ``SIMILAR`` or more with the item. Windows get a SimHash of their ``SHINGLE``-word shingles. The index cuts the 64 bits
+of the items' SimHashes into BLOCKS blocks, each with up to FLIPS bits flipped: two fingerprints that differ in at most
+RADIUS bits differ in at most FLIPS bits in one of the blocks, so an equality join finds every item within RADIUS of a
+window. The exact similarity then decides.
+
+A similarity of 0.8 is about 10 of 64 bits and may be more than RADIUS. An index that guarantees those needs so many or
+so narrow blocks that it finds nearly all pairs. So what lies beyond RADIUS is found by an exact way beside it: two bags
+of such a similarity share one of their rarest shingles (a share of 1 - SIMILAR of them, and one), so an equality join of
+those finds them all. A shingle that thousands of items share is among the rarest of hardly any.
+
+A similarity of s between bags of a and b shingles needs s * (a + b) / (1 + s) shared ones. So only windows with so many
+positions that hold a shingle of some item of their size are fingerprinted, wherever in the window these stand: all starts
+from which the window spans that many. That join is by equality of shingle hashes; hashes only propose, and the
+similarity is counted on words. A text shorter than an item is one window as a whole.
 """
 
 from __future__ import annotations
@@ -18,9 +24,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keep_ids, materialise
+from .common import attach, materialise, small
 
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
+SHINGLE, SIMILAR = 5, 0.8
+BLOCKS, FLIPS = 4, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 
 
 def words(text: Column) -> Column:
@@ -55,10 +63,52 @@ def _hashed(sh: Column) -> Column:
     return F.transform(sh, lambda s: F.xxhash64(s))
 
 
-def blocks(fp: Column, n: int = RADIUS + 1) -> Column:
-    """An array of (block number, bits of the block): 64 bits cut into n blocks as even as can be."""
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def block(fp: Column, i: int) -> Column:
+    """Block ``i`` of the bits of ``fp``."""
+    bits = 64 // BLOCKS
+    return F.shiftrightunsigned(fp, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def flips() -> list[int]:
+    """All masks of a block with at most FLIPS bits."""
+    masks = {0}
+    for _ in range(FLIPS):
+        masks |= {m | 1 << b for m in masks for b in range(64 // BLOCKS)}
+    return sorted(masks)
+
+
+def near(kinds: DataFrame, items: DataFrame) -> DataFrame:
+    """(wid, n, item_id) of the windows (wid, n, fp) and the items (item_id, n, fp) within RADIUS bits of each other."""
+    cut = F.inline(F.array(*[F.struct(F.lit(i).alias("no"), block(F.col("fp"), i).alias("bits")) for i in range(BLOCKS)]))
+    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in flips()]))
+    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), cut).select("*", masks.alias("m"))
+    index = index.select("item_id", "n", "item_fp", "no", F.col("bits").bitwiseXOR(F.col("m")).alias("bits"))
+    found = kinds.select("wid", "n", "fp", cut).join(index, ["n", "no", "bits"])
+    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("wid", "n", "item_id").distinct()
+
+
+def _elements(sh: Column) -> Column:
+    """The shingles of a bag, repeats told apart by their number: (hash, how many of it came before)."""
+    hs = _hashed(sh)
+    return F.transform(hs, lambda h, i: F.struct(h.alias("h"), F.size(F.filter(F.slice(hs, 1, i), lambda x: x == h)).alias("occ")))
+
+
+def beside(kinds: DataFrame, items: DataFrame, similar: float) -> DataFrame:
+    """(wid, n, item_id) of the windows (wid, n, sh) and items (item_id, n, sh) that share one of their rarest shingles."""
+    own = materialise(items.select("item_id", "n", F.size("sh").alias("size"), F.inline(_elements(F.col("sh")))), "item-elements")
+    often = own.groupBy("n", "h", "occ").agg(F.count("*").alias("often"))
+
+    def rarest(elements: DataFrame, key: str) -> DataFrame:
+        """The prefix of each bag in the order of how many items have an element; what no item has comes first."""
+        ranked = elements.join(F.broadcast(often) if few else often, ["n", "h", "occ"], "left")
+        ranked = ranked.groupBy(key, "n", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "h", "occ"))).alias("e"))
+        length = (F.col("size") - F.ceil(F.col("size") * similar - 1e-6) + 1).cast("int")
+        return ranked.select(key, "n", F.inline(F.slice("e", 1, length))).where("often > 0").drop("often")
+
+    few = small(often)
+    mine = rarest(own, "item_id")
+    theirs = rarest(kinds.select("wid", "n", F.size("sh").alias("size"), F.inline(_elements(F.col("sh")))), "wid")
+    return theirs.join(mine, ["n", "h", "occ"]).select("wid", "n", "item_id").distinct()
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -68,64 +118,79 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, k, sh, fp) of each item with a word; k is the shingle size: all words of an item with fewer than SHINGLE."""
+    """(item_id, n, ws, k, sh, fp) of each item with a word; k is the shingle size: all words of an item with fewer than SHINGLE."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where("size(ws) > 0")
     rows = rows.withColumn("n", F.size("ws")).withColumn("k", F.least("n", F.lit(SHINGLE)))
-    return rows.withColumn("sh", shingles(F.col("ws"), F.col("k"))).withColumn("fp", simhash(_hashed(F.col("sh")))).drop("ws")
+    return rows.withColumn("sh", shingles(F.col("ws"), F.col("k"))).withColumn("fp", simhash(_hashed(F.col("sh"))))
 
 
 def window_starts(hits: DataFrame, similar: float) -> DataFrame:
     """(doc_id, row, n, k, start) of all windows that have shared shingles enough for ``similar``, once each.
 
-    hits: (doc_id, row, size, item_id, n, k, pos), the positions of a text's shingles that are in an item. Hits i to
+    hits: (doc_id, row, size, n, k, pos), the positions of a text's shingles that are in an item of n words. Hits i to
     i + need - 1, if they fit in a window, are spanned by the starts from the last less the window's length to the first.
     """
     hits = hits.withColumn("whole", F.least("n", "size") - F.col("k") + 1)
     # The slack is for rounding: a start too many is harmless.
-    hits = hits.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("k") + 1 + F.col("whole")) * (similar / (1 + similar)) - 1e-6).cast("int")))
-    held = hits.groupBy("doc_id", "row", "size", "item_id", "n", "k", "whole", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).where(F.size("at") >= F.col("need"))
+    need = F.ceil((F.col("n") - F.col("k") + 1 + F.col("whole")) * (similar / (1 + similar)) - 1e-6).cast("int")
+    hits = hits.withColumn("need", F.greatest(F.lit(1), need))
+    held = hits.groupBy("doc_id", "row", "size", "n", "k", "whole", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).where(F.size("at") >= F.col("need"))
     first = F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.get("at", i).alias("low"), F.get("at", i + F.col("need") - 1).alias("high"))))
     spans = held.select("doc_id", "row", "size", "n", "k", "whole", first.alias("s")).where(F.col("s.high") - F.col("s.low") < F.col("whole"))
     low, high = F.greatest(F.lit(0), F.col("s.high") - F.col("whole") + 1), F.least(F.col("s.low"), F.col("size") - F.col("k") + 1 - F.col("whole"))
     return spans.select("doc_id", "row", "n", "k", low.alias("low"), high.alias("high")).distinct().where("low <= high").select("doc_id", "row", "n", "k", F.explode(F.sequence("low", "high")).alias("start")).distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+def _span(hs: Column, at: Column, k: int) -> Column:
+    """The hash of the ``k`` word hashes from ``at`` on."""
+    return F.xxhash64(*[F.get(hs, at + i) for i in range(k)])
+
+
+def shared(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, row, size, n, k, pos): where ``rows`` (doc_id, row, ws) have a shingle of an item of n words, for each such n."""
+    found = []
+    for k in sizes:
+        own = items.where(F.col("k") == k).select("n", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("pos"))
+        grams = materialise(own.select("n", _span(_hashed(F.col("ws")), F.col("pos"), k).alias("h")).distinct(), "item-shingles")
+        mine = rows.where(F.size("ws") >= k).select("doc_id", "row", F.size("ws").alias("size"), _hashed(F.col("ws")).alias("hs"))
+        # Word hashes are taken once; a shingle's is made of them in the row that its position becomes.
+        mine = mine.select("doc_id", "row", "size", "hs", F.explode(F.sequence(F.lit(0), F.col("size") - k)).alias("pos"))
+        found.append(attach(mine.select("doc_id", "row", "size", "pos", _span(F.col("hs"), F.col("pos"), k).alias("h")), grams, "h").select("doc_id", "row", "size", "n", F.lit(k).alias("k"), "pos"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row (doc_id, item_id, start, n_words, similarity, distance) for each document and item that it holds.
 
     start: the first word of the most similar window (ties: the first); n_words: its size, which is the item's, or the
-    text's if that is shorter. Null and empty texts and items give no rows. Rows that repeat a doc_id count as one document with all
-    their windows; a null doc_id gives no rows. Empty tables give no rows; extra columns are ignored.
+    text's if that is shorter; distance: bits between the SimHashes. Null and empty texts and items give no rows. Rows
+    that repeat a doc_id count as one document with all their windows; a null doc_id gives no rows. Empty tables give no
+    rows; extra columns are ignored.
     """
     items = materialise(items_of(benchmark), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, n_words long, similarity double, distance int")
     # ``row`` tells rows that repeat a doc_id apart.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), words(F.col(text_col)).alias("ws")).where("doc_id is not null")
-    grams = items.select("item_id", "n", "k", F.explode(F.array_distinct(_hashed(F.col("sh")))).alias("h"))
-    few = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    proposed = []
-    for k in sizes:
-        mine = grams.where(F.col("k") == k)
-        own = rows.where(F.size("ws") >= k).select("doc_id", "row", F.size("ws").alias("size"), F.posexplode(_hashed(shingles(F.col("ws"), F.lit(k)))).alias("pos", "h"))
-        proposed.append(own.join(F.broadcast(mine) if few else mine, "h").select("doc_id", "row", "size", "item_id", "n", "k", "pos"))
-    hits = materialise(reduce(DataFrame.unionByName, proposed), "shared-shingles")
-    starts = materialise(window_starts(hits, similar), "window-starts")
-    hit = keep_ids(rows, starts, "doc_id")
-    windows = hit.join(starts, ["doc_id", "row"]).select("doc_id", "start", "n", "k", F.slice("ws", F.col("start") + 1, F.col("n")).alias("win"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
+    split = rows.select("doc_id", "row", words(F.col("text")).alias("ws"))
+    hits = materialise(shared(split, items, sizes), "shared-shingles")
+    starts = window_starts(hits, similar).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "k")).alias("starts"))
+    starts = materialise(starts, "window-starts")
+    held = rows.join(F.broadcast(starts) if small(starts) else starts, ["doc_id", "row"])
+    held = held.select("doc_id", words(F.col("text")).alias("ws"), "starts")
+    windows = held.select("doc_id", F.inline(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["k"].alias("k"), F.slice("ws", s["start"] + 1, s["n"]).alias("win")))))
     # Equal windows, of which a passage that many documents share makes as many, are judged once.
     windows = materialise(windows.withColumn("wid", F.sha2(F.array_join("win", " "), 256)), "windows")
     kinds = windows.groupBy("wid", "n", "k").agg(F.any_value("win").alias("win"))
-    kinds = kinds.withColumn("sh", shingles(F.col("win"), F.col("k"))).withColumn("fp", simhash(_hashed(F.col("sh")))).drop("win")
-    kinds = materialise(kinds, "window-kinds")
-    left = kinds.select("wid", "n", "fp", F.inline(blocks(F.col("fp"), radius + 1)))
-    right = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius + 1)))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["n", "no", "bits"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("wid", "n", "item_id", "distance").distinct()
-    judged = near.join(kinds.select("wid", "n", "sh"), ["wid", "n"]).join(items.select(F.col("item_id").alias("_item"), F.col("sh").alias("item_sh")), F.col("item_id").eqNullSafe(F.col("_item")))
-    judged = judged.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= similar).select("wid", "n", "item_id", "similarity", "distance")
-    found = windows.select("doc_id", "start", "n", "wid", F.size("win").alias("size")).join(judged, ["wid", "n"])
+    kinds = materialise(kinds.withColumn("sh", shingles(F.col("win"), F.col("k"))).withColumn("hs", _hashed(F.col("sh"))).drop("win"), "window-shingles")
+    kinds = materialise(kinds.withColumn("fp", simhash(F.col("hs"))).drop("hs"), "window-kinds")
+    pairs = near(kinds, items).unionByName(beside(kinds, items, similar)).distinct()
+    of_item = items.select(F.col("item_id").alias("_item"), "n", F.col("sh").alias("item_sh"), F.col("fp").alias("item_fp"))
+    judged = pairs.join(kinds.select("wid", "n", "sh", "fp"), ["wid", "n"]).join(of_item.withColumnRenamed("n", "_n"), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("n") == F.col("_n")))
+    judged = judged.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= similar)
+    judged = materialise(judged.select("wid", "n", "item_id", "similarity", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")), "judged")
+    found = attach(windows.select("doc_id", "start", F.col("n").alias("_n"), "wid", F.size("win").alias("size")), judged, "wid").where("n = _n")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "size", "distance")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.before")).cast("long").alias("start"), F.col("b.size").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("b.distance").alias("distance"))
 

@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning (operator 8).
 
-A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded from its characters and words; a gated
-attention network, learned from document labels only, weighs the passages, and the weighted sum is scored. All passages
+A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by measures of its characters and words and
+by hashed counts of its words and pairs of words; a gated attention network, learned from document labels only, weighs the passages, and the weighted sum is scored. All passages
 of the whole text count. Fitting uses a bounded sample of labelled rows; scoring runs over Arrow batches of all rows.
 """
 
@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample, prefix_hash, span_hash
+from .common import attach, bounded_sample, mix64, prefix_hash, span_hash
 
 PASSAGE = 64
-N_FEATURES = 20
+#: Measures of form, and buckets of words and of pairs of words.
+N_FORM, BUCKETS = 20, 64
+N_FEATURES = N_FORM + 2 * BUCKETS
 _KNOWN = 0x3000
+#: What holds the weights back.
+HOLD = np.float32(3e-4)
 _SPACE, _LOWER, _UPPER, _DIGIT, _STOP, _BANG, _BAR, _MARK, _REST = range(9)
 
 
@@ -81,7 +85,10 @@ def encode(text: str | None) -> np.ndarray:
         np.sqrt(np.maximum(mean(size**2) - length**2, 0)) / 10, mean(again), mean(fresh), mean(seen), mean(caps),
         mean(ends), mean((size > 20).astype(float)), np.log1p(words) / 4, np.full(m, np.log1p(n) / 10), letters / total,
     ]
-    return np.minimum(np.stack(f, axis=1), 4).astype(np.float32)
+    form = np.minimum(np.stack(f, axis=1), 4)
+    pair = mix64(whole[:-1] * np.uint64(3) + whole[1:])
+    grams = [np.bincount(of_gram * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=m * BUCKETS).reshape(m, BUCKETS) for of_gram, h in ((passage, mix64(whole)), (passage[:-1], pair))]
+    return np.hstack([form, *(np.sqrt(g) / np.sqrt(words)[:, None] for g in grams)]).astype(np.float32)
 
 
 class Network:
@@ -90,8 +97,8 @@ class Network:
     def __init__(self, width: int = 16, gate: int = 8, seed: int = 8):
         rng = np.random.default_rng(seed)
         shapes = {"W": (N_FEATURES, width), "b": (width,), "V": (width, gate), "U": (width, gate), "a": (gate,), "w": (width,), "c": ()}
-        self.p = {k: rng.normal(0, 1 / np.sqrt(max(s[0] if s else 1, 1)), s) if k not in "bc" else np.zeros(s) for k, s in shapes.items()}
-        self.mean, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
+        self.p = {k: (rng.normal(0, 1 / np.sqrt(max(s[0] if s else 1, 1)), s) if k not in "bc" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+        self.mean, self.scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
 
     def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple:
         """x: all bags' passages; starts: where each bag begins. No bag is empty."""
@@ -107,18 +114,19 @@ class Network:
         out = 1 / (1 + np.exp(-np.clip(z @ p["w"] + p["c"], -30, 30)))
         return out, x, h, t, s, weight, z, bag
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float = 0.02) -> None:
-        x = np.concatenate(bags).astype(float)
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = 200, rate: float = 0.02) -> None:
+        x = np.concatenate(bags)
         starts = np.cumsum([0] + [len(b) for b in bags[:-1]])
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.05
-        share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + np.float32(0.05)
+        y = y.astype(np.float32)
+        share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for k in range(1, rounds + 1):
             p = self.p
             out, xs, h, t, s, weight, z, bag = self.forward(x, starts)
             d = share * (out - y)
-            g = {"w": z.T @ d + 1e-4 * p["w"], "c": d.sum()}
+            g = {"w": z.T @ d + HOLD * p["w"], "c": d.sum()}
             dz = d[:, None] * p["w"]
             dh = weight[:, None] * dz[bag]
             dweight = (h * dz[bag]).sum(axis=1)
@@ -128,11 +136,11 @@ class Network:
             g["V"], g["U"] = h.T @ dt, h.T @ ds
             dh += dt @ p["V"].T + ds @ p["U"].T
             dh *= 1 - h * h
-            g["W"], g["b"] = xs.T @ dh + 1e-4 * p["W"], dh.sum(axis=0)
+            g["W"], g["b"] = xs.T @ dh + HOLD * p["W"], dh.sum(axis=0)
             for n in p:
                 first[n] = 0.9 * first[n] + 0.1 * g[n]
                 second[n] = 0.999 * second[n] + 0.001 * g[n] ** 2
-                p[n] = p[n] - rate * (first[n] / (1 - 0.9**k)) / (np.sqrt(second[n] / (1 - 0.999**k)) + 1e-8)
+                p[n] = (p[n] - rate * (first[n] / (1 - 0.9**k)) / (np.sqrt(second[n] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Network | None:
@@ -167,7 +175,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             if held.value is None:
                 out, most = np.full(len(n), 0.5), 1 / n
             else:
-                out, *_, weight, _, _ = held.value.forward(np.concatenate(bags).astype(float), starts)
+                out, *_, weight, _, _ = held.value.forward(np.concatenate(bags), starts)
                 most = np.maximum.reduceat(weight, starts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.astype(float)), pa.array(n.astype(np.int64)), pa.array(most.astype(float))], ["doc_id", "score", "n_passages", "attention"])
 

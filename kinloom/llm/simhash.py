@@ -6,7 +6,11 @@ segment from which every chain of consecutive segments stays within its share of
 first, at most 1 in the first two, 2 in three, 3 in all four. The index holds, for each start, the first segment and
 the second with at most one bit flipped, so an equality join finds all chains of length two; where so many distinct
 fingerprints share a key that pairs would pile up, the key is lengthened to three segments. Longer chains and the
-whole distance are then checked on what is left. Equal fingerprints are collapsed before, so copies form no pairs.
+whole distance are then checked on what is left. Equal fingerprints are collapsed before, so copies form no pairs, and
+a fingerprint has at most 43,744 links (all words of 64 bits within 3), whatever the corpus.
+
+A fingerprint, a component or the neighbours of a node may hold a third of all rows: where rows meet what is known of
+their key, heavy keys go by broadcast and only the others by a shuffle (see spread_join).
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 
 RADIUS = 3
 #: Keys under which probes times index rows exceed this get the longer chain.
@@ -45,15 +49,17 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp long) for each row, and with ``row_col`` (a long) also row and text_hash; null and empty texts have 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), k) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, fp long")
+    more = [F.col(row_col).cast("long").alias("row"), F.xxhash64(F.col(text_col)).alias("text_hash")] if row_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(work, "doc_id long, fp long" + (", row long, text_hash long" if row_col else ""))
 
 
 def _segment(fp: Column | str, i: int) -> Column:
@@ -114,11 +120,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        now = materialise(small, "edges")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = spread_join(both.where("b > a"), least, "a", "n", seen[0])
+        large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "a", "n", large.count())
+        small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         mark_now = mark(now)
         if mark_now == seen:
             break
@@ -128,23 +136,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """One row (doc_id, fp, component_id, n_links) for each row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, row_col: str | None = None) -> DataFrame:
+    """One row (doc_id, fp, component, component_id, n_links) for each row of ``docs``; with ``row_col`` also row and text_hash.
 
-    component_id: the smallest doc_id reachable over links of at most RADIUS bits, itself included. n_links: the number
-    of other distinct fingerprints linked to its own. Null or empty texts: fingerprint 0, linked like any other. Rows
-    that repeat a doc_id each keep their row. A null doc_id is never the smallest unless its group has no other. An
-    empty table gives no rows; extra columns are ignored.
+    component: the smallest fingerprint (as a signed number) reachable over links of at most RADIUS bits. component_id:
+    the smallest doc_id of those, null ids last. n_links: the number of other distinct fingerprints linked to its own.
+    Null or empty texts: fingerprint 0, linked like any other. Rows that repeat a doc_id each keep their row. An empty
+    table gives no rows; extra columns are ignored.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    fps = materialise(fingerprints(docs, id_col, text_col, k, row_col), "fingerprints")
+    total = fps.count()
+    first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     pairs = materialise(links(first), "links")
     comp = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    joined = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = joined.join(smallest, "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
+    joined = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
+    joined = materialise(joined.join(degree, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), "memberships")
+    smallest = materialise(joined.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "components")
+    classes = spread_join(joined, smallest, "component", "members", total)
+    classes = materialise(classes.select("fp", "component", "component_id", "n_links", "n"), "classes")
+    more = ["row", "text_hash"] if row_col else []
+    return spread_join(fps, classes, "fp", "n", total).select("doc_id", "fp", "component", "component_id", "n_links", *more)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def _key(hashes: np.ndarray) -> np.ndarray:
 
 
 def _exact(symbols: np.ndarray, window: int) -> np.ndarray:
-    """A number for each run of ``window`` symbols; runs have the same number exactly if they are equal."""
-    now, span = pd.factorize(symbols)[0].astype(np.int64), 1
+    """A number for each run of ``window`` symbols (below 2**31); runs have the same number exactly if they are equal."""
+    now, span = symbols.astype(np.int64), 1
     while span < window:
         step = min(span, window - span)
         if len(now) <= step:

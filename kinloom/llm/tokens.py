@@ -2,8 +2,8 @@
 
 A dataset is a folder of Parquet files of blocks in ascending doc_id order. A block is one binary value: a header, the
 Elias-Fano code of its document boundaries, and the concatenated ids in two or four bytes each. Spark's own writer puts
-the files, so a lost executor's files are never seen half-written. A boundary is read by a select on the code; there
-is no table of 64-bit offsets.
+the files, so a lost executor's files are never seen half-written. Readers take a document's boundaries by select on the
+code; there is no table of 64-bit offsets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -61,11 +62,13 @@ class Boundaries:
         for _ in range(left):
             now &= now - 1
         high = byte * 8 + (now & -now).bit_length() - 1 - i
-        value = 0
-        for b in range(self.low):
-            p = i * self.low + b
-            value |= (int(self.lows[p // 8]) >> (p % 8) & 1) << b
-        return high << self.low | value
+        bit, end = i * self.low, (i + 1) * self.low
+        lows = int.from_bytes(self.lows[bit // 8 : (end + 7) // 8].tobytes(), "little") >> bit % 8
+        return high << self.low | lows & (1 << self.low) - 1
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where document i begins and ends: two selects."""
+        return self.select(i), self.select(i + 1)
 
     def all(self) -> np.ndarray:
         ones = np.nonzero(np.unpackbits(self.highs, bitorder="little"))[0][: self.n] - np.arange(self.n)
@@ -238,8 +241,11 @@ def _encoder(path: str) -> Encoder:
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids array<long>, bytes binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", id_bytes: int | None = None, partitions: int | None = None) -> None:
-    """Write the ids of every whole text, in ascending doc_id order, as a folder of blocks at ``path``.
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
+    id_bytes: int | None = None, partitions: int | None = None, order: list[Column] | None = None,
+) -> None:
+    """Write the ids of every whole text, in ascending doc_id order or by ``order``, as a folder of blocks at ``path``.
 
     ``end_id`` is put after each document. Null text counts as empty; null doc_ids come first; rows that repeat a
     doc_id all count, in order of their texts. An empty table writes no blocks. Extra columns are ignored. Texts move
@@ -276,9 +282,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
         if names:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keys = [c.alias(f"_order{k}") for k, c in enumerate(order or [F.col(id_col).cast("long")])]
+    by = [f"_order{k}" for k in range(len(keys))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keys)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, BLOCKS).write.parquet(path)
+    rows.repartitionByRange(n, *by).sortWithinPartitions(*by, "text").select("doc_id", "text").mapInArrow(work, BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -295,10 +303,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for base, names, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 bounds, ids = unpack(block.as_py())
-                ends = bounds.all()
                 for at in range(0, len(names), 1024):
-                    cut = ends[at : at + 1025]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 1024], pa.int64()), pa.array(base + cut[:-1]), pa.array(np.diff(cut)), pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    spans = [bounds.span(i) for i in range(at, min(at + 1024, len(names)))]
+                    starts, sizes = pa.array([base + x for x, _ in spans], pa.int64()), pa.array([y - x for x, y in spans], pa.int64())
+                    bodies = pa.array([ids[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 1024], pa.int64()), starts, sizes, bodies], ["doc_id", "start", "n_tokens", "ids"])
 
     rows = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "bytes")
     return rows.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
@@ -307,12 +316,25 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 END_ID = 2
 
 
-def tokenized(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Write ``docs`` with the 50k byte-level tokenizer and read the files back: doc_id, start, n_tokens, ids_crc32."""
+def _file_order(docs: DataFrame) -> list[Column] | None:
+    """By file and row, if ``docs`` is a scan of files; Spark numbers the files that it writes in the order of the rows."""
+    where = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*where).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return where
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """Write ``docs`` with the 50k byte-level tokenizer and read the files back: doc_id, start, n_tokens, ids_crc32.
+
+    In the order of doc_id, or with ``in_order`` in the order of the files that ``docs`` is read from.
+    """
     import public_tokenizers
 
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, order=_file_order(docs) if in_order else None)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

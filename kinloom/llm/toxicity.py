@@ -2,23 +2,25 @@
 
 Many voters look at a document: one for each word or word beginning of a lexicon (a fixed seed, and terms mined from
 labelled rows), and patterns of style. A generative label model, fitted by expectation maximisation on a bounded sample
-of labelled and unlabelled rows, estimates how often each voter fires in either class and how voters correlate beyond
-the class; voters that repeat each other share their say. A linear classifier is then trained on the model's posterior
-labels and scores every row from Arrow batches.
+of rows, estimates from the votes alone how often each voter fires in either class and how voters correlate beyond the
+class; voters that repeat each other share their say. Labels give it the share of toxic rows, and nothing else. A linear
+classifier is then trained on the model's posterior labels and scores every row from Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample
+from .common import attach, bounded_sample, drawn, materialise
 
 #: Fixed: a seed of English insults; the rest of the lexicon is mined.
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting")
@@ -34,12 +36,23 @@ def terms(text: str | None) -> set[str]:
     return words | {"^" + w[:BEGINNING] for w in words if len(w) > BEGINNING}
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each code point: 1 if it is a letter, and 2 more if it is an upper-case one."""
+    return np.fromiter((chr(c).isalpha() + 2 * chr(c).isupper() for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+
+
+_TO_YOU = re.compile(r"\byou\b[^.!?\n]{0,40}!")
+
+
 def patterns(text: str | None) -> list[float]:
     """Votes of style: shouting, repeated exclamation, marks strewn in, direct address next to an exclamation."""
     text = text or ""
-    letters = sum(map(str.isalpha, text[: 1 << 30])) or 1
-    upper = sum(map(str.isupper, text))
-    return [float(upper > 0.5 * letters), float(text.count("!!") >= 3), float(sum(text.count(c) for c in "$%&*#@") > 0.02 * letters), float(bool(re.search(r"\byou\b[^.!?\n]{0,40}!", text.lower())))]
+    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    letters, upper = int(np.count_nonzero(kinds & 1)) or 1, int(np.count_nonzero(kinds & 2))
+    marks = sum(text.count(c) for c in "$%&*#@")
+    address = "!" in text and _TO_YOU.search(text.lower()) is not None
+    return [float(upper > 0.5 * letters), float(text.count("!!") >= 3), float(marks > 0.02 * letters), float(address)]
 
 
 N_PATTERNS = 4
@@ -69,40 +82,37 @@ def design(votes: np.ndarray) -> np.ndarray:
     return np.hstack([votes, np.minimum(hits, 1), np.log1p(hits), np.ones_like(hits)])
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior probability of class 1 for each row. known: 0, 1, or -1 where there is no label.
+def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
+    """Posterior probability of class 1 for each row of votes; no row's label is known to it.
 
-    Each voter fires with one rate in each class and else abstains; that no term fires is a vote of its own. Rows with labels start the rates; then all rows count by their
-    posterior, a label being one strong voter among the others. Residual correlations of voters given the class cut
-    their log-odds: a voter's weight is 1 over 1 plus the sum of its positive correlations.
+    Each voter fires with one rate in each class and else abstains; that no term fires is a vote of its own. A voter speaks
+    for class 1, so its rate there is held to be the higher one. To begin with, rows are ranked by how many voters fire, a
+    rare voter's vote weighing more, and a ``prior`` share of them is taken for class 1. Residual correlations of voters
+    given the class cut their log-odds: a voter's weight is 1 over 1 plus the sum of its positive correlations.
     """
     v = votes.astype(float)
-    post = np.where(known >= 0, known, np.nan)
-    prior = float(np.nanmean(post)) if (known >= 0).any() else 0.1
     prior = min(max(prior, 0.01), 0.99)
-    if (known == 1).any() and (known == 0).any():
-        post = np.where(known >= 0, known, 0).astype(float)
-        rows = known >= 0
-    else:
-        post, rows = np.where(v[:, :-N_PATTERNS].any(axis=1), 0.9, 0.05), np.ones(len(v), bool)
+    n = len(v)
+    say = v @ np.log((n + 1) / (v.sum(axis=0) + 1))
+    some = say[say > 0]
+    mark = max(np.quantile(say, 1 - prior), some.min() if len(some) else 1.0)
+    post = np.where(say >= mark, 0.9, 0.1 * prior)
+    none = ~v[:, :-N_PATTERNS].any(axis=1)
     weight = np.ones(v.shape[1])
     for k in range(rounds):
-        r, p = v[rows], post[rows]
-        on = (r.T @ p + 0.5 * 0.1) / (p.sum() + 0.1 + 0.5)
-        off = (r.T @ (1 - p) + 0.01 * 0.5) / ((1 - p).sum() + 1)
+        on = (v.T @ post + 0.05) / (post.sum() + 0.6)
+        off = (v.T @ (1 - post) + 0.005) / ((1 - post).sum() + 1)
         on, off = np.clip(on, 1e-4, 0.999), np.clip(off, 1e-4, 0.999)
+        on = np.maximum(on, off)
         if k % 10 == 0:
-            rest = r - p[:, None] * on - (1 - p[:, None]) * off
+            rest = v - post[:, None] * on - (1 - post[:, None]) * off
             rest /= rest.std(axis=0) + 1e-6
-            tie = np.clip(rest.T @ rest / len(rest), 0, 1)
+            tie = np.clip(rest.T @ rest / n, 0, 1)
             np.fill_diagonal(tie, 0)
             weight = 1 / (1 + np.where(tie > 0.3, tie, 0).sum(axis=1))
-        none = ~v[:, :-N_PATTERNS].any(axis=1)
-        rate = [((none[rows] * q).sum() + 0.5) / (q.sum() + 1) for q in (p, 1 - p)]
-        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(on / off)) + none * np.log(rate[0] / rate[1])
-        odds += np.where(known == 1, 4.0, np.where(known == 0, -4.0, 0.0))
+        rate = [((none * q).sum() + 0.5) / (q.sum() + 1) for q in (post, 1 - post)]
+        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(on / off)) + none * min(0.0, np.log(rate[0] / rate[1]))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        rows = np.ones(len(v), bool)
     return post
 
 
@@ -132,43 +142,45 @@ def mine(rows: DataFrame) -> list[str]:
 
     bags = rows.mapInArrow(work, "terms array<string>, label int").where("size(terms) > 0")
     least = lambda s: F.array_min(F.transform("terms", lambda t: F.xxhash64(t, F.lit(s))))
-    bags = bags.withColumn("m1", least(1)).withColumn("m2", least(2)).dropDuplicates(["m1", "m2", "label"]).persist()
+    bags = bags.withColumn("m1", least(1)).withColumn("m2", least(2))
+    # Of near copies the one whose terms have the least hash stays, so reruns agree.
+    bags = materialise(bags.groupBy("m1", "m2", "label").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms")), "bags")
     n = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
-        bags.unpersist()
         return []
     counts = bags.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     p = (F.col("a") + F.col("b")) / F.lit(toxic + clean)
     score = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt(p * (1 - p) * F.lit(1 / toxic + 1 / clean) + 1e-12)
     found = counts.where((F.col("a") >= LEAST_ROWS) & (F.col("a") / toxic > 20 * F.col("b") / clean)).withColumn("score", score).where(F.col("score") >= LEAST_SCORE)
-    out = sorted(r["term"] for r in found.orderBy(F.desc("score"), "term").limit(MOST_TERMS).collect())
-    bags.unpersist()
-    return out
+    return sorted(r["term"] for r in found.orderBy(F.desc("score"), "term").limit(MOST_TERMS).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, unlabelled: int = 4000) -> Model:
     """Learn from about ``per_label`` of the ``labels`` (doc_id, label) of each value and ``unlabelled`` other rows.
 
-    The draws are by hash of doc_id and bounded; texts stay on the executors, the driver gets their votes.
+    The draws are by hash and bounded; texts stay on the executors, the driver gets their votes. The lexicon is mined from
+    the labelled rows; the label model sees the votes of all rows drawn and the share of label 1 among them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = bounded_sample(labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", "label", per_label)
-    drawn = attach(rows, drawn, "doc_id").select("text", "label").persist()
-    model = Model(sorted({*SEED, *mine(drawn)}), np.zeros(0))
-    others = bounded_sample(rows.withColumn("label", F.lit(-1)), "doc_id", "label", unlabelled).select("text", "label")
+    known = bounded_sample(labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", "label", per_label)
+    known = materialise(attach(rows, known, "doc_id").select("text", "label"), "labelled")
+    model = Model(sorted({*SEED, *mine(known)}), np.zeros(0))
+    others = drawn(rows.select(F.xxhash64("doc_id", "text").alias("id"), "text"), "id", unlabelled).select("text", F.lit(-1).alias("label"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.votes(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["label", "votes"])
+            votes = pa.array([model.votes(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), votes], ["label", "votes"])
 
-    got = drawn.unionByName(others).mapInArrow(work, "label int, votes binary").toPandas().sort_values(["label", "votes"])
-    drawn.unpersist()
+    got = known.unionByName(others).mapInArrow(work, "label int, votes binary").toPandas().sort_values(["label", "votes"])
     votes = np.array([np.frombuffer(v, np.uint8) for v in got["votes"]]).reshape(len(got), len(model.lexicon) + N_PATTERNS)
     if not len(votes):
         votes, post = np.zeros((1, votes.shape[1]), np.uint8), np.zeros(1)
     else:
-        post = label_model(votes, got["label"].to_numpy())
+        own = got["label"].to_numpy()
+        prior = float((own == 1).sum() / (own >= 0).sum()) if (own >= 0).any() else 0.1
+        post = label_model(votes, prior)
     model.weights = fit_linear(design(votes), post)
     return model
 

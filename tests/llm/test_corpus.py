@@ -286,18 +286,38 @@ def test_decontamination_of_every_window(spark):
     assert got == want and {(0, 1), (3, 2), (4, 2), (9, 3)} <= set(want)
 
 
-def test_blocks_hold_the_guarantee(spark):
+def test_index_holds_its_guarantee_and_prunes(spark):
+    """Every item within RADIUS is found; of unrelated fingerprints the index meets under one pair in a hundred."""
     r = random.Random(2)
-    rows = []
-    for _ in range(200):
-        a = r.getrandbits(63)
-        rows.append((a, a ^ sum(1 << b for b in r.sample(range(63), decontaminate.RADIUS))))
-    df = spark.createDataFrame(rows, "a long, b long")
-    assert df.where(F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")))).count() == len(rows)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seeds = [r.getrandbits(64) for _ in range(300)]
+    near = [signed(s ^ sum(1 << b for b in r.sample(range(64), r.randint(0, decontaminate.RADIUS)))) for s in seeds]
+    kinds = spark.createDataFrame([(str(k), 36, f) for k, f in enumerate(near)], "wid string, n int, fp long")
+    items = spark.createDataFrame([(k, 36, signed(s)) for k, s in enumerate(seeds)], "item_id long, n int, fp long")
+    found = {(int(x["wid"]), x["item_id"]) for x in decontaminate.near(kinds, items).collect()}
+    assert {(k, k) for k in range(300)} <= found
+    meets = 4 * len(decontaminate.flips()) / (1 << 16)
+    assert meets < 0.01
     same = spark.createDataFrame([(1, [3, 3, 5]), (2, [-1])], "i int, h array<long>").select("i", decontaminate.simhash(F.col("h"))).collect()
     assert [x[1] for x in same] == [3, -1]
 
 
+def test_the_way_beside_the_index(spark):
+    """Bags of a similarity of 0.8 share one of their rarest shingles; a shingle of all items brings no pairs of others."""
+    r = random.Random(3)
+    items, kinds, want = [], [], set()
+    for k in range(60):
+        own = [f"s{r.randint(0, 400)}" for _ in range(30)] + ["everywhere", "everywhere"]
+        items.append((k, 36, own))
+        for j, gone in enumerate((0, 3, 7)):
+            kinds.append((f"{k}-{j}", 36, own[gone:] + [f"t{r.randint(0, 99)}" for _ in range(gone)]))
+    bag = lambda a, b: (Counter(a) & Counter(b)).total() / (Counter(a) | Counter(b)).total()
+    want = {(w, i) for w, _, a in kinds for i, _, b in items if bag(a, b) >= 0.8}
+    found = decontaminate.beside(spark.createDataFrame(kinds, "wid string, n int, sh array<string>"), spark.createDataFrame(items, "item_id long, n int, sh array<string>"), 0.8)
+    found = {(x["wid"], x["item_id"]) for x in found.collect()}
+    assert want <= found and len(want) >= 120 and len(found) < 0.2 * len(kinds) * len(items)
+
+
 # 4: licenses
 
 
