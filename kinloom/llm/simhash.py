@@ -97,13 +97,14 @@ def links(fps: DataFrame) -> DataFrame:
         near = (_differ(F.col("s2"), F.col("t2")) + F.col("used") <= 2) & (_differ(F.col("fp"), F.col("fp2")) <= RADIUS) & (F.col("fp") != F.col("fp2"))
         return pairs.where(near).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
 
+    # The sides are some times larger than what Spark expects of an explode, so they are shuffled whatever it expects.
     if crowds.isEmpty():
-        return checked(probe.join(index, "key")).distinct()
+        return checked(probe.join(index.hint("merge"), "key")).distinct()
     crowded = lambda df, how: df.join(crowds, "key", how)
-    short = checked(crowded(probe, "left_anti").join(crowded(index, "left_anti"), "key"))
+    short = checked(crowded(probe, "left_anti").join(crowded(index, "left_anti").hint("merge"), "key"))
     masks = F.when(F.col("used") == 0, _flips([0, *_ONE, *_TWO])).otherwise(_flips([0, *_ONE]))
     longer = crowded(index, "left_semi").withColumn("m", F.explode(masks)).withColumn("third", F.col("t2").bitwiseXOR(F.col("m")))
-    chains = checked(crowded(probe, "left_semi").withColumn("third", F.col("s2")).join(longer, ["key", "third"]))
+    chains = checked(crowded(probe, "left_semi").withColumn("third", F.col("s2")).join(longer.hint("merge"), ["key", "third"]))
     return short.unionByName(chains).distinct()
 
 
