@@ -38,7 +38,7 @@ def first_name(c: Column) -> Column:
 
 
 def last_name(c: Column) -> Column:
-    return blank_to_null(F.array_join(F.slice(name_parts(c), 2, 1 << 20), " "))
+    return blank_to_null(F.array_join(F.slice(name_parts(c), F.lit(2), F.greatest(F.size(name_parts(c)) - 1, F.lit(0))), " "))
 
 
 def address(c: Column) -> Column:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
 from kinloom.sources.events import get
 
+from .upsert import upsert
+
 TYPES = {"google_contacts": "contact", "gmail": "email_message", "google_calendar": "calendar_event"}
-PARSER_VERSION = "v1"
+PARSER_VERSION = SCHEMA_VERSION = "v1"
+#: The lists of objects that each parser reads.
+LISTS = {
+    "contact": ("$.names", "$.emailAddresses", "$.phoneNumbers", "$.organizations"),
+    "email_message": ("$.payload.headers",),
+    "calendar_event": ("$.attendees",),
+}
 
 
 def _texts(v: Column, path: str, field: str) -> Column:
@@ -27,7 +37,8 @@ def route(raw: DataFrame) -> DataFrame:
     v = F.try_parse_json("payload")
     kind = F.coalesce(*[F.when(F.col("source") == s, F.lit(t)) for s, t in TYPES.items()])
     raw = raw.withColumn("v", v).withColumn("event_type", kind)
-    bad = F.col("v").isNull() | _named(F.col("v"), "$.names") | _named(F.col("v"), "$.emailAddresses") | _named(F.col("v"), "$.attendees")
+    of_type = [F.when(F.col("event_type") == t, F.lit(False) if not ps else reduce(Column.__or__, [_named(F.col("v"), p) for p in ps])) for t, ps in LISTS.items()]
+    bad = F.col("v").isNull() | F.coalesce(*of_type, F.lit(False))
     why = F.when(F.col("event_type").isNull(), F.concat(F.lit("unsupported_source:"), F.col("source"))).when(bad, F.lit("parse_error:shape"))
     return raw.withColumn("failure", why)
 
@@ -58,9 +69,10 @@ def flatten_contacts(routed: DataFrame) -> DataFrame:
 
 
 def _header(v: Column, name: str) -> Column:
-    """The last header of that name, whatever its case."""
-    heads = F.coalesce(get(v, "$.payload.headers", "array<struct<name string, value string>>"), F.array().cast("array<struct<name string, value string>>"))
-    return F.try_element_at(F.filter(heads, lambda h: F.lower(h["name"]) == name), F.lit(-1))["value"]
+    """The last header of that name, whatever its case, whose value is a text."""
+    heads = F.coalesce(get(v, "$.payload.headers", "array<variant>"), F.array().cast("array<variant>"))
+    own = F.filter(heads, lambda h: (F.lower(get(h, "$.name")) == name) & (F.schema_of_variant(get(h, "$.value", "variant")) == "STRING"))
+    return F.try_element_at(F.transform(own, lambda h: get(h, "$.value")), F.lit(-1))
 
 
 def flatten_mail(routed: DataFrame) -> DataFrame:
@@ -138,6 +150,34 @@ def canonical_hash(df: DataFrame, *fields: str) -> DataFrame:
     return df.withColumn("canonical_hash", F.sha2(F.to_json(F.struct(*sorted(fields))), 256))
 
 
+def normalized(contacts: DataFrame, mail: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(raw_event_id, source, event_type, normalized): flattened events as the JSON texts that validate() reads."""
+    text = lambda **cols: F.to_json(F.struct(*[F.col(c).alias(k) for k, c in cols.items()])).alias("normalized")
+    head = ("raw_event_id", "source", "event_type")
+    mail = mail.withColumn("occurred_at", F.col("occurred_at").cast("string"))
+    out = contacts.select(*head, text(**{k: k for k in FIELDS["contact"]}))
+    out = out.unionByName(mail.select(*head, text(thread_id="thread_id", subject="subject", **{"from": "sender"}, snippet="snippet", to="recipients", occurred_at="occurred_at")))
+    return out.unionByName(meetings.select(*head, text(summary="summary", location="location", start_at="start_at", end_at="end_at", status="status", attendee_emails="attendees")))
+
+
+def stored(events: DataFrame, run_id: str, parsed_at: Column, *fields: str) -> DataFrame:
+    """Canonical rows as they are kept: stamped with run, status, versions and the hash of ``fields``."""
+    stamps = {"run_id": F.lit(run_id), "parse_status": F.lit("parsed"), "schema_version": F.lit(SCHEMA_VERSION), "parser_version": F.lit(PARSER_VERSION), "parsed_at": parsed_at}
+    return canonical_hash(events, *fields).withColumns(stamps)
+
+
+def put(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows under (raw event, type, parser version); the last put wins."""
+    return upsert(store, rows.select(*store.columns), ["raw_event_id", "event_type", "parser_version"], ["parsed_at"])
+
+
+def ingest_counts(routed: DataFrame, validated: DataFrame, enriched: DataFrame) -> DataFrame:
+    """For each source the raw, parsed and failed events, and of the parsed the valid, invalid and enriched ones."""
+    valid = validated.groupBy("source").agg(F.count_if(F.col("reason").isNull()).alias("valid"), F.count("reason").alias("invalid"))
+    rich = enriched.groupBy("source").agg(F.count("*").alias("enriched"))
+    return counts(routed).join(valid, "source", "left").join(rich, "source", "left").na.fill(0, ["valid", "invalid", "enriched"])
+
+
 def counts(routed: DataFrame) -> DataFrame:
     """Raw, parsed and failed events of each source, in one pass."""
     return routed.groupBy("source").agg(F.count("*").alias("raw"), F.count_if(F.col("failure").isNull()).alias("parsed"), F.count_if(F.col("failure").isNotNull()).alias("failed"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
+from kinloom.session import materialise
 
 from .upsert import upsert
 
@@ -118,6 +119,7 @@ def _hash(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
 
 
+#: Fixed: the keys under which nodes and edges are mirrored.
 NODE_KEYS = {"Person": "entity_id", "User": "user_id", "Company": "company_id", "Topic": "topic_id"}
 EDGE_KEYS = {
     "KNOWS": ("from_id", "to_id", "relationship_type"), "INTERACTED_WITH": ("actor_id", "target_id", "source_event_id"), "WORKS_AT": ("entity_id", "company_id"),
@@ -142,11 +144,29 @@ def edge_mirror(edges: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("edge_key is not null").groupBy("tenant_id", "edge_type", "edge_key").agg(F.max("row_hash").alias("row_hash"))
 
 
-def projection_run(run_id: str, checks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The record of a projection: its status by the checks, and its counts."""
-    status = checks.agg(F.when(F.bool_and("ok"), F.lit("verified")).otherwise(F.lit("mismatch")).alias("status"))
-    total = lambda d, n: d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(n))
-    return status.join(total(nodes, "node_count")).join(total(edges, "edge_count")).select(F.lit(run_id).alias("run_id"), "*")
+def put_mirror(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """The mirror after ``rows`` are put under their keys."""
+    keys = [c for c in store.columns if c != "row_hash"]
+    return upsert(store, rows.select(*store.columns), keys, ["row_hash"])
+
+
+def projection_run(run_id: str, node_checks: DataFrame, edge_checks: DataFrame, sums: DataFrame) -> DataFrame:
+    """The record of a projection: status and mismatches by verify(), what the graph has, and a checksum of the snapshot.
+
+    sums: checksum() of the snapshot; the checksum doesn't depend on the order of rows or parts.
+    """
+    bad = F.when(~F.col("ok"), F.concat_ws(":", "part", F.concat(F.lit("expected>="), "expected"), F.concat(F.lit("actual="), "actual")))
+    both = node_checks.select("*", F.lit("node").alias("kind")).unionByName(edge_checks.select("*", F.lit("edge").alias("kind")))
+    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("actual"))), F.lit(0))
+    run = both.agg(F.when(F.bool_and("ok"), F.lit("verified")).otherwise(F.lit("mismatch")).alias("status"), F.array_sort(F.collect_list(bad)).alias("mismatches"), total("node").alias("node_count"), total("edge").alias("edge_count"))
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", "part", F.col("n_rows").cast("string"), F.col("folded").cast("string"), F.col("summed").cast("string"))))
+    mark = sums.agg(F.sha2(F.array_join(parts, ","), 256).alias("snapshot_checksum"))
+    return run.join(mark).select(F.lit(run_id).alias("run_id"), "*")
+
+
+def put_run(runs: DataFrame, run: DataFrame) -> DataFrame:
+    """The table of runs after one is recorded, once for each id."""
+    return upsert(runs, run.select(*runs.columns), ["run_id"], ["status"])
 
 
 def put_nodes(graph: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
@@ -182,13 +202,39 @@ def second_degree(edges: DataFrame, anchors: DataFrame, most_via: int = 5) -> Da
     return ranked.groupBy("anchor", "entity_id").agg(F.array_sort(F.collect_list(F.when(F.col("_n") <= most_via, F.col("mid")))).alias("via_entity_ids"), F.max("s").alias("path_strength"))
 
 
+def second_degree_people(edges: DataFrame, anchors: DataFrame, people: DataFrame, works: DataFrame, companies: DataFrame, k: int = 25) -> DataFrame:
+    """Q9: the ``k`` people of the best second step for each anchor, then by id, with who they are and where they work.
+
+    Of several employers the one with the smallest id.
+    """
+    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc_nulls_last("path_strength"), "entity_id"))
+    best = second_degree(edges, anchors).withColumn("rn", rank).where(F.col("rn") <= k)
+    at = works.groupBy("entity_id").agg(F.min("company_id").alias("company_id")).join(companies.select("company_id", F.col("name").alias("company_name")), "company_id", "left")
+    return best.join(people.select("entity_id", "name", "primary_email", "domain", "seniority"), "entity_id", "left").join(at, "entity_id", "left")
+
+
+def routes(paths: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Q10: for each wanted (anchor, entity_id): found, path_length, the people on the path and the strength of each step.
+
+    paths: of shortest_paths(). Where none leads there, found is false and the rest is null or empty.
+    """
+    hit = wanted.join(paths.where("path_length > 0"), ["anchor", "entity_id"], "left")
+    steps = hit.where("path is not null").select("anchor", "entity_id", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "from_id"), "path")
+    steps = steps.select("anchor", "entity_id", "at", "from_id", F.get("path", F.col("at") + 1).alias("to_id"))
+    strong = edges.groupBy("from_id", "to_id").agg(F.max("strength").alias("strength"))
+    taken = steps.join(strong, ["from_id", "to_id"]).groupBy("anchor", "entity_id").agg(F.array_sort(F.collect_list(F.struct("at", "strength"))).alias("s"))
+    out = hit.join(taken, ["anchor", "entity_id"], "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return out.select("anchor", "entity_id", F.col("path").isNotNull().alias("found"), "path_length", none(F.col("path"), "string").alias("path"), none(F.col("s.strength"), "double").alias("strengths"))
+
+
 def shortest_paths(edges: DataFrame, anchors: DataFrame, most_steps: int = 4) -> DataFrame:
     """Q10: (anchor, entity_id, path_length, path) to everyone within ``most_steps`` KNOWS steps; ties by the smaller path.
 
     One equality join for each step, from the people reached last; those seen before are left out. Each level is a
     checkpoint, so a lost executor costs one level.
     """
-    pairs = edges.select("from_id", "to_id").where("from_id <> to_id").distinct()
+    pairs = materialise(edges.select("from_id", "to_id").where("from_id <> to_id").distinct(), "pairs")
     level = anchors.select("anchor", F.col("anchor").alias("entity_id"), F.lit(0).alias("path_length"), F.array("anchor").alias("path"))
     seen = level
     for step in range(1, most_steps + 1):

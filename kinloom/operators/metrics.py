@@ -21,9 +21,12 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def stage_metrics(events: DataFrame) -> DataFrame:
-    """O3: (run_id, stage, attempt) with start, duration in ms, records in and out, and status."""
+    """O3: (run_id, stage, attempt) with start, duration in ms, records in and out, status, and the error of its first failed event.
+
+    events: (run_id, stage, attempt, ts, ok, error).
+    """
     started, ended = F.min("ts"), F.max("ts")
-    return events.groupBy("run_id", "stage", "attempt").agg(started.alias("started_at"), (F.unix_millis(ended) - F.unix_millis(started)).alias("duration_ms"), F.count("*").alias("records_in"), F.count_if(F.col("ok")).alias("records_out"), F.when(F.bool_and("ok"), "completed").otherwise("failed").alias("status"))
+    return events.groupBy("run_id", "stage", "attempt").agg(started.alias("started_at"), (F.unix_millis(ended) - F.unix_millis(started)).alias("duration_ms"), F.count("*").alias("records_in"), F.count_if(F.col("ok")).alias("records_out"), F.when(F.bool_and("ok"), "completed").otherwise("failed").alias("status"), F.min_by("error", F.when(~F.col("ok"), F.col("ts"))).alias("error"))
 
 
 def put_stages(stages: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,8 +35,9 @@ def put_stages(stages: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def run_summary(stages: DataFrame) -> DataFrame:
-    """One row for each run, its stages as counts."""
-    return stages.groupBy("run_id").agg(F.count("*").alias("stages"), F.count_if(F.col("status") == "failed").alias("failed_stages"), F.sum("records_in").alias("records_in"), F.sum("records_out").alias("records_out"), F.sum("duration_ms").alias("duration_ms"))
+    """One row for each run: its totals, and its stages in order of their start with what each came to."""
+    each = F.struct("started_at", "stage", "attempt", "status", "records_in", "records_out", "duration_ms", "error")
+    return stages.groupBy("run_id").agg(F.array_sort(F.collect_list(each)).alias("by_stage"), F.count("*").alias("stages"), F.count_if(F.col("status") == "failed").alias("failed_stages"), F.sum("records_in").alias("records_in"), F.sum("records_out").alias("records_out"), F.sum("duration_ms").alias("duration_ms"))
 
 
 def scoped(df: DataFrame, tenant: str, user: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.session import materialise
+
 from . import graph as G
 
 MOST_QUERIES = 100_000
@@ -20,6 +22,7 @@ EMAIL = "([a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,})"
 DOMAIN = "(?i)\\b([\\w\\-]+\\.(?:com|io|ai|co|net|org|dev))\\b"
 NOISE = "find search show me who is the a an".split()
 
+#: Fixed: what each part of a score weighs.
 WEIGHTS = {"retrieval": 0.35, "strength": 0.25, "temporal": 0.15, "degree": 0.15, "shared": 0.10}
 
 
@@ -72,16 +75,17 @@ def by_name(people: DataFrame, queries: DataFrame, needle: str = "needle") -> Da
     return people.join(_asked(queries), holds(F.col("name"), F.col(needle)) | holds(F.col("primary_email"), F.col(needle)))
 
 
-def decorate(found: DataFrame, edges: DataFrame, anchor: str, works: DataFrame, companies: DataFrame) -> DataFrame:
-    """What search returns of each person: employer, and the anchor's KNOWS edge, degree and shared connections.
+def decorate(found: DataFrame, edges: DataFrame, works: DataFrame, companies: DataFrame) -> DataFrame:
+    """What search returns of each person: employer, and the KNOWS edge from the query's anchor, degree and shared connections.
 
-    Several edges or employers of a person give several rows.
+    found: (…, entity_id, anchor); each query has its own anchor, the person of who asks. Several edges or employers of a
+    person give several rows.
     """
-    own = edges.where(F.col("from_id") == anchor).select(F.col("to_id").alias("entity_id"), "strength", "interaction_count", "last_at")
-    anchors = edges.sparkSession.createDataFrame([(anchor,)], "anchor string")
-    out = found.join(own, "entity_id", "left").join(works.select("entity_id", "company_id"), "entity_id", "left")
+    anchors = F.broadcast(found.select("anchor").distinct())
+    own = edges.join(anchors, F.col("from_id") == F.col("anchor")).select("anchor", F.col("to_id").alias("entity_id"), "strength", "interaction_count", "last_at")
+    out = found.join(own, ["anchor", "entity_id"], "left").join(works.select("entity_id", "company_id"), "entity_id", "left")
     out = out.join(companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain")), "company_id", "left")
-    out = out.join(G.degree(edges), "entity_id", "left").join(G.shared(edges, anchors).drop("anchor"), "entity_id", "left")
+    out = out.join(G.degree(edges), "entity_id", "left").join(G.shared(edges, anchors), ["anchor", "entity_id"], "left")
     return out.na.fill(0, ["degree", "shared_connections"])
 
 
@@ -105,7 +109,7 @@ def company_search(companies: DataFrame, works: DataFrame, queries: DataFrame, k
 
 def intro_search(found: DataFrame, reach: DataFrame, k: int) -> DataFrame:
     """Q6: matches with the length of the shortest path from the anchor, shortest first, then strongest."""
-    rows = found.join(reach.select("entity_id", "path_length"), "entity_id", "left")
+    rows = found.join(reach.select("anchor", "entity_id", "path_length"), ["anchor", "entity_id"], "left")
     return top(rows, k, F.asc_nulls_last("path_length"), F.desc_nulls_last("strength"), F.asc("entity_id"))
 
 
@@ -148,3 +152,38 @@ def rank(found: DataFrame, as_of: Column, explain: bool = True) -> DataFrame:
         out = out.withColumn("explain", F.struct(*[F.round(f"_{k}", 4).alias(k) for k in parts]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rn")
     return out.withColumn("position", F.row_number().over(order)).drop(*[f"_{k}" for k in parts])
+
+
+def run(queries: DataFrame, people: DataFrame, edges: DataFrame, works: DataFrame, companies: DataFrame, as_of: Column, k: int = 20, most_steps: int = 4) -> DataFrame:
+    """Q22: queries (query_id, text, anchor) answered: what each means, its ``k`` matches, and their order and scores.
+
+    A query goes by its intent: to the people of its address, domain or name; to the people of its name with the shortest
+    path from its anchor; to companies; or, if it means nothing of these, to people who hold its whole text. Rows: query_id,
+    intent, result_type, total, position, result_id, name, path_length, score, explain.
+    """
+    asked = parse(queries).withColumns({"q_domain": F.col("domain"), "q_email": F.col("email"), "tokens": F.when(F.size("name_tokens") > 0, F.col("name_tokens")).otherwise(_tokens(F.col("text")))})
+    asked = materialise(asked.select("query_id", "text", "anchor", "intent", "target_name", F.col("company").alias("q_company"), "q_domain", "q_email", "name_tokens", "tokens"), "asked")
+    head = ["query_id", "intent", "anchor", "tokens"]
+    person = F.col("intent") == "person_search"
+
+    def needle(rows: DataFrame, c: Column) -> DataFrame:
+        return by_name(people, rows.select(*head, c.alias("needle"))).drop("needle")
+
+    by_mail = by_email(people, asked.where(person & F.col("q_email").isNotNull()).select(*head, F.col("q_email").alias("email"))).drop("email")
+    by_dom = by_domain(people, asked.where(person & F.col("q_email").isNull() & F.col("q_domain").isNotNull()).select(*head, "q_domain")).drop("q_domain")
+    named = needle(asked.where(person & F.col("q_email").isNull() & F.col("q_domain").isNull()), F.array_join("name_tokens", " "))
+    general = needle(asked.where("intent = 'general'"), F.col("text"))
+    found = decorate(by_mail.unionByName(by_dom).unionByName(named).unionByName(general), edges, works, companies)
+    found = people_search(found, k).withColumn("path_length", F.lit(None).cast("int"))
+    intro = asked.where("intent = 'intro_path'")
+    reach = G.shortest_paths(edges, intro.select("anchor").distinct(), most_steps).where("path_length > 0")
+    met = intro_search(decorate(needle(intro, F.col("target_name")), edges, works, companies), reach, k)
+    persons = found.unionByName(met.select(*found.columns)).withColumns({"result_type": F.lit("persons"), "result_id": F.col("entity_id")})
+    firms = asked.where("intent = 'company_search'").select(*head, F.col("q_company").alias("company"), "q_domain")
+    firms = company_search(companies, works, firms, k).withColumns({"result_type": F.lit("companies"), "result_id": F.col("company_id")})
+    shared = [*head, "result_type", "result_id", "name", "rn"]
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    firms = firms.select(*shared, null("primary_email", "string"), null("company_name", "string"), null("strength", "double"), null("last_at", "timestamp"), null("interaction_count", "long"), null("degree", "long"), null("shared_connections", "long"), null("path_length", "int"))
+    rows = persons.select(*firms.columns).unionByName(firms)
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    return rank(rows, as_of).withColumn("total", total).select("query_id", "intent", "result_type", "total", "position", "result_id", "name", "path_length", "score", "explain")

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
+from kinloom.operators import canonical as C
 from kinloom.operators import graph as G
 from kinloom.operators import metrics as M
 from kinloom.operators import search as Q
-from kinloom.operators.upsert import latest_by, upsert
+from kinloom.operators.upsert import latest_by, upsert, upsert_counts
 from kinloom.session import shared_path
 from kinloom.streaming import flows
 
-from .fixtures import AS_OF, ASKED, KNOWS, PEOPLE, Tables
+from .fixtures import AS_OF, ASKED, CONTACTS, KNOWS, PEOPLE, Tables
+from .ingest import BOTH, CANON
 from .registry import Registry
 
 reg = Registry()
@@ -86,9 +88,11 @@ def facts(t: Tables) -> DataFrame:
     return t.pair_facts.select(F.lit("t1").alias("tenant_id"), F.col("from_id").alias("actor_id"), F.col("to_id").alias("target_id"), F.col("kind").alias("touchpoint_type"), "occurred_at", F.col("event").alias("source_event_id"))
 
 
-@query("g9_interacted", f"WITH {KNOWS} SELECT from_id AS actor_id, to_id AS target_id, event AS source_event_id, kind AS channel, t_s FROM pairs")
+@query("g9_interacted", f"WITH {KNOWS} SELECT from_id AS actor_id, kind AS channel, count(*) AS edges, count(DISTINCT to_id) AS targets, min(event) AS first_event, max(event) AS last_event, CAST(sum(t_s) AS BIGINT) AS t_sum FROM pairs GROUP BY 1, 2")
 def g9(t: Tables) -> DataFrame:
-    return G.interacted_with(facts(t)).select("actor_id", "target_id", "source_event_id", "channel", F.unix_seconds("occurred_at").alias("t_s"))
+    """The edges of each person and channel: how many, to how many, the events at both ends, and their times summed."""
+    e = G.interacted_with(facts(t))
+    return e.groupBy("actor_id", "channel").agg(F.count("*").alias("edges"), F.countDistinct("target_id").alias("targets"), F.min("source_event_id").alias("first_event"), F.max("source_event_id").alias("last_event"), F.sum(F.unix_seconds("occurred_at")).alias("t_sum"))
 
 
 INTRO = """,
@@ -154,20 +158,43 @@ def g15(t: Tables) -> DataFrame:
     return G.verify(want, G.part_counts({"Person": G.persons(t.entities.where("seq % 7 <> 0")), "User": users}, "label"), "label").drop("tenant_id")
 
 
-@query("g16_node_mirror", f"WITH {GRAPH} SELECT part AS node_label, key AS node_key FROM nod")
+MIRROR = """hsh AS (
+  SELECT 'Person' AS part, entity_id AS key, '{"domain":"' || split_part(email, '@', 2) || '","entity_id":"' || entity_id || '","location":"' || location || '","name":"' || name || '","primary_email":"' || email || '","seniority":"' || title || '","tenant_id":"t1"}' AS body FROM people
+  UNION ALL SELECT 'User', user_id, '{"email":"' || email || '","name":"' || name || '","role":"' || role || '","tenant_id":"t1","user_id":"' || user_id || '"}' FROM usr
+  UNION ALL SELECT 'Company', company_id, '{"company_id":"' || company_id || '","domain":"' || domain || '","location":"' || location || '","name":"' || name || '","tenant_id":"t1"}'
+    FROM (SELECT 'cmp_' || lower(company) AS company_id, min_by(company, seq) AS name, min_by(location, seq) AS location, replace(lower(company), '_', '-') || '.com' AS domain FROM people GROUP BY company)
+  UNION ALL SELECT 'Topic', topic_id, '{"name":"' || topic || '","tenant_id":"t1","topic_id":"' || topic_id || '"}' FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY seq, topic) AS r FROM ment) WHERE r = 1)"""
+
+
+@query("g16_node_mirror", f"WITH {GRAPH}, {MIRROR} SELECT part AS node_label, key AS node_key, sha256(body) AS row_hash FROM hsh")
 def g16(t: Tables) -> DataFrame:
-    return G.node_mirror(nodes(t)).select("node_label", "node_key")
+    """The mirror put twice, first of people under other names: keys stay, hashes are those of the last."""
+    old = G.node_mirror({"Person": G.persons(t.entities.withColumn("display_name", F.lower("display_name")))})
+    return G.put_mirror(G.put_mirror(old.where(F.lit(False)), old), G.node_mirror(nodes(t))).select("node_label", "node_key", "row_hash")
 
 
-@query("g17_edge_mirror", f"WITH {GRAPH} SELECT part AS edge_type, key AS edge_key FROM edg")
+@query("g17_edge_mirror", f"WITH {GRAPH} SELECT part AS edge_type, split_part(key, '->', 1) AS from_key, count(*) AS edges, min(key) AS first_key, max(key) AS last_key FROM edg GROUP BY 1, 2")
 def g17(t: Tables) -> DataFrame:
-    return G.edge_mirror(edges(t)).select("edge_type", "edge_key")
+    """The mirror of edges, put twice, by type and start."""
+    rows = G.edge_mirror(edges(t))
+    store = G.put_mirror(rows.where("edge_type = 'WORKS_AT'"), rows)
+    return store.groupBy("edge_type", F.split_part("edge_key", F.lit("->"), F.lit(1)).alias("from_key")).agg(F.count("*").alias("edges"), F.min("edge_key").alias("first_key"), F.max("edge_key").alias("last_key"))
 
 
-@query("g18_run", f"WITH {GRAPH} SELECT 'run1' AS run_id, 'verified' AS status, (SELECT count(*) FROM nod) AS node_count, (SELECT count(*) FROM edg) AS edge_count")
+@query("g18_run", f"""WITH {PEOPLE}, {USERS}, n AS (SELECT (SELECT count(*) FROM people) AS p, (SELECT count(*) FROM people WHERE seq % 7 <> 0) AS q, (SELECT count(*) FROM usr) AS u)
+SELECT 'run1' AS run_id, 'mismatch' AS status, 'Person:expected>=' || p || ':actual=' || q AS mismatches, q + u AS node_count, p AS edge_count FROM n UNION ALL SELECT 'run2', 'verified', '', p + u, p FROM n""")
 def g18(t: Tables) -> DataFrame:
-    n, e = G.part_counts(nodes(t), "part"), G.part_counts(edges(t), "part")
-    return G.projection_run("run1", G.verify(n, n, "part"), n, e)
+    """Two projections of people, users and employers: one into a graph that lost every seventh person, one whole."""
+    snapshot = {"Person": G.persons(t.entities), "User": G.users(tenant_users(t))}
+    works = {"WORKS_AT": G.works_at(t.entities)}
+    want = [G.part_counts(x, "part") for x in (snapshot, works)]
+    sums = G.checksum({**snapshot, **works})
+    runs = None
+    for run, people in (("run1", G.persons(t.entities.where("seq % 7 <> 0"))), ("run2", snapshot["Person"])):
+        there = [G.part_counts(x, "part") for x in ({"Person": people, "User": snapshot["User"]}, works)]
+        new = G.projection_run(run, G.verify(want[0], there[0], "part"), G.verify(want[1], there[1], "part"), sums)
+        runs = new if runs is None else G.put_run(runs, new)
+    return runs.select("run_id", "status", F.array_join("mismatches", ",").alias("mismatches"), "node_count", "edge_count")
 
 
 @query("s12_node_sink", f"WITH {PEOPLE} SELECT entity_id, CASE WHEN seq % 2 = 0 THEN lower(name) ELSE name END AS name, 1 AS created_at, CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END AS updated_at FROM people")
@@ -178,6 +205,15 @@ def s12(t: Tables) -> DataFrame:
     return G.put_nodes(G.put_nodes(first.where(F.lit(False)), first, "entity_id"), again, "entity_id").drop("tenant_id")
 
 
+@query("s12_counts", f"WITH {PEOPLE}, {USERS} SELECT 'Person' AS label, count(*) FILTER (seq % 2 = 1) AS created, count(*) FILTER (seq % 2 = 0) AS updated FROM people UNION ALL SELECT 'User', count(*), 0 FROM usr")
+def s12_counts(t: Tables) -> DataFrame:
+    """What a sink creates and updates, by label: half of the people are there, no user is."""
+    p, u = G.persons(t.entities), G.users(tenant_users(t))
+    both = (("Person", upsert_counts(G.persons(t.entities.where("seq % 2 = 0")), p, ["tenant_id", "entity_id"])), ("User", upsert_counts(u.where(F.lit(False)), u, ["tenant_id", "user_id"])))
+    out = [df.select(F.lit(label).alias("label"), "created", "updated") for label, df in both]
+    return out[0].unionByName(out[1])
+
+
 @query("s13_edge_sink", f"WITH {KNOWS}, p AS (SELECT entity_id FROM people WHERE seq % 3 <> 0) SELECT from_id, to_id, strength FROM knows WHERE from_id IN (SELECT entity_id FROM p) AND to_id IN (SELECT entity_id FROM p)")
 def s13(t: Tables) -> DataFrame:
     """Edges to people who aren't in the graph go."""
@@ -221,12 +257,9 @@ sh AS (SELECT y.to_id AS p, count(*) AS shared FROM a JOIN knows x ON x.from_id
 deco AS (SELECT p.*, k.strength, k.interaction_count, k.last_at, coalesce(degree, 0) AS degree, coalesce(shared, 0) AS shared FROM people p LEFT JOIN (SELECT knows.* FROM knows JOIN a ON from_id = anchor) k ON k.to_id = entity_id LEFT JOIN deg ON deg.p = entity_id LEFT JOIN sh ON sh.p = entity_id)"""
 
 
-def anchor_of(t: Tables) -> str:
-    return t.anchors.agg(F.min("anchor")).first()[0]
-
-
 def decorated(t: Tables, found: DataFrame) -> DataFrame:
-    return Q.decorate(found, t.knows, anchor_of(t), G.works_at(t.entities), G.companies(t.entities))
+    """All queries are asked by the first anchor."""
+    return Q.decorate(found.crossJoin(F.broadcast(t.anchors.agg(F.min("anchor").alias("anchor")))), t.knows, G.works_at(t.entities), G.companies(t.entities))
 
 
 @query("q4_by_name", f"WITH {KNOWS}{DECO}, {ASKED}, m AS (SELECT query_id, d.*, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC NULLS LAST, shared DESC, entity_id) AS rn FROM deco d JOIN asked ON query_id LIKE 'e:%' AND (contains(lower(d.name), lower(last)) OR contains(d.email, lower(last)))) SELECT query_id, entity_id, strength, interaction_count, degree, shared AS shared_connections, 'cmp_' || lower(company) AS company_id, rn FROM m WHERE rn <= 20")
@@ -252,7 +285,7 @@ s3 AS (SELECT * FROM s2 UNION ALL SELECT * FROM l3)"""
 
 @query("q6_intro", f"WITH {KNOWS}{DECO}{REACH}, {ASKED}, m AS (SELECT query_id, d.entity_id, len, strength, row_number() OVER (PARTITION BY query_id ORDER BY len NULLS LAST, strength DESC NULLS LAST, entity_id) AS rn FROM deco d JOIN asked ON query_id LIKE 'b:%' AND contains(lower(d.name), lower(first)) LEFT JOIN (SELECT s3.* FROM s3 JOIN a ON a.anchor = s3.anchor WHERE len > 0) r ON r.p = entity_id) SELECT query_id, entity_id, CAST(len AS INTEGER) AS path_length, strength, rn FROM m WHERE rn <= 10")
 def q6(t: Tables) -> DataFrame:
-    anchor = t.anchors.orderBy("anchor").limit(1)
+    anchor = t.anchors.agg(F.min("anchor").alias("anchor"))
     reach = G.shortest_paths(t.knows, anchor, 3).where("path_length > 0")
     found = decorated(t, Q.by_name(persons(t), parsed(t, "b").withColumn("needle", F.col("target_name")).select("query_id", "needle")))
     return Q.intro_search(found, reach, 10).select("query_id", "entity_id", "path_length", "strength", F.col("rn").cast("long").alias("rn"))
@@ -271,15 +304,34 @@ def q8(t: Tables) -> DataFrame:
 
 
 @query("q9_second_degree", f"""WITH {KNOWS}, one AS (SELECT user_id, anchor, to_id AS mid FROM anchors JOIN knows ON anchor = from_id), two AS (SELECT user_id, anchor, mid, to_id AS p, strength FROM one JOIN knows ON mid = from_id WHERE to_id <> anchor),
-far AS (SELECT DISTINCT t.user_id, t.p, t.mid, t.strength FROM two t LEFT JOIN one o ON o.user_id = t.user_id AND o.mid = t.p WHERE o.mid IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, p ORDER BY mid) AS n FROM far)
-SELECT anchor, p AS entity_id, string_agg(mid, ',' ORDER BY mid) FILTER (n <= 5) AS via, max(strength) AS path_strength FROM r JOIN anchors USING (user_id) GROUP BY anchor, p""")
+far AS (SELECT DISTINCT t.user_id, t.p, t.mid, t.strength FROM two t LEFT JOIN one o ON o.user_id = t.user_id AND o.mid = t.p WHERE o.mid IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, p ORDER BY mid) AS n FROM far),
+best AS (SELECT anchor, p AS entity_id, string_agg(mid, ',' ORDER BY mid) FILTER (n <= 5) AS via, max(strength) AS path_strength FROM r JOIN anchors USING (user_id) GROUP BY anchor, p),
+k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY path_strength DESC, entity_id) AS rn FROM best)
+SELECT anchor, entity_id, via, path_strength, rn, name, company AS company_name FROM k JOIN people USING (entity_id) WHERE rn <= 25""")
 def q9(t: Tables) -> DataFrame:
-    return G.second_degree(t.knows, t.anchors.select("anchor")).select("anchor", "entity_id", F.array_join("via_entity_ids", ",").alias("via"), "path_strength")
+    found = G.second_degree_people(t.knows, t.anchors.select("anchor"), persons(t), G.works_at(t.entities), G.companies(t.entities), 25)
+    return found.select("anchor", "entity_id", F.array_join("via_entity_ids", ",").alias("via"), "path_strength", F.col("rn").cast("long").alias("rn"), "name", "company_name")
+
 
+PATHS = """,
+k0 AS (SELECT DISTINCT anchor, anchor AS p, [anchor] AS path, CAST([] AS DOUBLE[]) AS steps, 0 AS len FROM anchors),
+k1 AS (SELECT anchor, to_id AS p, min(list_append(path, to_id)) AS path, min_by(list_append(steps, strength), list_append(path, to_id)) AS steps, 1 AS len FROM k0 JOIN knows ON from_id = p WHERE (anchor, to_id) NOT IN (SELECT (anchor, p) FROM k0) GROUP BY 1, 2),
+u1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1),
+k2 AS MATERIALIZED (SELECT anchor, to_id AS p, min(list_append(path, to_id)) AS path, min_by(list_append(steps, strength), list_append(path, to_id)) AS steps, 2 AS len FROM k1 JOIN knows ON from_id = p WHERE (anchor, to_id) NOT IN (SELECT (anchor, p) FROM u1) GROUP BY 1, 2),
+u2 AS (SELECT * FROM u1 UNION ALL SELECT * FROM k2),
+k3 AS MATERIALIZED (SELECT anchor, to_id AS p, min(list_append(path, to_id)) AS path, min_by(list_append(steps, strength), list_append(path, to_id)) AS steps, 3 AS len FROM k2 JOIN knows ON from_id = p WHERE (anchor, to_id) NOT IN (SELECT (anchor, p) FROM u2) GROUP BY 1, 2),
+u3 AS (SELECT * FROM u2 UNION ALL SELECT * FROM k3)"""
 
-@query("q10_shortest", f"WITH {KNOWS}{REACH} SELECT anchor, p AS entity_id, CAST(len AS INTEGER) AS path_length FROM s3")
+
+@query("q10_shortest", f"""WITH {KNOWS}{PATHS}
+SELECT a.anchor, e.entity_id, path IS NOT NULL AS found, CAST(len AS INTEGER) AS path_length, coalesce(array_to_string(path, ','), '') AS path, coalesce(array_to_string(steps, ','), '') AS strengths
+FROM (SELECT DISTINCT anchor FROM anchors) a CROSS JOIN (SELECT entity_id FROM people) e LEFT JOIN u3 ON u3.anchor = a.anchor AND u3.p = e.entity_id AND len > 0""")
 def q10(t: Tables) -> DataFrame:
-    return G.shortest_paths(t.knows, t.anchors.select("anchor"), 3).select("anchor", "entity_id", "path_length")
+    """The way from each anchor to every person."""
+    anchors = t.anchors.select("anchor").distinct()
+    wanted = t.people.select("entity_id").crossJoin(F.broadcast(anchors))
+    found = G.routes(G.shortest_paths(t.knows, anchors, 3), t.knows, wanted)
+    return found.select("anchor", "entity_id", "found", "path_length", F.array_join("path", ",").alias("path"), F.array_join(F.transform("strengths", lambda x: x.cast("string")), ",").alias("strengths"))
 
 
 @query("q11_degree", f"WITH {KNOWS} SELECT p AS entity_id, count(*) AS degree FROM (SELECT from_id AS p FROM knows UNION ALL SELECT to_id FROM knows) GROUP BY p")
@@ -358,12 +410,35 @@ def q21(t: Tables) -> DataFrame:
     return ranked(t).select("query_id", "entity_id", "explain.*")
 
 
-@query("q22_search", f"{RANKED} SELECT query_id, 'person_search' AS intent, count(*) OVER (PARTITION BY query_id) AS total, entity_id, score FROM k")
+SEARCH = f"""WITH {KNOWS}{REACH}, {ASKED},
+who_asks AS (SELECT *, CASE WHEN query_id[1] IN ('b', 'e') THEN (SELECT max(anchor) FROM anchors) ELSE (SELECT min(anchor) FROM anchors) END AS anchor,
+  CASE query_id[1] WHEN 'b' THEN [lower(first)] WHEN 'e' THEN [lower(last)] ELSE string_split(lower(text), ' ') END AS tokens FROM asked),
+hit AS (SELECT q.query_id, q.anchor, q.tokens, p.entity_id, p.name, p.email, p.company FROM who_asks q JOIN people p ON CASE q.query_id[1] WHEN 'c' THEN p.email = q.email WHEN 'b' THEN contains(lower(p.name), lower(first)) OR contains(p.email, lower(first))
+  WHEN 'e' THEN contains(lower(p.name), lower(last)) OR contains(p.email, lower(last)) WHEN 'f' THEN contains(lower(p.name), text) OR contains(p.email, text) ELSE false END),
+deg AS (SELECT p, count(*) AS degree FROM (SELECT from_id AS p FROM knows UNION ALL SELECT to_id FROM knows) GROUP BY p),
+sh AS (SELECT x.from_id AS anchor, y.to_id AS p, count(*) AS shared FROM knows x JOIN knows y ON y.from_id = x.to_id WHERE x.from_id IN (SELECT anchor FROM anchors) GROUP BY 1, 2),
+dec AS (SELECT h.*, k.strength, k.interaction_count, k.last_at, coalesce(degree, 0) AS degree, coalesce(shared, 0) AS shared, CASE WHEN query_id[1] = 'b' THEN r.len END AS len
+  FROM hit h LEFT JOIN knows k ON k.from_id = h.anchor AND k.to_id = h.entity_id LEFT JOIN deg ON deg.p = h.entity_id LEFT JOIN sh ON sh.anchor = h.anchor AND sh.p = h.entity_id
+  LEFT JOIN (SELECT DISTINCT anchor, p, len FROM s3 WHERE len > 0) r ON r.anchor = h.anchor AND r.p = h.entity_id),
+persons AS (SELECT query_id, 'persons' AS result_type, entity_id AS result_id, tokens, lower(name || ' ' || email || ' ' || company) AS body, strength, interaction_count, last_at, degree, shared, len,
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id[1] = 'b' THEN len END NULLS LAST, strength DESC NULLS LAST, CASE WHEN query_id[1] <> 'b' THEN shared END DESC, entity_id) AS rn FROM dec),
+staff AS (SELECT company, count(*) AS n FROM people GROUP BY company),
+firms AS (SELECT query_id, 'companies' AS result_type, 'cmp_' || lower(s.company) AS result_id, tokens, lower(s.company) AS body, NULL AS strength, NULL AS interaction_count, NULL AS last_at, 0 AS degree, 0 AS shared, NULL AS len,
+  row_number() OVER (PARTITION BY query_id ORDER BY n DESC, 'cmp_' || lower(s.company)) AS rn
+  FROM who_asks q JOIN staff s ON CASE q.query_id[1] WHEN 'a' THEN contains(lower(s.company), lower(q.company)) WHEN 'd' THEN s.company = q.company ELSE false END),
+alls AS (SELECT * FROM persons UNION ALL SELECT * FROM firms),
+sc AS (SELECT *, CASE WHEN last_at IS NULL THEN 0e0 ELSE 0.7e0 * exp(-greatest(floor((1009843200 - last_at) / 86400e0), 0) / 90e0) + 0.3e0 * least(ln(coalesce(interaction_count, 0) + 1) / ln(201e0), 1e0) END AS temporal FROM alls WHERE rn <= 20)
+SELECT query_id, CASE query_id[1] WHEN 'a' THEN 'company_search' WHEN 'd' THEN 'company_search' WHEN 'b' THEN 'intro_path' WHEN 'f' THEN 'general' ELSE 'person_search' END AS intent, result_type, count(*) OVER (PARTITION BY query_id) AS total, result_id, CAST(len AS INTEGER) AS path_length,
+  round(0.35e0 * len(list_filter(tokens, lambda x: contains(body, x))) / len(tokens) + 0.25e0 * least(coalesce(strength, 0e0), 1e0) + 0.15e0 * temporal + 0.15e0 * greatest(0e0, 1 - 0.003e0 * greatest(degree - 50, 0)) + 0.10e0 * least(shared / 10e0, 1e0), 4) AS score FROM sc"""
+
+
+@query("q22_search", SEARCH)
 def q22(t: Tables) -> DataFrame:
-    """Whom do I know of this name, ranked: parse, retrieve up to a limit, rank, and say how many there are."""
-    from pyspark.sql import Window
-
-    return ranked(t).select("query_id", F.lit("person_search").alias("intent"), F.count("*").over(Window.partitionBy("query_id")).alias("total"), "entity_id", "score")
+    """All that is asked, by two people: whatever it means, its matches and their scores."""
+    two = t.anchors.agg(F.min("anchor").alias("a"), F.max("anchor").alias("b"))
+    asked = t.asked.crossJoin(F.broadcast(two)).select("query_id", "text", F.when(F.substring("query_id", 1, 1).isin("b", "e"), F.col("b")).otherwise(F.col("a")).alias("anchor"))
+    found = Q.run(asked, persons(t), t.knows, G.works_at(t.entities), G.companies(t.entities).drop("tenant_id"), F.lit(AS_OF).cast("timestamp"), 20, 3)
+    return found.select("query_id", "intent", "result_type", "total", "result_id", "path_length", "score")
 
 
 # Runs and scoping
@@ -375,11 +450,11 @@ def runs(t: Tables) -> DataFrame:
 
 
 def stage_events(t: Tables) -> DataFrame:
-    return t.events.select(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.col("event_type").alias("stage"), F.lit(1).alias("attempt"), "ts", (F.col("value") >= 10).alias("ok"))
+    return t.events.select(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.col("event_type").alias("stage"), F.lit(1).alias("attempt"), "ts", (F.col("value") >= 10).alias("ok"), F.when(F.col("value") < 10, F.concat(F.lit("low value in event "), F.col("event_id").cast("string"))).alias("error"))
 
 
 RUNS = """r AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, 'tr' || user_id AS trace_id, min(ts) AS requested_at, 't' || min(user_id % 10) AS tenant_id FROM events GROUP BY 1, 2),
-st AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS stage, CAST(floor(epoch_us(max(ts)) / 1000) - floor(epoch_us(min(ts)) / 1000) AS BIGINT) AS duration_ms, count(*) AS records_in, count(*) FILTER (value >= 10) AS records_out, CASE WHEN bool_and(value >= 10) THEN 'completed' ELSE 'failed' END AS status FROM events GROUP BY 1, 2)"""
+st AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS stage, CAST(floor(epoch_us(max(ts)) / 1000) - floor(epoch_us(min(ts)) / 1000) AS BIGINT) AS duration_ms, count(*) AS records_in, count(*) FILTER (value >= 10) AS records_out, CASE WHEN bool_and(value >= 10) THEN 'completed' ELSE 'failed' END AS status, min(ts) AS started, min_by('low value in event ' || event_id, ts) FILTER (value < 10) AS error FROM events GROUP BY 1, 2)"""
 
 
 @query("o1_view", f"WITH {RUNS} SELECT r.run_id, trace_id, stage, status FROM r LEFT JOIN st ON r.run_id = st.run_id AND status = 'failed'")
@@ -392,15 +467,16 @@ def o2(t: Tables) -> DataFrame:
     return M.latest_run(runs(t)).select("trace_id", "run_id")
 
 
-@query("o3_stages", f"WITH {RUNS} SELECT run_id, stage, duration_ms, records_in, records_out, status FROM st")
+@query("o3_stages", f"WITH {RUNS} SELECT run_id, stage, duration_ms, records_in, records_out, status, error FROM st")
 def o3(t: Tables) -> DataFrame:
     new = M.stage_metrics(stage_events(t))
-    return M.put_stages(new, new).select("run_id", "stage", "duration_ms", "records_in", "records_out", "status")
+    return M.put_stages(new, new).select("run_id", "stage", "duration_ms", "records_in", "records_out", "status", "error")
 
 
-@query("o4_summary", f"WITH {RUNS} SELECT run_id, count(*) AS stages, count(*) FILTER (status = 'failed') AS failed_stages, CAST(sum(records_in) AS BIGINT) AS records_in, CAST(sum(records_out) AS BIGINT) AS records_out, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM st GROUP BY run_id")
+@query("o4_summary", f"WITH {RUNS} SELECT run_id, count(*) AS stages, count(*) FILTER (status = 'failed') AS failed_stages, CAST(sum(records_in) AS BIGINT) AS records_in, CAST(sum(records_out) AS BIGINT) AS records_out, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, string_agg(stage || ':' || status || ':' || records_out, ',' ORDER BY started, stage) AS by_stage FROM st GROUP BY run_id")
 def o4(t: Tables) -> DataFrame:
-    return M.run_summary(M.stage_metrics(stage_events(t)))
+    each = F.transform("by_stage", lambda s: F.concat_ws(":", s["stage"], s["status"], s["records_out"].cast("string")))
+    return M.run_summary(M.stage_metrics(stage_events(t))).withColumn("by_stage", F.array_join(each, ","))
 
 
 @query("o5_scope", "SELECT event_id FROM events WHERE user_id % 10 = 3 AND event_type = 'view'")
@@ -441,42 +517,63 @@ def o9(t: Tables) -> DataFrame:
 # Streams
 
 
-def streamed(t: Tables, keys: list[str], order: list[str], *columns: str) -> DataFrame:
-    """Events as a stream through a sink of batches, and what the batches come to."""
-    path, spark = shared_path(t.spark, "batches"), t.spark
-    stream = flows.read(spark, f"{t.dir}/events.parquet").select(*columns)
-    flows.drain(stream, shared_path(spark, "stream"), flows.put_batches(path))
-    return flows.stored(spark, path, stream.schema, keys, order)
+def canonical_events(raw: DataFrame) -> DataFrame:
+    """Raw events of any source to (raw_event_id, event_type, label): route, flatten and enrich."""
+    routed = C.route(raw)
+    contacts = C.enrich_contacts(C.flatten_contacts(routed)).select("raw_event_id", "event_type", F.col("full_name").alias("label"))
+    mail = C.enrich_mail(C.flatten_mail(routed)).select("raw_event_id", "event_type", F.coalesce("subject", F.lit("")).alias("label"))
+    return contacts.unionByName(mail).unionByName(C.enrich_calendar(C.flatten_calendar(routed)).select("raw_event_id", "event_type", F.coalesce("summary", F.lit("")).alias("label")))
 
 
-@query("st1_foreach_batch", "SELECT event_id, user_id, event_type FROM events")
+@query("st1_foreach_batch", f"WITH {CONTACTS} SELECT raw_event_id, 'contact' AS event_type, full_name AS label FROM contacts")
 def st1(t: Tables) -> DataFrame:
-    return streamed(t, ["event_id"], ["ts"], "event_id", "user_id", "event_type", "ts").drop("ts")
+    """Raw contacts arrive as files; each batch of them runs the pipeline from routing to enrichment."""
+    spark, source, path = t.spark, shared_path(t.spark, "arrived"), shared_path(t.spark, "canonical")
+    t.raw_contacts.repartition(3).write.parquet(source)
+    put = flows.put_batches(path)
+    flows.drain(flows.read(spark, source, files_per_batch=1), shared_path(spark, "stream"), lambda batch, n: put(canonical_events(batch), n))
+    return flows.stored(spark, path, canonical_events(t.raw_contacts).schema, ["raw_event_id"], ["event_type"])
 
 
-@query("st2_replay_safe", "SELECT user_id, event_type, max_by(event_id, ts) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1, 2")
+@query("st2_replay_safe", "SELECT count(*) AS stored, count(DISTINCT event_id) AS events, CAST(sum(event_id) AS BIGINT) AS folded FROM events")
 def st2(t: Tables) -> DataFrame:
-    return streamed(t, ["user_id", "event_type"], ["ts", "event_id"], "user_id", "event_type", "event_id", "ts").drop("ts")
+    """Every batch is delivered twice, as after a lost checkpoint; each is stored once. No row is deduplicated on reading."""
+    spark, path = t.spark, shared_path(t.spark, "batches")
+    for _ in range(2):
+        stream = flows.read(spark, f"{t.dir}/events.parquet").select("event_id")
+        flows.drain(stream, shared_path(spark, "stream"), flows.put_batches(path))
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    return rows.agg(F.count("*").alias("stored"), F.countDistinct("event_id").alias("events"), F.sum("event_id").alias("folded"))
 
 
-@query("st3_replay", "SELECT event_type, count(*) AS n FROM events WHERE user_id = 7 GROUP BY event_type")
+@query("st3_replay", f"WITH {BOTH} SELECT raw_event_id, event_type, label FROM ({CANON}) WHERE raw_event_id % 10 = 3")
 def st3(t: Tables) -> DataFrame:
-    raw = t.events.withColumn("trace_id", F.concat(F.lit("tr"), F.col("user_id").cast("string")))
-    return flows.replay(raw, "tr7", lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")))
+    """The stored raw events of one trace go through the pipeline again."""
+    return flows.replay(t.raw, "tr3", canonical_events)
 
 
-@query("st4_expiring", "SELECT DISTINCT user_id, event_type FROM events")
+@query("st4_expiring", "SELECT user_id, event_type, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s FROM events GROUP BY user_id, event_type, floor(epoch(ts) / 345600)")
 def st4(t: Tables) -> DataFrame:
-    """The first event of each user and type within ninety days, of which the table spans thirty."""
+    """The first event of each user and type in stretches of four days, of which the table spans several; older state is gone."""
     spark, path = t.spark, shared_path(t.spark, "firsts")
     stream = flows.read(spark, f"{t.dir}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    flows.drain(flows.first_within(stream, ["user_id", "event_type"], "ts", "90 days"), shared_path(spark, "stream"), flows.put_batches(path))
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path).select("user_id", "event_type")
+    firsts = flows.first_within(stream, ["user_id", "event_type"], "ts", "4 days")
+    flows.drain(firsts, shared_path(spark, "stream"), flows.put_batches(path), "update")
+    rows = spark.read.schema(firsts.schema).option("recursiveFileLookup", "true").parquet(path)
+    return rows.groupBy("user_id", "event_type", "since").agg(F.min("first_at").alias("first_at")).select("user_id", "event_type", F.unix_seconds("first_at").alias("first_s"))
 
 
-@query("st5_cursor", "SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS t_s FROM events GROUP BY user_id")
+@query("st5_cursor", "SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS t_s, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS taken_later FROM events GROUP BY user_id")
 def st5(t: Tables) -> DataFrame:
-    return streamed(t, ["user_id"], ["ts"], "user_id", "ts").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t_s"))
+    """Two runs from one checkpoint: the second takes only what came since the first. Rows: each user's mark, and what run two took."""
+    spark, source, path, checkpoint = t.spark, shared_path(t.spark, "arrived"), shared_path(t.spark, "taken"), shared_path(t.spark, "stream")
+    e = t.events.select("user_id", "ts")
+    late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    for run, rows in enumerate((e.where(~late), e.where(late))):
+        rows.write.mode("append").parquet(source)
+        flows.drain(flows.read(spark, source).withColumn("run", F.lit(run)), checkpoint, flows.put_batches(path))
+    rows = spark.read.schema("user_id long, ts timestamp, run int").option("recursiveFileLookup", "true").parquet(path)
+    return rows.groupBy("user_id").agg(F.unix_seconds(F.max("ts")).alias("t_s"), F.count_if(F.col("run") == 1).alias("taken_later"))
 
 
 @query("u1_upsert", "SELECT l_orderkey, CAST(max(l_linenumber) AS INTEGER) AS l_linenumber FROM lineitem GROUP BY l_orderkey")

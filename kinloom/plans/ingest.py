@@ -35,19 +35,21 @@ def as_of() -> Column:
 def files(t: Tables, raw: DataFrame, key: str, by: Column) -> DataFrame:
     """Payload files as a provider sends them: lists of items under one key."""
     body = F.concat(F.lit(f'{{"{key}":['), F.array_join(F.collect_list("payload"), ","), F.lit("]}"))
+    many = max(64, raw.count() // 500)  # about 500 events a file, as providers page
+    by = F.pmod(by, F.lit(many))
     return raw.groupBy(by.alias("part")).agg(body.alias("payload")).select(F.lit("t1").alias("tenant_id"), F.lit("u1").alias("user_id"), F.lit("tr").alias("trace_id"), "part", "payload")
 
 
 def contact_files(t: Tables) -> DataFrame:
-    return files(t, t.raw_contacts, "connections", F.pmod(F.xxhash64("source_event_id"), F.lit(64)))
+    return files(t, t.raw_contacts, "connections", F.xxhash64("source_event_id"))
 
 
 def mail_files(t: Tables) -> DataFrame:
-    return files(t, t.raw_mail, "messages", F.pmod(F.xxhash64("source_event_id"), F.lit(256)))
+    return files(t, t.raw_mail, "messages", F.xxhash64("source_event_id"))
 
 
 def calendar_files(t: Tables) -> DataFrame:
-    return files(t, t.raw_meetings, "items", F.pmod(F.xxhash64("source_event_id"), F.lit(256)))
+    return files(t, t.raw_meetings, "items", F.xxhash64("source_event_id"))
 
 
 NOW = "1009843200"
@@ -105,14 +107,16 @@ def s6(t: Tables) -> DataFrame:
 
 
 @query("s7_raw_upsert", """
-WITH e AS (SELECT user_id, event_type, event_id, value, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r, min(ts) OVER (PARTITION BY user_id, event_type) AS first FROM events)
-SELECT user_id, event_type, event_id, value FROM e WHERE r = 1""")
+SELECT 'u' || user_id AS user_id, 'x' || event_id AS source_event_id, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END AS payload,
+  CASE WHEN event_id % 3 = 0 THEN 'run2' ELSE 'run1' END AS run_id, 'v1' AS ingest_version, CAST(CASE WHEN event_id % 3 = 0 THEN 1009843260 ELSE 1009843200 END AS BIGINT) AS captured_s
+FROM events""")
 def s7(t: Tables) -> DataFrame:
-    """Events are captured in two batches; each user and type keeps its last."""
-    e = t.events.select("user_id", "event_type", "event_id", "value", "ts")
-    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
-    store = upsert(e.where(F.lit(False)), e.where(early), ["user_id", "event_type"], ["ts", "event_id"])
-    return upsert(store, e.where(~early), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+    """Every event is captured by one run; every third one is sent again, changed, and captured by a second."""
+    e = t.events.select(F.lit("t1").alias("tenant_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), F.lit("csv_import").alias("source"), F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("source_event_id"), F.col("ts").alias("occurred_at"), F.lit("tr").alias("trace_id"), F.col("event_type").alias("payload"), "event_id")
+    first = S.stamped(e, "run1", as_of())
+    again = S.stamped(e.where("event_id % 3 = 0").withColumn("payload", F.upper("payload")), "run2", as_of() + F.expr("INTERVAL 60 SECONDS"))
+    store = S.capture(S.capture(first.where(F.lit(False)), first), again)
+    return store.select("user_id", "source_event_id", "payload", "run_id", "ingest_version", F.unix_seconds("captured_at").alias("captured_s"))
 
 
 @query("s8_raw_by_trace", f"WITH {CONTACTS} SELECT 'tr' || raw_event_id % 10 AS trace_id, raw_event_id, sid AS source_event_id FROM ckind WHERE raw_event_id % 10 = 1")
@@ -130,12 +134,13 @@ def canonical(t: Tables) -> DataFrame:
     return contacts.unionByName(mail).unionByName(t.meetings.select(*head, F.coalesce("summary", F.lit("")).alias("label")))
 
 
-@query("s9_canonical_upsert", f"WITH {BOTH} {CANON}")
+@query("s9_canonical_upsert", f"""WITH {BOTH} SELECT raw_event_id, event_type, source_event_id, CASE WHEN raw_event_id % 2 = 0 THEN 'run2' ELSE 'run1' END AS run_id, 'parsed' AS parse_status, 'v1' AS schema_version, 'v1' AS parser_version,
+  sha256('{{"label":"' || label || '","source_event_id":"' || source_event_id || '"}}') AS canonical_hash FROM ({CANON})""")
 def s9(t: Tables) -> DataFrame:
-    """Canonical rows put twice under (raw event, type, version): the second run changes nothing."""
-    rows = canonical(t).withColumn("parser_version", F.lit(C.PARSER_VERSION))
-    keys = ["raw_event_id", "event_type", "parser_version"]
-    return upsert(rows, rows, keys, ["source_event_id"]).drop("parser_version")
+    """Canonical rows put under (raw event, type, version) by one run, and every second one again by another."""
+    first = C.stored(canonical(t), "run1", as_of(), "label", "source_event_id")
+    again = C.stored(canonical(t).where("raw_event_id % 2 = 0"), "run2", as_of() + F.expr("INTERVAL 60 SECONDS"), "label", "source_event_id")
+    return C.put(C.put(first.where(F.lit(False)), first), again).select("raw_event_id", "event_type", "source_event_id", "run_id", "parse_status", "schema_version", "parser_version", "canonical_hash")
 
 
 @query("s10_canonical_by_trace", f"WITH {BOTH} SELECT * FROM ({CANON}) WHERE raw_event_id % 10 = 3")
@@ -221,7 +226,11 @@ def c9(t: Tables) -> DataFrame:
     return t.contacts.select("raw_event_id", "company", "title", joined("tags"), joined("warnings"))
 
 
-@query("c10_hash", None)
+C10 = """'{"company":"' || company_t || '","emails":[' || CASE WHEN emails = '' THEN '' ELSE '"' || emails || '"' END || ']' || CASE WHEN first_name IS NULL THEN '' ELSE ',"first_name":"' || first_name || '"' END || ',"full_name":"' || full_name || '"'
+  || CASE WHEN last_name IS NULL THEN '' ELSE ',"last_name":"' || last_name || '"' END || ',"phones":[' || CASE WHEN phones = '' THEN '' ELSE '"' || phones || '"' END || '],"title":"' || title_t || '"}'"""
+
+
+@query("c10_hash", f"WITH {CONTACTS} SELECT raw_event_id, sha256({C10}) AS canonical_hash FROM tagged")
 def c10(t: Tables) -> DataFrame:
     return C.canonical_hash(t.contacts, "full_name", "first_name", "last_name", "emails", "phones", "company", "title").select("raw_event_id", "canonical_hash")
 
@@ -231,9 +240,15 @@ def c11(t: Tables) -> DataFrame:
     return t.contact_items.where("kind <> 'bad'").select("raw_event_id", X.title_case(F.concat("comp", F.lit("-o'NEIL"))).alias("company"))
 
 
-@query("c12_counts", f"WITH {BOTH} SELECT source, count(*) AS raw, count(*) FILTER (failure IS NULL) AS parsed, count(failure) AS failed FROM ({ROUTED}) GROUP BY source")
+@query("c12_counts", f"""WITH {BOTH} SELECT source, count(*) AS raw, count(*) FILTER (failure IS NULL) AS parsed, count(failure) AS failed,
+  count(*) FILTER (failure IS NULL AND raw_event_id % 7 <> 0) AS valid, count(*) FILTER (failure IS NULL AND raw_event_id % 7 = 0) AS invalid, count(*) FILTER (failure IS NULL AND raw_event_id % 7 <> 0) AS enriched FROM ({ROUTED}) GROUP BY source""")
 def c12(t: Tables) -> DataFrame:
-    return C.counts(t.routed)
+    """Every seventh event loses its shape on the way to validation; valid ones are enriched."""
+    rows = C.normalized(t.contacts, t.mail, t.meetings)
+    checked = C.validate(rows.withColumn("normalized", F.when(F.col("raw_event_id") % 7 == 0, F.lit("[]")).otherwise(F.col("normalized"))))
+    valid = checked.where("reason is null").select("raw_event_id", "event_type")
+    rich = [df.join(valid, ["raw_event_id", "event_type"], "left_semi").select("source") for df in (t.contacts, t.mail, t.meetings)]
+    return C.ingest_counts(t.routed, checked, rich[0].unionByName(rich[1]).unionByName(rich[2]))
 
 
 CAND = CONTACTS + """,
@@ -453,6 +468,11 @@ def d11(t: Tables) -> DataFrame:
     return D.persist_vectors(turns(t), cached(t)).select("conv_id", "turn", F.get("embedding", 0).alias("first"))
 
 
+@query("d11_counts", f"WITH {CACHE} SELECT role AS doc_type, count(*) FILTER (key IN (SELECT key FROM cached)) AS applied, count(*) FILTER (key IS NULL OR key NOT IN (SELECT key FROM cached WHERE key IS NOT NULL)) AS skipped FROM (SELECT c.role, k.key FROM conversations c JOIN k ON c.conv_id = k.conv_id AND c.turn = k.turn) GROUP BY role")
+def d11_counts(t: Tables) -> DataFrame:
+    return D.applied(D.persist_vectors(turns(t), cached(t)), "embedding")
+
+
 @query("d12_keywords", r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), f AS (SELECT doc_id, list_filter(ws, lambda x: length(x) >= 3) AS ws FROM w),
 d AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM f) GROUP BY doc_id, word),
@@ -483,6 +503,11 @@ def d14(t: Tables) -> DataFrame:
     return indexed(t).select("entity_id", "doc_type", "content", "indexed")
 
 
+@query("d14_counts", f"WITH {IDX} SELECT doc_type, count(*) FILTER (strpos(content, '|') > 0) AS applied, count(*) FILTER (strpos(content, '|') = 0) AS skipped FROM idx GROUP BY doc_type")
+def d14_counts(t: Tables) -> DataFrame:
+    return D.applied(indexed(t), "indexed")
+
+
 @query("d15_health", f"WITH {IDX} SELECT 't1' AS tenant_id, count(*) AS documents, count(*) FILTER (strpos(content, '|') > 0) AS indexed_documents, count(*) FILTER (strpos(content, '|') > 0) > 0 AS index_ready FROM idx")
 def d15(t: Tables) -> DataFrame:
     return D.health(indexed(t))
@@ -513,7 +538,7 @@ SELECT query_id, id AS doc_id, round(score, 4) AS score FROM r WHERE rank <= 3""
 def d17(t: Tables) -> DataFrame:
     """Benchmark items are the queries."""
     terms = D.inverted_index(t.benchmark, "item_id", "text").select(F.col("id").alias("query_id"), "term")
-    found = D.match_terms(D.inverted_index(t.documents, "doc_id", "text"), terms, t.documents.count(), 3)
+    found = D.match_terms(D.of_terms(t.documents, "doc_id", "text", terms), terms, t.documents.count(), 3)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 

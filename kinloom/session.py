@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +27,15 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``. Where none is set (tests), a temporary one is set."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where none is set, a local session gets a temporary one.
+
+    On a cluster a temporary folder would be another on each machine, so there it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="kinloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -36,8 +44,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kinloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in this application's part of it."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kinloom/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder: intermediates live until then.
+
+    Results are read from them lazily, so call it once those are written.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
+
+
+_kept: dict[tuple[str, ...], str] = {}
+
+
+def once(df: DataFrame, *key: str) -> DataFrame:
+    """materialise(), but what is written under ``key`` is written once for each application."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        path = shared_path(spark, key[-1])
+        df.write.parquet(path)
+        _kept[key] = path
+    return spark.read.schema(df.schema).parquet(_kept[key])
+
+
+def ship(spark: SparkSession, *folders: str) -> None:
+    """Send the packages in ``folders`` to the executors, which needn't see the driver's disk. Once for each application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="kinloom-code-"), "kinloom_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in folders:
+            for path in sorted(Path(folder).rglob("*.py")):
+                z.write(path, path.relative_to(Path(folder).parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
+_shipped: set[str] = set()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

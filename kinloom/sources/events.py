@@ -92,6 +92,21 @@ def check_envelopes(events: DataFrame) -> DataFrame:
     return envelope_faults(events).where("fault is null").drop("fault")
 
 
+NATURAL_KEY = ("tenant_id", "user_id", "source", "source_event_id")
+
+
+def capture(store: DataFrame, events: DataFrame) -> DataFrame:
+    """The raw store after ``events`` are put under their natural key; the last captured of a key wins."""
+    from kinloom.operators.upsert import upsert
+
+    return upsert(store, events.select(*store.columns), list(NATURAL_KEY), ["captured_at", "occurred_at"])
+
+
+def stamped(events: DataFrame, run_id: str, captured_at: Column, ingest_version: str = "v1") -> DataFrame:
+    """Events as they are captured: by which run, when, and under which version."""
+    return events.withColumns({"run_id": F.lit(run_id), "captured_at": captured_at, "ingest_version": F.lit(ingest_version)})
+
+
 def payload_size(df: DataFrame) -> DataFrame:
     """Bytes of the payload text."""
     return df.withColumn("payload_size_bytes", F.octet_length("payload"))

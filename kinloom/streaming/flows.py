@@ -50,5 +50,9 @@ def replay(raw: DataFrame, trace_id: str, run: Callable[[DataFrame], DataFrame])
 
 
 def first_within(stream: DataFrame, keys: list[str], time: str, lifetime: str) -> DataFrame:
-    """ST4: the first event of each key; the state of a key expires after ``lifetime``."""
-    return stream.withWatermark(time, lifetime).dropDuplicatesWithinWatermark(keys)
+    """ST4: the first event of each key in each stretch of ``lifetime``; the state of a stretch that is over expires.
+
+    Rows: keys, the start of the stretch, and the time of the first event; a later batch may bring an earlier one.
+    """
+    kept = stream.withWatermark(time, lifetime).groupBy(*keys, F.window(time, lifetime).alias("w"))
+    return kept.agg(F.min(time).alias("first_at")).select(*keys, F.col("w.start").alias("since"), "first_at")
