@@ -18,14 +18,23 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Texts go to Python in batches of so many bytes, whatever their lengths; by Spark's default, 10,000 rows of any size do.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    conf = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | more
+    conf = SETTINGS | BATCHES | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | more
     return SparkSession.builder.master(master).appName("kinloom").config(map=conf).getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Set BATCHES where the application hasn't set them itself."""
+    for key, value in BATCHES.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``. Where none is set, a local session gets a temporary one.
 
