@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from kinloom.session import materialise, shared_dir, shared_path
 
 __all__ = [
     "SPACES", "attach", "bounded_sample", "drawn", "free_name", "keep_ids", "materialise", "missing_ids", "mix64", "n_words", "numbered",
-    "prefix_hash", "running", "shared_dir", "shared_path", "small", "span_hash", "spread_join",
+    "place_in_files", "prefix_hash", "running", "shared_dir", "shared_path", "small", "span_hash", "spread_join",
 ]
 
 #: The whitespace of the word rule: U+0020 and U+0009 to U+000D.
@@ -38,10 +39,25 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def place_in_files(df: DataFrame) -> list[Column] | None:
+    """File and row of each row of ``df``, if it is a scan of files; else None."""
+    where = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        df.select(*where).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return where
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df``, written with a number of each row's own, and that column's name: rows without an id or with the same stay apart."""
+    """``df`` with a key of each row's own, a text, and that column's name: rows without an id or with the same stay apart.
+
+    The key is the row's place in its file; rows that come from elsewhere are numbered and written.
+    """
     (name,) = free_name(df, name)
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    if where := place_in_files(df):
+        return df.withColumn(name, F.concat_ws("#", F.md5(where[0].cast("binary")), where[1].cast("string"))), name
+    return materialise(df.withColumn(name, F.monotonically_increasing_id().cast("string")), "numbered"), name
 
 
 def small(df: DataFrame, limit: int | None = None) -> bool:

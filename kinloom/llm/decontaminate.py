@@ -170,9 +170,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialise(items_of(benchmark), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, n_words long, similarity double, distance int")
+        none = {"start": "long", "n_words": "long", "similarity": "double", "distance": "int"}
+        ids = docs.select(F.col(id_col).alias("doc_id")).crossJoin(benchmark.select("item_id").limit(0))
+        return ids.withColumns({c: F.lit(None).cast(k) for c, k in none.items()})
     # ``row`` tells rows that repeat a doc_id apart.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
     split = rows.select("doc_id", "row", words(F.col("text")).alias("ws"))
     hits = materialise(shared(split, items, sizes), "shared-shingles")
     starts = window_starts(hits, similar).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "k")).alias("starts"))

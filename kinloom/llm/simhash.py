@@ -50,16 +50,16 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, row_col: str | None = None) -> DataFrame:
-    """(doc_id, fp long) for each row, and with ``row_col`` (a long) also row and text_hash; null and empty texts have 0."""
+    """(doc_id, fp long) for each row, and with ``row_col`` (a text) also row and text_hash; null and empty texts have 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), k) for x in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    more = [F.col(row_col).cast("long").alias("row"), F.xxhash64(F.col(text_col)).alias("text_hash")] if row_col else []
+    more = [F.col(row_col).cast("string").alias("row"), F.xxhash64(F.col(text_col)).alias("text_hash")] if row_col else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
-    return rows.mapInArrow(work, "doc_id long, fp long" + (", row long, text_hash long" if row_col else ""))
+    return rows.mapInArrow(work, "doc_id long, fp long" + (", row string, text_hash long" if row_col else ""))
 
 
 def _segment(fp: Column | str, i: int) -> Column:

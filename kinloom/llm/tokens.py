@@ -1,7 +1,8 @@
 """Token-ID output with Elias-Fano boundaries (operator 3).
 
-A dataset is a folder of Parquet files of blocks in ascending doc_id order. A block is one binary value: a header, the
-Elias-Fano code of its document boundaries, and the concatenated ids in two or four bytes each. Spark's own writer puts
+A dataset is a folder of Parquet files of blocks, in ascending doc_id order or in the order of the files that the texts
+come from. A block is one binary value: a header, the Elias-Fano code of its document boundaries, and the concatenated
+ids in two or four bytes each. Spark's own writer puts
 the files, so a lost executor's files are never seen half-written. Readers take a document's boundaries by select on the
 code; there is no table of 64-bit offsets.
 """
@@ -16,16 +17,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import prefix_hash, shared_path, span_hash
+from .common import materialise, place_in_files, prefix_hash, running, shared_path, small, span_hash
 
 #: Ids after which a block is closed, and characters that are split at once.
-BLOCK_IDS, CHUNK_CHARS = 1 << 20, 1 << 20
+BLOCK_IDS, CHUNK_CHARS = 1 << 20, 1 << 19
 MAGIC = b"KEF1"
 _HEADER = struct.Struct("<4sBBHIIQQ")  # magic, id bytes, low bits, sample step, boundaries, samples, high bytes, ids
 
@@ -148,7 +147,7 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 200_000):
         self.tok = Tokenizer.from_file(path)
         self.most = most_pieces
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
@@ -238,14 +237,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-BLOCKS = "part int, block int, before long, n_ids long, doc_ids array<long>, bytes binary"
+#: A block stands where its first row does: in which range or file, and at which row of it.
+BLOCKS = "part string, row long, n_ids long, doc_ids array<long>, bytes binary"
 
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
-    id_bytes: int | None = None, partitions: int | None = None, order: list[Column] | None = None,
+    id_bytes: int | None = None, partitions: int | None = None, in_order: bool = False,
 ) -> None:
-    """Write the ids of every whole text, in ascending doc_id order or by ``order``, as a folder of blocks at ``path``.
+    """Write the ids of every whole text, in ascending doc_id order, as a folder of blocks at ``path``.
+
+    With ``in_order`` in the order of the files that ``docs`` is read from, and nothing is shuffled: Spark numbers the files
+    that it writes in the order of their rows, and a block never goes over the end of a file or of a task's part of it.
+    Rows that don't come from files are written by doc_id then, too.
 
     ``end_id`` is put after each document. Null text counts as empty; null doc_ids come first; rows that repeat a
     doc_id all count, in order of their texts. An empty table writes no blocks. Extra columns are ignored. Texts move
@@ -256,48 +260,56 @@ def write_tokens(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = _encoder(tokenizer), np.array([] if end_id is None else [end_id], dtype=np.uint32)
-        part, block, before, names, waiting, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        names, waiting, n, first, follows = [], [], 0, ("", 0), None
 
         def close() -> pa.RecordBatch:
-            cols = [[part], [block], [before], [n], [names], [pack(waiting, id_bytes)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["part", "block", "before", "n_ids", "doc_ids", "bytes"])
+            cols = [[first[0]], [first[1]], [n], [names], [pack(waiting, id_bytes)]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "row", "n_ids", "doc_ids", "bytes"])
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts, parts, rows = (b.column(k).to_pylist() for k in range(4))
             at = 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_CHARS):
                     size += len(texts[to])
                     to += 1
-                for name, one in zip(ids[at:to], encoder.encode(texts[at:to]), strict=True):
+                for name, part, row, one in zip(ids[at:to], parts[at:to], rows[at:to], encoder.encode(texts[at:to]), strict=True):
+                    if names and (part, row) != follows:
+                        yield close()
+                        names, waiting, n = [], [], 0
+                    first, follows = first if names else (part, row), (part, row + 1)
                     one = np.concatenate([one, tail])
                     names.append(name)
                     waiting.append(one)
                     n += len(one)
                     if n >= BLOCK_IDS:
                         yield close()
-                        block, before, names, waiting, n = block + 1, before + n, [], [], 0
+                        names, waiting, n = [], [], 0
                 at = to
         if names:
             yield close()
 
-    keys = [c.alias(f"_order{k}") for k, c in enumerate(order or [F.col(id_col).cast("long")])]
-    by = [f"_order{k}" for k in range(len(keys))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keys)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, *by).sortWithinPartitions(*by, "text").select("doc_id", "text").mapInArrow(work, BLOCKS).write.parquet(path)
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    where = place_in_files(docs) if in_order else None
+    if where:
+        rows = docs.select(*own, where[0].alias("part"), where[1].alias("row"))
+    else:
+        n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = docs.select(*own).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        # Number in the range's order: partitions are ranges, and the id counts up within one.
+        rows = rows.select("doc_id", "text", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("part"), F.monotonically_increasing_id().alias("row"))
+    rows.mapInArrow(work, BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary of little-endian unsigned 32-bit) for each document of a folder of blocks.
 
-    Blocks know the ids before them in their part of the range order; parts are as few as the writer's tasks, so their
-    running totals are small enough to broadcast.
+    A block starts where the ids of all blocks before it end: running sums over blocks, ranges of them first.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    parts = blocks.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("size"))
-    bases = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
+    bases = materialise(running(blocks.select("part", "row", "n_ids"), ["part", "row"], "no", "token-blocks", base="n_ids").select("part", "row", "base"), "bases")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,23 +321,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     bodies = pa.array([ids[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 1024], pa.int64()), starts, sizes, bodies], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "bytes")
+    rows = blocks.join(F.broadcast(bases) if small(bases) else bases, ["part", "row"]).select("base", "doc_ids", "bytes")
     return rows.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 END_ID = 2
 
 
-def _file_order(docs: DataFrame) -> list[Column] | None:
-    """By file and row, if ``docs`` is a scan of files; Spark numbers the files that it writes in the order of the rows."""
-    where = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
-    try:
-        docs.select(*where).schema  # noqa: B018
-    except AnalysisException:
-        return None
-    return where
-
-
 def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False) -> DataFrame:
     """Write ``docs`` with the 50k byte-level tokenizer and read the files back: doc_id, start, n_tokens, ids_crc32.
 
@@ -334,7 +336,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False) -> D
     import public_tokenizers
 
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, order=_file_order(docs) if in_order else None)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, in_order=in_order)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
