@@ -30,21 +30,23 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BITS = 12
+#: Characters whose grams are counted at once.
+CHUNK_CHARS = 1 << 17
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def features(text: str) -> np.ndarray:
     """2**BITS floats of length one (or zero) for a whole text, lower-cased."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    text = text.lower()
     counts = np.zeros(1 << BITS)
-    for at in range(0, len(cp), 1 << 20):
-        part = cp[at : at + (1 << 20) + 2]
+    for at in range(0, len(text), CHUNK_CHARS):
+        part = np.frombuffer(text[at : at + CHUNK_CHARS + 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
         total = part * _MULTIPLY[0]
         for n in range(3):
             if n:
                 total = total[:-1] * _MULTIPLY[1] + part[n:] * _MULTIPLY[n]
-            own = total[: max(0, min(1 << 20, len(total)))]
+            own = total[:CHUNK_CHARS]
             h = (own ^ (own >> np.uint64(29))) * _MULTIPLY[2]
             counts += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     out = np.sqrt(counts)
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        for b in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
             texts = b.column(at).to_pylist()
             real = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))

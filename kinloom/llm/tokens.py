@@ -9,6 +9,8 @@ code; there is no table of 64-bit offsets.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import materialise, place_in_files, prefix_hash, running, shared_path, small, span_hash
 
 #: Ids after which a block is closed, and characters that are split at once.
-BLOCK_IDS, CHUNK_CHARS = 1 << 20, 1 << 19
+BLOCK_IDS, CHUNK_CHARS = 1 << 18, 1 << 17
 MAGIC = b"KEF1"
 _HEADER = struct.Struct("<4sBBHIIQQ")  # magic, id bytes, low bits, sample step, boundaries, samples, high bytes, ids
 
@@ -102,6 +104,8 @@ def unpack(block: bytes) -> tuple[Boundaries, np.ndarray]:
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _END = 1, 2, 3, 4, 5
 _KNOWN = 0x2100
+#: No piece goes over the place between what isn't white space and a space or line feed.
+_CUT = re.compile(r"(?<=\S)[ \n]")
 
 
 @lru_cache(1)
@@ -147,7 +151,7 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, most_pieces: int = 100_000):
         self.tok = Tokenizer.from_file(path)
         self.most = most_pieces
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
@@ -204,6 +208,18 @@ class Encoder:
             return [next(done) if o else next(rest) for o in odd]
         return self._split(joined, cp, cls, len(texts))
 
+    def encode_parts(self, text: str) -> np.ndarray:
+        """One text of any length, in parts of about CHUNK_CHARS characters; one that holds a special token goes whole."""
+        if len(text) <= CHUNK_CHARS or not self.by_piece or any(s in text for s in self.special):
+            return self.encode([text])[0]
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + CHUNK_CHARS)
+            end = cut.start() if cut else len(text)
+            out.append(self.encode([text[at:end]])[0])
+            at = end
+        return np.concatenate(out)
+
     def _pieces(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(t + "\0" for t in texts)
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -234,6 +250,7 @@ class Encoder:
 
 @lru_cache(2)
 def _encoder(path: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
     return Encoder(path)
 
 
@@ -275,7 +292,8 @@ def write_tokens(
                 while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_CHARS):
                     size += len(texts[to])
                     to += 1
-                for name, part, row, one in zip(ids[at:to], parts[at:to], rows[at:to], encoder.encode(texts[at:to]), strict=True):
+                found = encoder.encode(texts[at:to]) if to > at + 1 else [encoder.encode_parts(texts[at])]
+                for name, part, row, one in zip(ids[at:to], parts[at:to], rows[at:to], found, strict=True):
                     if names and (part, row) != follows:
                         yield close()
                         names, waiting, n = [], [], 0

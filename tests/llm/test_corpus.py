@@ -226,6 +226,17 @@ def test_pieces_are_the_tokenizers(odd):
             assert n == {1: 4, 2: 3, 4: 4}[kind]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    e, r = tokens.Encoder(tokenizer()), random.Random(4)
+    bits = ["a", "Zb", "'s", "'re", " ", "  ", "\n", "\n\n", " \n", "\t", "9", "é", "日本", "🙂", "…", "\x1f", "\x85", "!", " the", " word", "<|endoftext|>"]
+    texts = ["".join(r.choice(bits[: -1 if k % 9 else None]) for _ in range(r.randint(0, 200))) for k in range(1000)]
+    whole = [language.features(t) for t in texts]
+    for module, chars in ((tokens, 40), (language, 7)):
+        monkeypatch.setattr(module, "CHUNK_CHARS", chars)
+    for t, x, f in zip(texts, e.tok.encode_batch(texts, add_special_tokens=False), whole, strict=True):
+        assert e.encode_parts(t).tolist() == x.ids and np.array_equal(language.features(t), f)
+
+
 @pytest.mark.parametrize("values", [[0], [0, 0, 0, 5], [0, 1, 2, 3], list(range(0, 90_000, 7)), np.cumsum(np.random.default_rng(1).integers(0, 3000, 1000)).tolist()])
 def test_elias_fano(values):
     low, lows, highs, samples = tokens.ef_encode(np.array(values, np.uint64))
