@@ -19,7 +19,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 #: Texts go to Python in batches of so many bytes, whatever their lengths; by Spark's default, 10,000 rows of any size do.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
 
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
