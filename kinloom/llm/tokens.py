@@ -151,7 +151,7 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 100_000):
+    def __init__(self, path: str, most_pieces: int = 200_000):
         self.tok = Tokenizer.from_file(path)
         self.most = most_pieces
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
@@ -308,6 +308,7 @@ def write_tokens(
                 at = to
         if names:
             yield close()
+        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
     where = place_in_files(docs) if in_order else None
