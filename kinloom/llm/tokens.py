@@ -160,9 +160,9 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.offset, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -238,7 +238,7 @@ class Encoder:
         first[code[::-1]] = np.arange(len(code))[::-1]
         pieces = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) + len(pieces) > self.most:
-            self._forget()
+            self.forget()
         self._learn([p for p in pieces if p not in self.known])
         of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[code]
         length = self.length[of]
@@ -260,13 +260,14 @@ BLOCKS = "part string, row long, n_ids long, doc_ids array<long>, bytes binary"
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
-    id_bytes: int | None = None, partitions: int | None = None, in_order: bool = False,
+    id_bytes: int | None = None, partitions: int | None = None, in_order: bool = False, keep_pieces: bool = True,
 ) -> None:
     """Write the ids of every whole text, in ascending doc_id order, as a folder of blocks at ``path``.
 
     With ``in_order`` in the order of the files that ``docs`` is read from, and nothing is shuffled: Spark numbers the files
     that it writes in the order of their rows, and a block never goes over the end of a file or of a task's part of it.
-    Rows that don't come from files are written by doc_id then, too.
+    Rows that don't come from files are written by doc_id then, too. A worker keeps the pieces it knows for its next task;
+    without ``keep_pieces`` they go when a task ends, for jobs whose other stages use the same workers.
 
     ``end_id`` is put after each document. Null text counts as empty; null doc_ids come first; rows that repeat a
     doc_id all count, in order of their texts. An empty table writes no blocks. Extra columns are ignored. Texts move
@@ -308,6 +309,8 @@ def write_tokens(
                 at = to
         if names:
             yield close()
+        if not keep_pieces:
+            encoder.forget()
         pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
@@ -347,7 +350,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 END_ID = 2
 
 
-def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False) -> DataFrame:
+def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False, keep_pieces: bool = True) -> DataFrame:
     """Write ``docs`` with the 50k byte-level tokenizer and read the files back: doc_id, start, n_tokens, ids_crc32.
 
     In the order of doc_id, or with ``in_order`` in the order of the files that ``docs`` is read from.
@@ -355,7 +358,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False) -> D
     import public_tokenizers
 
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, in_order=in_order)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, in_order=in_order, keep_pieces=keep_pieces)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
