@@ -11,16 +11,34 @@ are by all stages but the last. Every stage gives no rows for an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontaminate, language, mixing, simhash, tokens
 from kinloom.llm.common import free_name, keep_ids, materialise, missing_ids, numbered
+from kinloom.session import bounded_batches
 
 #: Four languages leave at least a quarter of the votes to the best; less than this is no decision.
 LEAST_LANGUAGE_SCORE = 0.3
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """Texts go to Python in batches of bounded bytes, whoever calls the stage."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@_bounded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in no known language go: null text, no letter, or no decision. ``lang`` becomes the predicted one.
 
@@ -33,6 +51,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("lang", F.col(pred)).select(*docs.columns)
 
 
+@_bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates stays, and all others go.
 
@@ -46,24 +65,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keep_ids(docs, kept, row).drop(row)
 
 
+@_bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go; null and empty texts hold none and stay."""
     docs, row = numbered(docs, "_row")
     return missing_ids(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select(F.col("doc_id").alias(row)), row).drop(row)
 
 
+@_bounded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each turn in which the mix serves a row, in the order of the turns; texts without a word have none."""
     return mixing.mixed(docs, mixing.WEIGHTS)
 
 
+@_bounded
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files, read back: doc_id, start, n_tokens, ids_crc32, a row for each row of ``docs``.
 
     Documents stand in the files in the order in which they stand in the files of ``docs``, which is that of the mix's
     turns; rows that come from elsewhere stand in the order of their doc_id. Null text counts as empty.
     """
-    return tokens.tokenized(spark, docs, in_order=True)
+    return tokens.tokenized(spark, docs, in_order=True, keep_pieces=False)
 
 
 STAGES = [
