@@ -151,7 +151,7 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         self.tok = Tokenizer.from_file(path)
         self.most = most_pieces
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
@@ -249,9 +249,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most_pieces: int) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
-    return Encoder(path)
+    return Encoder(path, most_pieces)
 
 
 #: A block stands where its first row does: in which range or file, and at which row of it.
@@ -260,14 +260,16 @@ BLOCKS = "part string, row long, n_ids long, doc_ids array<long>, bytes binary"
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
-    id_bytes: int | None = None, partitions: int | None = None, in_order: bool = False, keep_pieces: bool = True,
+    id_bytes: int | None = None, partitions: int | None = None, in_order: bool = False,
+    most_pieces: int = 400_000, keep_pieces: bool = True,
 ) -> None:
     """Write the ids of every whole text, in ascending doc_id order, as a folder of blocks at ``path``.
 
     With ``in_order`` in the order of the files that ``docs`` is read from, and nothing is shuffled: Spark numbers the files
     that it writes in the order of their rows, and a block never goes over the end of a file or of a task's part of it.
-    Rows that don't come from files are written by doc_id then, too. A worker keeps the pieces it knows for its next task;
-    without ``keep_pieces`` they go when a task ends, for jobs whose other stages use the same workers.
+    Rows that don't come from files are written by doc_id then, too. A worker knows up to
+    ``most_pieces`` pieces (it forgets all at more) and keeps them for its next task; without ``keep_pieces`` they go when a
+    task ends, for jobs whose other stages use the same workers.
 
     ``end_id`` is put after each document. Null text counts as empty; null doc_ids come first; rows that repeat a
     doc_id all count, in order of their texts. An empty table writes no blocks. Extra columns are ignored. Texts move
@@ -277,7 +279,7 @@ def write_tokens(
         id_bytes = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = _encoder(tokenizer), np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        encoder, tail = _encoder(tokenizer, most_pieces), np.array([] if end_id is None else [end_id], dtype=np.uint32)
         names, waiting, n, first, follows = [], [], 0, ("", 0), None
 
         def close() -> pa.RecordBatch:
@@ -350,7 +352,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 END_ID = 2
 
 
-def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False, keep_pieces: bool = True) -> DataFrame:
+def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False, most_pieces: int = 400_000, keep_pieces: bool = True) -> DataFrame:
     """Write ``docs`` with the 50k byte-level tokenizer and read the files back: doc_id, start, n_tokens, ids_crc32.
 
     In the order of doc_id, or with ``in_order`` in the order of the files that ``docs`` is read from.
@@ -358,7 +360,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, in_order: bool = False, keep
     import public_tokenizers
 
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, in_order=in_order, keep_pieces=keep_pieces)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, in_order=in_order, most_pieces=most_pieces, keep_pieces=keep_pieces)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
