@@ -85,7 +85,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents stand in the files in the order in which they stand in the files of ``docs``, which is that of the mix's
     turns; rows that come from elsewhere stand in the order of their doc_id. Null text counts as empty.
     """
-    return tokens.tokenized(spark, docs, in_order=True, keep_pieces=False)
+    return tokens.tokenized(spark, docs, in_order=True, most_pieces=200_000, keep_pieces=False)
 
 
 STAGES = [
