@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, license, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontaminate, exact, language, license, lines, mixing, quality, simhash, substring, tokens, toxicity
 
 
 queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_exact": exact.op9_exact,
     "op10_simhash": simhash.op10_simhash,
+    "op11_lines": lines.op11_lines,
 }
 
-sql: dict[str, str] = {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL}
+sql: dict[str, str] = {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL, "op11_lines": lines.OP11_SQL}
