@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, license, lines, mixing, quality, simhash, substring, tokens, toxicity
+from . import alignment, decontaminate, exact, language, lexical, license, lines, mixing, quality, simhash, substring, tokens, toxicity
 
 
 queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,8 @@ queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact": exact.op9_exact,
     "op10_simhash": simhash.op10_simhash,
     "op11_lines": lines.op11_lines,
+    "op12_search": lexical.op12_search,
+    "op13_align": alignment.op13_align,
 }
 
-sql: dict[str, str] = {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL, "op11_lines": lines.OP11_SQL}
+sql: dict[str, str] = {"op2_substring": substring.OP2_SQL, "op6_mix": mixing.OP6_SQL, "op9_exact": exact.OP9_SQL, "op11_lines": lines.OP11_SQL, "op12_search": lexical.OP12_SQL}

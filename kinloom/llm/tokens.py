@@ -148,25 +148,41 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return start
 
 
-class Encoder:
-    """Encodes lists of texts as the tokenizer does, without special tokens."""
+def _same_pieces(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each piece [start, end) of ``cp``, first piece of each code); pieces share a code only if they are equal.
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
-        self.tok = Tokenizer.from_file(path)
-        self.most = most_pieces
-        config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
-        self.by_piece = self.tok.normalizer is None and b'"ByteLevel"' in config and b'"add_prefix_space":false' in config and b'"use_regex":true' in config
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocab = self.tok.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+    Hashes propose which are; the code points of each are then held against the first's, and those that differ get a code of
+    their own.
+    """
+    code, _ = pd.factorize(span_hash(prefix_hash(cp, _table()), start, end))
+    first = np.zeros(code.max(initial=-1) + 1, dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    again = np.nonzero(first[code] != np.arange(len(code)))[0]
+    of = first[code[again]]
+    size, same = end[again] - start[again], end[of] - start[of]
+    other = size != same
+    again, of, size = again[~other], of[~other], size[~other]
+    at = np.repeat(start[again] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    unlike = np.nonzero(cp[at] != cp[at + np.repeat(start[of] - start[again], size)])[0]
+    wrong = np.concatenate([np.nonzero(first[code] != np.arange(len(code)))[0][other], again[np.unique(np.searchsorted(np.cumsum(size), unlike, "right"))]])
+    if len(wrong):
+        code[wrong] = len(first) + np.arange(len(wrong))
+        first = np.concatenate([first, wrong])
+    return code, first
+
+
+class Known:
+    """Ids of pieces, side by side: what is known of a piece is its number, where its ids start, and how many they are."""
+
+    def __init__(self, most: int):
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.offset, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _put(self, piece: str, ids: np.ndarray) -> None:
+    def put(self, piece: str, ids: np.ndarray) -> None:
         k = len(self.known)
         if k == len(self.offset):
             self.offset, self.length = np.resize(self.offset, 2 * k), np.resize(self.length, 2 * k)
@@ -177,6 +193,30 @@ class Encoder:
         self.used += len(ids)
         self.known[piece] = k
 
+    def ids(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces with these numbers, one after another, and how many each has."""
+        length = self.length[of]
+        before = np.cumsum(length) - length
+        return self.flat[np.repeat(self.offset[of] - before, length) + np.arange(length.sum())], length
+
+
+class Encoder(Known):
+    """Encodes lists of texts as the tokenizer does, without special tokens.
+
+    With ``plain`` the strings of special tokens are ordinary text, too.
+    """
+
+    def __init__(self, path: str, most_pieces: int = 400_000, plain: bool = False):
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
+        config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
+        self.by_piece = self.tok.normalizer is None and b'"ByteLevel"' in config and b'"add_prefix_space":false' in config and b'"use_regex":true' in config
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocab = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        super().__init__(most_pieces)
+
     def _learn(self, pieces: list[str]) -> None:
         """Pieces that start with a space are encoded in one string: there, and nowhere else, a token starts with a space."""
         plain = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1:2].isspace()]
@@ -184,10 +224,10 @@ class Encoder:
             part = plain[at : at + 4096]
             ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, dtype=np.uint32)
             for p, one in zip(part, np.split(ids, np.nonzero(self.spaced[ids])[0][1:]), strict=True):
-                self._put(p, one)
+                self.put(p, one)
         rest = [p for p in pieces if p[0] != " " or len(p) == 1 or p[1:2].isspace()]
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._put(p, np.array(e.ids, dtype=np.uint32))
+            self.put(p, np.array(e.ids, dtype=np.uint32))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -233,21 +273,29 @@ class Encoder:
         text = np.cumsum(cls[start] == _END)
         real = cls[start] != _END
         start, end, text = start[real], end[real], text[real]
-        code, _ = pd.factorize(span_hash(prefix_hash(cp, _table()), start, end))
-        first = np.zeros(code.max(initial=-1) + 1, dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        code, first = _same_pieces(cp, start, end)
         pieces = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) + len(pieces) > self.most:
             self.forget()
         self._learn([p for p in pieces if p not in self.known])
         of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[code]
-        length = self.length[of]
-        before = np.cumsum(length) - length
-        ids = self.flat[np.repeat(self.offset[of] - before, length) + np.arange(length.sum())]
+        ids, length = self.ids(of)
         per_text = np.bincount(text, weights=length, minlength=n_texts).astype(np.int64)
         return np.split(ids, np.cumsum(per_text)[:-1])
 
 
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """[from, to) of texts that are encoded together: of CHUNK_CHARS characters, or one longer text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_CHARS):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 @lru_cache(2)
 def _encoder(path: str, most_pieces: int) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
@@ -272,7 +320,7 @@ def write_tokens(
     task ends, for jobs whose other stages use the same workers.
 
     ``end_id`` is put after each document. Null text counts as empty; null doc_ids come first; rows that repeat a
-    doc_id all count, in order of their texts. An empty table writes no blocks. Extra columns are ignored. Texts move
+    doc_id all count, in order of their texts' hashes. An empty table writes no blocks. Extra columns are ignored. Texts move
     once, in a range shuffle by doc_id; each task encodes its sorted range and closes a block at BLOCK_IDS ids.
     """
     if id_bytes is None:
@@ -289,12 +337,7 @@ def write_tokens(
 
         for b in batches:
             ids, texts, parts, rows = (b.column(k).to_pylist() for k in range(4))
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_CHARS):
-                    size += len(texts[to])
-                    to += 1
+            for at, to in chunks(texts):
                 found = encoder.encode(texts[at:to]) if to > at + 1 else [encoder.encode_parts(texts[at])]
                 for name, part, row, one in zip(ids[at:to], parts[at:to], rows[at:to], found, strict=True):
                     if names and (part, row) != follows:
@@ -308,7 +351,6 @@ def write_tokens(
                     if n >= BLOCK_IDS:
                         yield close()
                         names, waiting, n = [], [], 0
-                at = to
         if names:
             yield close()
         if not keep_pieces:
@@ -316,12 +358,17 @@ def write_tokens(
         pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
-    where = place_in_files(docs) if in_order else None
-    if where:
-        rows = docs.select(*own, where[0].alias("part"), where[1].alias("row"))
+    where = place_in_files(docs)
+    if where and in_order:
+        # part-100000 comes after part-99999.
+        part = F.concat(F.lpad(F.regexp_extract(where[0], r"part-(\d+)[^/]*$", 1), 12, "0"), where[0])
+        rows = docs.select(*own, part.alias("part"), where[1].alias("row"))
     else:
         n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = docs.select(*own).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        # Many rows may share an id or have none: a range is cut by the texts' hashes, too, and equal rows by their places.
+        rows = docs.select(*own, F.xxhash64(*where).alias("place") if where else F.monotonically_increasing_id().alias("place"))
+        order = ["doc_id", F.xxhash64("text"), "place"]
+        rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
         # Number in the range's order: partitions are ranges, and the id counts up within one.
         rows = rows.select("doc_id", "text", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("part"), F.monotonically_increasing_id().alias("row"))
     rows.mapInArrow(work, BLOCKS).write.parquet(path)
