@@ -13,29 +13,32 @@ pairs by broadcast if they are measured to be small, or else heavy pairs do and
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import BROADCAST_BYTES, materialise, small, spread_join
-from .tokens import Encoder, Known, chunks
+from .tokens import chunks, usual_characters
 
-#: Pieces and windows that a worker remembers.
-MOST_PIECES, MOST_WINDOWS = 150_000, 150_000
-#: A piece of the second tokenizer of more characters isn't remembered.
-LONGEST = 64
+#: Windows that a worker remembers.
+MOST_WINDOWS = 200_000
 _MARK = "▁"
-_SPACED = re.compile(" +[^ ]*")
+#: How a byte-level BPE of this kind splits texts (fixed).
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Stands between the ids of the two sides of a window.
-_BETWEEN = b"\xff\xff\xff\xff"
+#: Stands between the ids of the two sides of a window; no id is as large.
+_BETWEEN = 0xFFFFFFFF
 
 
 def byte_level() -> dict[str, int]:
@@ -45,6 +48,12 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+@lru_cache(1)
+def _unusual() -> re.Pattern[str]:
+    """Finds a character whose class isn't beyond doubt."""
+    return re.compile("[^" + re.escape("".join(chr(c) for c in np.nonzero(usual_characters())[0].tolist())) + "]")
+
+
 class Side:
     """A tokenizer's token bytes: their lengths, and which start with a space."""
 
@@ -58,62 +67,48 @@ class Side:
 
 
 class ByteLevel(Side):
-    """The byte-level BPE: encodes a space and the text."""
+    """The byte-level BPE: encodes a space and the text.
+
+    Texts of ordinary letters, digits, punctuation and ASCII white space go through the faster of two libraries, if the file's
+    merges are numbered in their order, as its ranks then say the same; all other texts through the file's own tokenizer.
+    """
 
-    def __init__(self, path: str, most: int = MOST_PIECES):
-        self.encoder = Encoder(path, most, plain=True)
-        table, vocab = byte_level(), self.encoder.tok.get_vocab()
+    def __init__(self, path: str):
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        table, vocab = byte_level(), self.tok.get_vocab()
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        raw = {token: token.encode() if token in special else bytes(table[c] for c in token) for token in vocab}
         tokens = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            tokens[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+            tokens[i] = raw[token]
         super().__init__(tokens)
+        model = json.loads(self.tok.to_str())
+        merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+        config = model["pre_tokenizer"] or {}
+        alike = config.get("type") == "ByteLevel" and config.get("use_regex") and not config.get("add_prefix_space") and not model["normalizer"]
+        self.fast = None
+        if alike and merges == sorted(set(merges)) and len(merges) + 256 + len(special) == len(vocab):
+            self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks={raw[t]: i for t, i in vocab.items() if t not in special}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Of texts that are encoded together (see chunks())."""
-        texts = [" " + t for t in texts]
-        return self.encoder.encode(texts) if len(texts) > 1 else [self.encoder.encode_parts(texts[0])]
+        out = []
+        for t in texts:
+            ids = self.fast.encode_ordinary(" " + t) if self.fast and not _unusual().search(t) else self.tok.encode(" " + t, add_special_tokens=False).ids
+            out.append(np.array(ids, dtype=np.uint32))
+        return out
 
 
 class Pieces(Side):
-    """The piece BPE, which puts a space before the text.
-
-    If no piece has a space after another character, none goes over the end of a run of non-spaces, so each run of spaces
-    with the run after it is encoded once and remembered.
-    """
+    """The piece BPE, which puts a space before the text."""
 
-    def __init__(self, path: str, most: int = MOST_PIECES):
+    def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.apart = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.known = Known(most)
         super().__init__([bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) and self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)])
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart:
-            return [np.array(x, dtype=np.uint32) for x in self._whole(texts)]
-        split = [_SPACED.findall(" " + t) for t in texts]
-        flat, known = [p for x in split for p in x], self.known
-        if len(known.known) > known.most:
-            known.forget()
-        new = [p for p in dict.fromkeys(flat) if p not in known.known]
-        space = self.model.piece_to_id(_MARK)
-        long: dict[str, np.ndarray] = {}
-        for p, ids in zip(new, self._whole([p[1:] for p in new]), strict=True):
-            ids = np.array([space] if p == " " else ids, dtype=np.uint32)
-            if len(p) > LONGEST:
-                long[p] = ids
-            else:
-                known.put(p, ids)
-        if long:  # such pieces are joined by hand
-            of = [long[p] if p in long else known.ids(np.array([known.known[p]]))[0] for p in flat]
-            ids, length = np.concatenate(of), np.array([len(x) for x in of])
-        else:
-            ids, length = known.ids(np.fromiter(map(known.known.__getitem__, flat), np.int64, len(flat)))
-        per_text = np.add.reduceat(length, np.cumsum([0, *(len(x) for x in split[:-1])]))
-        return np.split(ids, np.cumsum(per_text)[:-1])
+        return [np.array(x, dtype=np.uint32) for x in self.model.encode(texts, num_threads=1)]
 
 
 def _repeated(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,18 +139,25 @@ class Windows:
 
     def of(self, a: np.ndarray, b: np.ndarray, edge_a: np.ndarray, edge_b: np.ndarray) -> np.ndarray:
         """The number of each window, of ids of ``a`` and ``b`` between edges; new ones are aligned."""
-        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        x, y = (4 * edge_a).tolist(), (4 * edge_b).tolist()
-        keys = [raw_a[i:j] + _BETWEEN + raw_b[k:m] for i, j, k, m in zip(x, x[1:], y, y[1:], strict=False)]
-        new = []
-        for at, key in enumerate(keys):
-            if key not in self.number:
-                self.number[key] = len(self.number)
-                new.append(at)
-        if new:
+        # The ids of each window side by side: those of a, the mark, those of b.
+        n = np.arange(1, len(edge_a))
+        both = np.full(len(a) + len(b) + len(n), _BETWEEN, dtype="<u4")
+        both[np.arange(len(a)) + np.repeat(edge_b[:-1] + n - 1, np.diff(edge_a))] = a
+        both[np.arange(len(b)) + np.repeat(edge_a[1:] + n, np.diff(edge_b))] = b
+        raw, ends = both.tobytes(), (4 * np.concatenate([[0], edge_a[1:] + edge_b[1:] + n])).tolist()
+        keys = [raw[x:y] for x, y in pairwise(ends)]
+        number = self.number
+        found = list(map(number.get, keys))
+        if None in found:
+            new = []
+            for at, key in enumerate(keys):
+                if found[at] is None:
+                    if (k := number.setdefault(key, len(number))) == len(self.text) + len(new):
+                        new.append(at)
+                    found[at] = k
             at = np.array(new)
             self._learn(*(_slices(ids, edge[at], edge[at + 1]) for ids, edge in ((a, edge_a), (b, edge_b))))
-        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        return np.array(found, dtype=np.int64)
 
     def _learn(self, side_a: tuple[np.ndarray, np.ndarray], side_b: tuple[np.ndarray, np.ndarray]) -> None:
         """Align windows, given as the ids of all of them and the number of ids of each: groups end where both sides do."""
@@ -268,9 +270,9 @@ class Aligner:
 
 
 @lru_cache(1)
-def _aligner(path_a: str, path_b: str, most_pieces: int, most_windows: int) -> Aligner:
+def _aligner(path_a: str, path_b: str, most_windows: int) -> Aligner:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Aligner(ByteLevel(path_a, most_pieces), Pieces(path_b, most_pieces), most_windows)
+    return Aligner(ByteLevel(path_a), Pieces(path_b), most_windows)
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<long>, times array<long>"
@@ -278,7 +280,7 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_
 
 def aligned(
     docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = True,
-    most_pieces: int = MOST_PIECES, most_windows: int = MOST_WINDOWS,
+    most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """Each row's text aligned: n_a, n_b, n_groups, n_links, the groups and their hash, and its distinct pairs of ids.
 
@@ -291,7 +293,7 @@ def aligned(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(path_a, path_b, most_pieces, most_windows)
+        aligner = _aligner(path_a, path_b, most_windows)
         kinds = [pa.int64()] * 5 + [pa.string(), pa.string()]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]

@@ -122,6 +122,13 @@ def _classes() -> np.ndarray:
     return out
 
 
+def usual_characters() -> np.ndarray:
+    """True for each code point whose class in the split pattern is beyond doubt."""
+    found = _classes() > 0
+    found[0] = found[_KNOWN] = False
+    return found
+
+
 @lru_cache(1)
 def _table() -> np.ndarray:
     return np.random.default_rng(20).integers(1, 1 << 63, _KNOWN + 1, dtype=np.uint64)
@@ -182,16 +189,17 @@ class Known:
         self.known: dict[str, int] = {}
         self.flat, self.offset, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def put(self, piece: str, ids: np.ndarray) -> None:
-        k = len(self.known)
-        if k == len(self.offset):
-            self.offset, self.length = np.resize(self.offset, 2 * k), np.resize(self.length, 2 * k)
+    def put(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """New pieces with their ids, one after another, and how many each has."""
+        k, n = len(self.known), len(pieces)
+        if k + n > len(self.offset):
+            self.offset, self.length = np.resize(self.offset, 2 * (k + n)), np.resize(self.length, 2 * (k + n))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.offset[k], self.length[k] = self.used, len(ids)
+        self.offset[k : k + n], self.length[k : k + n] = self.used + np.cumsum(length) - length, length
         self.used += len(ids)
-        self.known[piece] = k
+        self.known.update(zip(pieces, range(k, k + n), strict=True))
 
     def ids(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces with these numbers, one after another, and how many each has."""
@@ -201,14 +209,10 @@ class Known:
 
 
 class Encoder(Known):
-    """Encodes lists of texts as the tokenizer does, without special tokens.
-
-    With ``plain`` the strings of special tokens are ordinary text, too.
-    """
+    """Encodes lists of texts as the tokenizer does, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000, plain: bool = False):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain
         config = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
         self.by_piece = self.tok.normalizer is None and b'"ByteLevel"' in config and b'"add_prefix_space":false' in config and b'"use_regex":true' in config
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -223,11 +227,11 @@ class Encoder(Known):
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            for p, one in zip(part, np.split(ids, np.nonzero(self.spaced[ids])[0][1:]), strict=True):
-                self.put(p, one)
+            start = np.nonzero(self.spaced[ids])[0]
+            self.put(part, ids, np.diff(start, append=len(ids)))
         rest = [p for p in pieces if p[0] != " " or len(p) == 1 or p[1:2].isspace()]
-        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.put(p, np.array(e.ids, dtype=np.uint32))
+        found = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        self.put(rest, np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
