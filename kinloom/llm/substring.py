@@ -21,7 +21,6 @@ so a passage that many documents share sends one row from each chunk, not one fr
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +29,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _grown, _R, mix64, span_hash
+from .common import _grown, _R, attach, keep_ids, materialise, mix64, numbered, running, small, span_hash
 
 WINDOW = 13
 #: Most words of the dictionary, the longest that it takes, and the number that stands for all others.
@@ -47,7 +46,8 @@ MOST_HOT = 100_000
 #: Bytes of text that are looked at together, and rows of blocks.
 CHUNK_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
 _LAST = (1 << 63) - 1
-_POS = 36
+#: Bits of a position in a document; above them is the row's number among those that share its id.
+_POS = 30
 ROWS = "key int, id long, pos long, n int, body binary"
 _NAMES = ["key", "id", "pos", "n", "body"]
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -55,12 +55,11 @@ _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 @dataclass
 class Layout:
-    """How rows are laid out: frequent words, most frequent first; hot anchors (sorted) with their places; repeated ids or not."""
+    """How rows are laid out: frequent words, most frequent first; hot anchors (sorted) with their places."""
 
     words: list[bytes] = field(default_factory=list)
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    repeats: bool = True
 
     def __post_init__(self) -> None:
         self.rank = {w: k for k, w in enumerate(self.words)}
@@ -71,11 +70,6 @@ class Layout:
         return rank, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _tag(text: bytes, repeats: bool) -> int:
-    """Tells rows that repeat a doc_id with another text apart; 0 where no doc_id is repeated."""
-    return zlib.crc32(text) & 0x7FFFFFF if repeats else 0
-
-
 def _key(hashes: np.ndarray) -> np.ndarray:
     """What rows are dealt out and sorted by: 32 bits. Anchors that share them meet, too, which changes nothing."""
     return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -182,14 +176,14 @@ def _bodies(words: list[bytes], rank: np.ndarray, low: np.ndarray, high: np.ndar
     return [counts[2 * k : 2 * k + 2] + ranks[2 * i : 2 * j] + others[x:y] for k, (i, j, x, y) in enumerate(spans)]
 
 
-def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) -> Iterator[pa.RecordBatch]:
+def _blocks(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], window: int, layout: Layout) -> Iterator[pa.RecordBatch]:
     """Of a chunk: the factors found within it, and blocks of the other windows."""
     order = np.argsort(ids, kind="stable")
-    ids, texts = ids[order], [texts[i] for i in order]
+    ids, tags, texts = ids[order], tags[order], [texts[i] for i in order]
     c = _windows(texts, window, layout)
     if not len(c.of):
         return
-    tag = np.array([_tag(t, layout.repeats) for t in texts], dtype=np.int64) << _POS
+    tag = tags << _POS
     first = _first_of(c.same)
     ref, ref_pos = ids[c.of[first]], c.pos[first]
     seen = ids[c.of] > ref
@@ -201,7 +195,8 @@ def _blocks(ids: np.ndarray, texts: list[bytes], window: int, layout: Layout) ->
     a, b = a[seen[a]], b[seen[a]]
     if len(a):
         own = ids[c.of[a]]
-        yield _factor_rows(_key(mix64(own.view(np.uint64))), own, c.pos[a] + tag[c.of[a]], b - a + window - 1, ref[a], ref_pos[a])
+        dealt = _key(mix64(own.view(np.uint64) + mix64(tags[c.of[a]].view(np.uint64))))
+        yield _factor_rows(dealt, own, c.pos[a] + tag[c.of[a]], b - a + window - 1, ref[a], ref_pos[a])
     apart[1:] |= c.key[1:] != c.key[:-1]
     a, b = _runs(apart)
     a, b = a[~seen[a]], b[~seen[a]]
@@ -289,11 +284,10 @@ def _parse(found: list[dict]) -> list[dict]:
     return out
 
 
-def _cut(text: bytes, found: list[dict], repeats: bool = True) -> tuple[bytes, int, int, list[dict]]:
+def _cut(text: bytes, found: list[dict]) -> tuple[bytes, int, int, list[dict]]:
     """Kept words, counts, and the parse."""
     words = text.split()
-    tag = _tag(text, repeats)
-    factors = _parse([{"start": f["pos"] & ((1 << _POS) - 1), **f} for f in found if f["pos"] >> _POS == tag]) if found else []
+    factors = _parse([{"start": f["pos"] & ((1 << _POS) - 1), **f} for f in found]) if found else []
     kept, at = [], 0
     for f in factors:
         kept += words[at : f["start"]]
@@ -339,7 +333,7 @@ def hot_anchors(rows: DataFrame, window: int, layout: Layout) -> Layout:
     anchor = np.array([r["anchor"] for r in found], dtype=np.int64).view(np.uint64)
     places = np.array([1 + r["n"] * SAMPLE // PLACE for r in found], dtype=np.uint64)
     order = np.argsort(anchor)
-    return Layout(layout.words, anchor[order], places[order], layout.repeats)
+    return Layout(layout.words, anchor[order], places[order])
 
 
 def pack_dictionary(rows: DataFrame, total: int) -> bytes:
@@ -356,33 +350,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     A word goes if a window over it also starts in a document with a smaller id, judged on the input. Words are runs of
     non-whitespace (U+0020, U+0009 to U+000D); kept ones are joined by a space. Null text has no words. Null ids come
-    after all others. Rows that repeat an id are judged each, and none repeats the other, their ids being equal.
+    after all others. Rows that repeat an id are told apart by numbers and judged each, and none repeats the other, their
+    ids being equal; up to 2**33 rows may share one.
     Texts shorter than a window stay whole. An empty table gives no rows; extra columns are ignored.
     A factor is a copy of ``words`` words of document ``ref`` from its word ``ref_start`` on; factors don't overlap.
     """
-    own = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    rows = _told_apart(docs, F.col(id_col).cast("long"), F.col(text_col))
     total = docs.count()
-    repeats = not rows.groupBy("id").count().where("count > 1").isEmpty()
-    layout = hot_anchors(rows, window, Layout(frequent_words(rows, total), repeats=repeats))
+    layout = hot_anchors(rows, window, Layout(frequent_words(rows, total)))
     held = docs.sparkSession.sparkContext.broadcast((layout, pack_dictionary(rows, total)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = held.value[0]
-        ids: list[int] = []
+        ids: list[tuple[int, int]] = []
         texts: list[bytes] = []
         size = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            own, tags = np.array(ids, dtype=np.int64).T
+            yield from _blocks(own, tags, texts, window, layout)
+
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, tag, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = (t.as_py() or "").encode()
                 if size + len(raw) > CHUNK_BYTES and texts:
-                    yield from _blocks(np.array(ids, dtype=np.int64), texts, window, layout)
+                    yield from blocks()
                     ids, texts, size = [], [], 0
-                ids.append(i)
+                ids.append((i, tag))
                 texts.append(raw)
                 size += len(raw)
         if texts:
-            yield from _blocks(np.array(ids, dtype=np.int64), texts, window, layout)
+            yield from blocks()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "pos", "words", "ref", "ref_start"]
@@ -395,8 +393,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         words = zstandard.ZstdCompressionDict(held.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(level=6, dict_data=words)
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            packed = pa.array([packer.compress((t.as_py() or "").encode()) for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["id", "doc_id", "packed"])
+            packed = pa.array([packer.compress((t.as_py() or "").encode()) for t in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["id", "tag", "doc_id", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = zstandard.ZstdCompressionDict(held.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -408,17 +406,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             ends, names = finds.offsets.to_numpy().tolist(), ("pos", "words", "ref", "ref_start")
             flat = [dict(zip(names, x, strict=True)) for x in zip(*(finds.values.field(n).to_pylist() for n in names), strict=True)]
             of_row = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
-            out = [_cut(unpacker.decompress(t), f, repeats) for t, f in zip(part.column(1).to_pylist(), of_row, strict=True)]
+            out = [_cut(unpacker.decompress(t), f) for t, f in zip(part.column(1).to_pylist(), of_row, strict=True)]
             cols = list(zip(*((k.decode(), *x) for k, *x in out), strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "kept_text", "n_words", "n_removed", "factors"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.mapInArrow(parse, ROWS).repartition(n, "key").sortWithinPartitions("key", "id")
+    blocks = rows.select("id", "tag", "text").mapInArrow(parse, ROWS).repartition(n, "key").sortWithinPartitions("key", "id")
     finds = blocks.mapInArrow(meet, "id long, pos long, words int, ref long, ref_start long")
-    finds = finds.groupBy("id").agg(F.collect_list(F.struct("pos", "words", "ref", "ref_start")).alias("found"))
-    whole = docs.select(F.coalesce(own, F.lit(_LAST)).alias("id"), own.alias("doc_id"), F.col(text_col).alias("text"))
-    whole = whole.mapInArrow(pack, "id long, doc_id long, packed binary")
-    return whole.join(finds, "id", "left").select("doc_id", "packed", "found").mapInArrow(cut, RESULT)
+    finds = finds.groupBy("id", F.shiftright("pos", _POS).alias("tag")).agg(F.collect_list(F.struct("pos", "words", "ref", "ref_start")).alias("found"))
+    whole = rows.select("id", "tag", "doc_id", "text").mapInArrow(pack, "id long, tag long, doc_id long, packed binary")
+    return whole.join(finds, ["id", "tag"], "left").select("doc_id", "packed", "found").mapInArrow(cut, RESULT)
+
+
+def _told_apart(docs: DataFrame, own: Column, text: Column) -> DataFrame:
+    """(id, tag, doc_id, text) of each row: null ids come last, and rows that share an id are numbered by ``tag``.
+
+    Where no id repeats, all tags are 0 and nothing is joined. Else the rows that share one are sorted, without their
+    texts, over all tasks (an id may have a third of all rows).
+    """
+    rows = docs.select(own.alias("doc_id"), text.alias("text"))
+    ids = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("id")
+    repeated = materialise(rows.select(ids).groupBy("id").count().where("count > 1"), "repeated-ids")
+    if repeated.isEmpty():
+        return rows.select(ids, F.lit(0).cast("long").alias("tag"), "doc_id", "text")
+    rows, row = numbered(rows, "_row")
+    shared = materialise(running(keep_ids(rows.select(ids, row), repeated, "id"), ["id", row], "no", "shared-ids"), "shared-ids")
+    start = materialise(shared.groupBy("id").agg(F.min("no").alias("start")), "id-starts")
+    tags = materialise(attach(shared, start, "id").select(row, (F.col("no") - F.col("start")).alias("tag")), "tags")
+    if (tags.agg(F.max("tag")).first()[0] or 0) >> (63 - _POS):
+        raise ValueError(f"more than {1 << (63 - _POS)} rows share an id")
+    rows = rows.join(F.broadcast(tags) if small(tags) else tags, row, "left")
+    return rows.select(ids, F.coalesce("tag", F.lit(0)).alias("tag"), "doc_id", "text")
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def test_substring_of_hot_anchors(spark, odd, monkeypatch, hot):
 def local_dedup(rows, layout, chunk=7, window=13):
     """The operator's parts without Spark: {id: (n_words, n_removed, factors)} of rows with distinct ids."""
     rows = [(i, (t or "").encode()) for i, t in rows]
-    blocks = [b for at in range(0, len(rows), chunk) for b in substring._blocks(np.array([i for i, _ in rows[at : at + chunk]]), [t for _, t in rows[at : at + chunk]], window, layout)]
+    blocks = [b for at in range(0, len(rows), chunk) for b in substring._blocks(np.array([i for i, _ in rows[at : at + chunk]]), np.zeros(len(rows[at : at + chunk]), np.int64), [t for _, t in rows[at : at + chunk]], window, layout)]
     table = pa.Table.from_batches(blocks).sort_by([("key", "ascending"), ("id", "ascending")])
     found = {}
     for b in substring._factors(iter(table.combine_chunks().to_batches()), window):
