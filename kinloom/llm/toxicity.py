@@ -82,49 +82,56 @@ def design(votes: np.ndarray) -> np.ndarray:
     return np.hstack([votes, np.minimum(hits, 1), np.log1p(hits), np.ones_like(hits)])
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
+def label_model(votes: np.ndarray, prior: float, share: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
     """Posterior probability of class 1 for each row of votes; no row's label is known to it.
 
-    Each voter fires with one rate in each class and else abstains; that no term fires is a vote of its own. A voter speaks
-    for class 1, so its rate there is held to be the higher one. To begin with, rows are ranked by how many voters fire, a
-    rare voter's vote weighing more, and a ``prior`` share of them is taken for class 1. Residual correlations of voters
-    given the class cut their log-odds: a voter's weight is 1 over 1 plus the sum of its positive correlations.
+    ``share``: how many rows of the corpus each row stands for. Each voter fires with one rate in each class and else
+    abstains; that no term fires is a vote of its own. A voter speaks for class 1, so its rate there is held to be the higher
+    one. To begin with, rows are ranked by how many voters fire, a rare voter's vote weighing more, and a ``prior`` share of
+    them is taken for class 1. Residual correlations of voters given the class cut their log-odds: a voter's weight is 1 over
+    1 plus the sum of its positive correlations.
     """
     v = votes.astype(float)
     prior = min(max(prior, 0.01), 0.99)
-    n = len(v)
-    say = v @ np.log((n + 1) / (v.sum(axis=0) + 1))
+    r = np.ones(len(v)) if share is None else share * len(v) / share.sum()
+    n = r.sum()
+    say = v @ np.log((n + 1) / (r @ v + 1))
     some = say[say > 0]
-    mark = max(np.quantile(say, 1 - prior), some.min() if len(some) else 1.0)
+    down = np.argsort(-say, kind="stable")
+    at = min(np.searchsorted(np.cumsum(r[down]), prior * n), len(say) - 1)  # the last row of the first ``prior`` share
+    mark = max(say[down[at]], some.min() if len(some) else 1.0)
     post = np.where(say >= mark, 0.9, 0.1 * prior)
     none = ~v[:, :-N_PATTERNS].any(axis=1)
     weight = np.ones(v.shape[1])
     for k in range(rounds):
-        on = (v.T @ post + 0.05) / (post.sum() + 0.6)
-        off = (v.T @ (1 - post) + 0.005) / ((1 - post).sum() + 1)
+        one, zero = r * post, r * (1 - post)
+        on = (v.T @ one + 0.05) / (one.sum() + 0.6)
+        off = (v.T @ zero + 0.005) / (zero.sum() + 1)
         on, off = np.clip(on, 1e-4, 0.999), np.clip(off, 1e-4, 0.999)
         on = np.maximum(on, off)
         if k % 10 == 0:
             rest = v - post[:, None] * on - (1 - post[:, None]) * off
-            rest /= rest.std(axis=0) + 1e-6
-            tie = np.clip(rest.T @ rest / n, 0, 1)
+            rest -= (r @ rest) / n
+            rest /= np.sqrt((r @ rest**2) / n) + 1e-6
+            tie = np.clip(rest.T @ (r[:, None] * rest) / n, 0, 1)
             np.fill_diagonal(tie, 0)
             weight = 1 / (1 + np.where(tie > 0.3, tie, 0).sum(axis=1))
-        rate = [((none * q).sum() + 0.5) / (q.sum() + 1) for q in (post, 1 - post)]
+        rate = [((none * q).sum() + 0.5) / (q.sum() + 1) for q in (one, zero)]
         odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(on / off)) + none * min(0.0, np.log(rate[0] / rate[1]))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the bias is not held back."""
+def fit_linear(x: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, rounds: int = 30, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; ``share`` as in label_model(). The bias is not held back."""
     w = np.zeros(x.shape[1])
+    r = np.ones(len(x)) if share is None else share * len(x) / share.sum()
     hold = np.full(len(w), ridge)
     hold[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(hold)
-        move = np.linalg.solve(bend, x.T @ (p - y) + hold * w)
+        bend = (x * (r * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(hold)
+        move = np.linalg.solve(bend, x.T @ (r * (p - y)) + hold * w)
         w -= move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-12))
     return w
 
@@ -160,11 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, unlabelled: i
     """Learn from about ``per_label`` of the ``labels`` (doc_id, label) of each value and ``unlabelled`` other rows.
 
     The draws are by hash and bounded; texts stay on the executors, the driver gets their votes. The lexicon is mined from
-    the labelled rows; the label model sees the votes of all rows drawn and the share of label 1 among them.
+    the labelled rows; the label model sees the votes of all rows drawn and the share of label 1 among all labels given.
+    Each labelled row drawn stands for as many as its label has rows for each one drawn, so what is learned doesn't depend
+    on how many of each label are drawn.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = bounded_sample(labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", "label", per_label)
-    known = materialise(attach(rows, known, "doc_id").select("text", "label"), "labelled")
+    labels = labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    there = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    known = materialise(attach(rows, bounded_sample(labels, "doc_id", "label", per_label), "doc_id").select("text", "label"), "labelled")
     model = Model(sorted({*SEED, *mine(known)}), np.zeros(0))
     others = drawn(rows.select(F.xxhash64("doc_id", "text").alias("id"), "text"), "id", unlabelled).select("text", F.lit(-1).alias("label"))
 
@@ -176,12 +186,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, unlabelled: i
     got = known.unionByName(others).mapInArrow(work, "label int, votes binary").toPandas().sort_values(["label", "votes"])
     votes = np.array([np.frombuffer(v, np.uint8) for v in got["votes"]]).reshape(len(got), len(model.lexicon) + N_PATTERNS)
     if not len(votes):
-        votes, post = np.zeros((1, votes.shape[1]), np.uint8), np.zeros(1)
+        votes, post, share = np.zeros((1, votes.shape[1]), np.uint8), np.zeros(1), np.ones(1)
     else:
         own = got["label"].to_numpy()
-        prior = float((own == 1).sum() / (own >= 0).sum()) if (own >= 0).any() else 0.1
-        post = label_model(votes, prior)
-    model.weights = fit_linear(design(votes), post)
+        all_labels = sum(there.values())
+        prior = there.get(1, 0) / all_labels if all_labels else 0.1
+        # Labelled rows weigh 1 on average; so do the others.
+        drawn_of = {k: int((own == k).sum()) for k in (0, 1)}
+        stands = {k: there.get(k, 0) / all_labels * (drawn_of[0] + drawn_of[1]) / max(drawn_of[k], 1) for k in (0, 1)} if all_labels else {}
+        share = np.array([stands.get(k, 1.0) for k in own.tolist()])
+        post = label_model(votes, prior, share)
+    model.weights = fit_linear(design(votes), post, share)
     return model
 
 
