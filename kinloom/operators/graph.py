@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import text as X
 from kinloom.session import materialise
 
+from .joins import heavy_keys, split_join
 from .upsert import upsert
 
 LISTS = ("topics", "skills", "interests", "tags")
@@ -85,15 +87,22 @@ def interacted_with(facts: DataFrame) -> DataFrame:
     return rows.select("tenant_id", "actor_id", "target_id", ident.alias("source_event_id"), F.col("touchpoint_type").alias("channel"), "occurred_at")
 
 
+def _steps(edges: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that joins rows to the edges that leave the person in a column; people with very many are dealt out."""
+    heavy = materialise(heavy_keys(edges, "from_id"), "heavy-people")
+    return lambda rows, at: split_join(rows, edges, at, "from_id", heavy, F.col("to_id"))
+
+
 def intro_paths(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """For each user's own person (user_id, anchor) the best path of one or two KNOWS steps to everyone else.
 
     Likelihood is the product of strengths; then the shorter path, then the smaller person between.
     """
     e = edges.select("from_id", "to_id", F.col("strength").cast("double").alias("strength"))
-    one = anchors.join(e, F.col("anchor") == F.col("from_id")).select("user_id", "anchor", F.col("to_id").alias("mid"), F.col("strength").alias("s1"))
+    step = _steps(e)
+    one = step(anchors, "anchor").select("user_id", "anchor", F.col("to_id").alias("mid"), F.col("strength").alias("s1"))
     direct = one.select("user_id", "anchor", F.col("mid").alias("target"), F.lit(None).cast("string").alias("via"), F.lit(1).alias("path_length"), F.col("s1").alias("p"))
-    two = one.join(e, F.col("mid") == F.col("from_id")).select("user_id", "anchor", F.col("to_id").alias("target"), F.col("mid").alias("via"), F.lit(2).alias("path_length"), (F.col("s1") * F.col("strength")).alias("p"))
+    two = step(one, "mid").select("user_id", "anchor", F.col("to_id").alias("target"), F.col("mid").alias("via"), F.lit(2).alias("path_length"), (F.col("s1") * F.col("strength")).alias("p"))
     best = direct.unionByName(two).where("target <> anchor").groupBy("user_id", "target").agg(F.min(F.struct((-F.col("p")).alias("p"), "path_length", "via")).alias("b"))
     return best.select("user_id", "target", F.col("b.via").alias("via"), F.col("b.path_length").alias("path_length"), F.round(-F.col("b.p"), 4).alias("intro_likelihood"))
 
@@ -188,14 +197,16 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def shared(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Q12: how many two-step paths lead from each anchor to a person."""
-    one = anchors.join(edges, F.col("anchor") == F.col("from_id")).select("anchor", F.col("to_id").alias("_mid"))
-    return one.join(edges, F.col("_mid") == F.col("from_id")).groupBy("anchor", F.col("to_id").alias("entity_id")).agg(F.count("*").alias("shared_connections"))
+    step = _steps(edges.select("from_id", "to_id"))
+    one = step(anchors, "anchor").groupBy("anchor", F.col("to_id").alias("_mid")).agg(F.count("*").alias("_ways"))
+    return step(one, "_mid").groupBy("anchor", F.col("to_id").alias("entity_id")).agg(F.sum("_ways").alias("shared_connections"))
 
 
 def second_degree(edges: DataFrame, anchors: DataFrame, most_via: int = 5) -> DataFrame:
     """Q9: people two steps from an anchor and not one; the first ``most_via`` people between, the best second step."""
-    one = anchors.join(edges, F.col("anchor") == F.col("from_id")).select("anchor", F.col("to_id").alias("mid"))
-    two = one.join(edges, F.col("mid") == F.col("from_id")).select("anchor", "mid", F.col("to_id").alias("entity_id"), "strength").where("entity_id <> anchor")
+    step = _steps(edges.select("from_id", "to_id", "strength"))
+    one = step(anchors, "anchor").select("anchor", F.col("to_id").alias("mid"))
+    two = step(one, "mid").select("anchor", "mid", F.col("to_id").alias("entity_id"), "strength").where("entity_id <> anchor")
     two = two.join(one.select("anchor", F.col("mid").alias("entity_id")).distinct(), ["anchor", "entity_id"], "left_anti")
     best = two.groupBy("anchor", "entity_id", "mid").agg(F.max("strength").alias("s"))
     ranked = best.withColumn("_n", F.row_number().over(Window.partitionBy("anchor", "entity_id").orderBy("mid")))
@@ -234,11 +245,12 @@ def shortest_paths(edges: DataFrame, anchors: DataFrame, most_steps: int = 4) ->
     One equality join for each step, from the people reached last; those seen before are left out. Each level is a
     checkpoint, so a lost executor costs one level.
     """
-    pairs = materialise(edges.select("from_id", "to_id").where("from_id <> to_id").distinct(), "pairs")
+    pairs = _pairs(edges)
+    walk = _steps(pairs)
     level = anchors.select("anchor", F.col("anchor").alias("entity_id"), F.lit(0).alias("path_length"), F.array("anchor").alias("path"))
     seen = level
     for step in range(1, most_steps + 1):
-        nxt = level.join(pairs, F.col("entity_id") == F.col("from_id")).select("anchor", F.col("to_id").alias("entity_id"), F.concat("path", F.array("to_id")).alias("path"))
+        nxt = walk(level, "entity_id").select("anchor", F.col("to_id").alias("entity_id"), F.concat("path", F.array("to_id")).alias("path"))
         nxt = nxt.groupBy("anchor", "entity_id").agg(F.min("path").alias("path")).join(seen.select("anchor", "entity_id"), ["anchor", "entity_id"], "left_anti")
         level = nxt.select("anchor", "entity_id", F.lit(step).alias("path_length"), "path").checkpoint()
         if level.isEmpty():
@@ -247,6 +259,39 @@ def shortest_paths(edges: DataFrame, anchors: DataFrame, most_steps: int = 4) ->
     return seen
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    return materialise(edges.select("from_id", "to_id").where("from_id <> to_id").distinct(), "pairs")
+
+
+def paths_between(edges: DataFrame, wanted: DataFrame, most_steps: int = 4) -> DataFrame:
+    """Q10: (anchor, entity_id, path_length, path) for the ``wanted`` pairs that are within ``most_steps`` KNOWS steps.
+
+    As shortest_paths(), ties by the smaller path, but for pairs that are named: one frontier goes from the anchors, one
+    back from those who are looked for, and they meet half-way. A shortest path's two halves are each the smallest of their
+    kind, so their sum is the smallest path.
+    """
+    pairs = _pairs(edges)
+    wanted = materialise(wanted.select("anchor", "entity_id").distinct(), "wanted")
+    there = shortest_paths(pairs, wanted.select("anchor").distinct(), (most_steps + 1) // 2)
+    there = there.select("anchor", F.col("entity_id").alias("mid"), F.col("path_length").alias("n1"), F.col("path").alias("p1"))
+    # Back along reversed steps; of the paths to one person the smallest from there on is wanted.
+    back = wanted.select(F.col("entity_id").alias("target"), F.col("entity_id").alias("at"), F.lit(0).alias("n2"), F.array("entity_id").alias("p2")).distinct()
+    walk, level = _steps(pairs.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))), back
+    for step in range(1, most_steps // 2 + 1):
+        nxt = walk(level, "at").select("target", F.col("to_id").alias("at"), F.concat(F.array("to_id"), "p2").alias("p2"))
+        nxt = nxt.groupBy("target", "at").agg(F.min("p2").alias("p2")).join(back.select("target", "at"), ["target", "at"], "left_anti")
+        level = nxt.select("target", "at", F.lit(step).alias("n2"), "p2").checkpoint()
+        if level.isEmpty():
+            break
+        back = back.unionByName(level)
+    back = materialise(back, "back")
+    met = split_join(there, back, "mid", "at", materialise(heavy_keys(back, "at"), "heavy-mids"), F.col("target"))
+    met = met.join(wanted.withColumnRenamed("entity_id", "target"), ["anchor", "target"], "left_semi")
+    whole = F.concat("p1", F.slice("p2", F.lit(2), F.greatest(F.size("p2") - 1, F.lit(0))))
+    best = met.groupBy("anchor", F.col("target").alias("entity_id")).agg(F.min(F.struct((F.col("n1") + F.col("n2")).alias("n"), whole.alias("path"))).alias("b"))
+    return best.select("anchor", "entity_id", F.col("b.n").alias("path_length"), F.col("b.path").alias("path"))
+
+
 def connectors(edges: DataFrame, k: int = 5) -> DataFrame:
     """Q15: the ``k`` people with the most outgoing edges."""
     return edges.groupBy(F.col("from_id").alias("entity_id")).agg(F.count("*").alias("connections")).orderBy(F.desc("connections"), "entity_id").limit(k)

@@ -1,7 +1,9 @@
 """Search over the graph: what a query means, who matches, and in which order.
 
 Queries come as a DataFrame, one row each; they are the small side (a stated set, checked by MOST_QUERIES) and are
-broadcast against the people, so people are scanned once and never shuffled for matching.
+broadcast against the people, so people are never shuffled for matching. Text is found by trigrams: of each needle the
+trigram that the fewest rows have is joined by equality, and what it brings is held against the whole needle. Prefixes are
+joined by equality, too, with the beginnings of the lengths that are asked for.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from kinloom.session import materialise
 
 from . import graph as G
+from .joins import side
 
 MOST_QUERIES = 100_000
 
@@ -60,6 +63,58 @@ def holds(c: Column, needle: Column) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lower(needle)), F.lit(False))
 
 
+#: Letters of a gram. Shorter needles are held against every row.
+GRAM = 3
+
+
+def grams(c: Column) -> Column:
+    """The distinct grams of a text in lower case; none for null or shorter texts."""
+    text = F.lower(F.coalesce(c, F.lit("")))
+    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    # Within transform() the text is made once.
+    return F.array_distinct(F.flatten(F.transform(F.array(text), lambda t: F.transform(starts, lambda i: F.substr(t, i, F.lit(GRAM))))))
+
+
+def holding(rows: DataFrame, fields: list[str], queries: DataFrame, needle: str) -> DataFrame:
+    """Each row of ``rows`` with each query whose needle one of its ``fields`` holds, whatever the case.
+
+    The needles' rarest grams are found by one pass over ``rows``, and the rows that have them by a second; no row is
+    held against a needle whose gram it lacks. Null needles are in nothing.
+    """
+    queries = materialise(queries, "asked-needles")
+    long = F.length(F.lower(needle)) >= GRAM
+    none = queries.where(F.col(needle).isNotNull() & ~long)
+    found = rows.join(_asked(none), _any_holds(fields, needle)) if not none.isEmpty() else None
+    needles = queries.where(long).select(F.lower(needle).alias("_needle")).distinct()
+    asked = needles.select("_needle", F.explode(grams(F.col("_needle"))).alias("_gram"))
+    there = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(f)) for f in fields])))).alias("_gram"))
+    there = there.join(side(materialise(asked.select("_gram").distinct(), "asked-grams")), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(there, "_gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    rarest = rarest.where("_r.n > 0").select("_needle", F.col("_r._gram").alias("_gram"))
+    keyed = queries.where(long).withColumn("_needle", F.lower(needle)).join(F.broadcast(rarest), "_needle").drop("_needle")
+    with_grams = rows.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(f)) for f in fields])))))
+    hits = with_grams.join(_asked(materialise(keyed, "rarest-grams")), "_gram").where(_any_holds(fields, needle)).drop("_gram")
+    return hits if found is None else hits.unionByName(found)
+
+
+def _any_holds(fields: list[str], needle: str) -> Column:
+    out = holds(F.col(fields[0]), F.col(needle))
+    for f in fields[1:]:
+        out = out | holds(F.col(f), F.col(needle))
+    return out
+
+
+def starting(rows: DataFrame, fields: list[str], queries: DataFrame, prefix: str) -> DataFrame:
+    """Each row with each query whose prefix one of its ``fields`` starts with, whatever the case; null starts nothing."""
+    queries = materialise(queries.where(F.col(prefix).isNotNull()).withColumn("_prefix", F.lower(prefix)), "asked-prefixes")
+    lengths = sorted(n for (n,) in queries.select(F.length("_prefix")).distinct().collect())
+    if not lengths:
+        return rows.join(_asked(queries.drop("_prefix")), F.lit(False))
+    cut = lambda f: [F.when(F.length(F.lower(f)) >= n, F.substring(F.lower(f), 1, n)) for n in lengths]
+    begins = rows.withColumn("_prefix", F.explode(F.array_compact(F.array_distinct(F.array(*[c for f in fields for c in cut(f)])))))
+    return begins.join(_asked(queries), "_prefix").drop("_prefix")
+
+
 def by_email(people: DataFrame, queries: DataFrame) -> DataFrame:
     """Q2: people whose address is the query's, whatever the case."""
     return people.join(_asked(queries), F.lower("primary_email") == F.lower("email"))
@@ -67,12 +122,14 @@ def by_email(people: DataFrame, queries: DataFrame) -> DataFrame:
 
 def by_domain(people: DataFrame, queries: DataFrame, domain: str = "q_domain") -> DataFrame:
     """Q3: people of the query's domain, or whose address holds it."""
-    return people.join(_asked(queries), (F.lower("domain") == F.lower(domain)) | holds(F.col("primary_email"), F.col(domain)))
+    of = people.join(_asked(queries), F.lower("domain") == F.lower(domain)).where(~holds(F.col("primary_email"), F.col(domain)))
+    held = holding(people, ["primary_email"], queries, domain)
+    return held.unionByName(of.select(*held.columns))
 
 
 def by_name(people: DataFrame, queries: DataFrame, needle: str = "needle") -> DataFrame:
     """Q4, Q7: people whose name or address holds the needle."""
-    return people.join(_asked(queries), holds(F.col("name"), F.col(needle)) | holds(F.col("primary_email"), F.col(needle)))
+    return holding(people, ["name", "primary_email"], queries, needle)
 
 
 def decorate(found: DataFrame, edges: DataFrame, works: DataFrame, companies: DataFrame) -> DataFrame:
@@ -81,7 +138,8 @@ def decorate(found: DataFrame, edges: DataFrame, works: DataFrame, companies: Da
     found: (…, entity_id, anchor); each query has its own anchor, the person of who asks. Several edges or employers of a
     person give several rows.
     """
-    anchors = F.broadcast(found.select("anchor").distinct())
+    found = materialise(found, "found")
+    anchors = side(materialise(found.select("anchor").distinct(), "anchors"))
     own = edges.join(anchors, F.col("from_id") == F.col("anchor")).select("anchor", F.col("to_id").alias("entity_id"), "strength", "interaction_count", "last_at")
     out = found.join(own, ["anchor", "entity_id"], "left").join(works.select("entity_id", "company_id"), "entity_id", "left")
     out = out.join(companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain")), "company_id", "left")
@@ -101,9 +159,10 @@ def people_search(found: DataFrame, k: int) -> DataFrame:
 
 def company_search(companies: DataFrame, works: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Q5: companies of the domain, else whose name holds the text, by employees."""
-    match = F.when(F.col("q_domain").isNotNull(), F.lower("domain") == F.lower("q_domain")).otherwise(holds(F.col("name"), F.col("company")))
     staff = works.groupBy("company_id").agg(F.count("*").alias("employee_count"))
-    found = companies.join(_asked(queries), match).join(staff, "company_id", "left").na.fill(0, ["employee_count"])
+    named = holding(companies, ["name"], queries.where("q_domain is null"), "company")
+    of = companies.join(_asked(queries.where("q_domain is not null")), F.lower("domain") == F.lower("q_domain"))
+    found = named.unionByName(of.select(*named.columns)).join(staff, "company_id", "left").na.fill(0, ["employee_count"])
     return top(found, k, F.desc("employee_count"), F.asc("company_id"))
 
 
@@ -115,8 +174,7 @@ def intro_search(found: DataFrame, reach: DataFrame, k: int) -> DataFrame:
 
 def autocomplete(people: DataFrame, prefixes: DataFrame, k: int = 8) -> DataFrame:
     """Q8: people whose name or address starts with the prefix, by name."""
-    starts = lambda c: F.coalesce(F.startswith(F.lower(c), F.lower("prefix")), F.lit(False))
-    return top(people.join(_asked(prefixes), starts("name") | starts("primary_email")), k, F.asc("name"), F.asc("entity_id"))
+    return top(starting(people, ["name", "primary_email"], prefixes, "prefix"), k, F.asc("name"), F.asc("entity_id"))
 
 
 def retrieval_score(tokens: Column, *fields: Column) -> Column:

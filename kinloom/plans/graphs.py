@@ -334,6 +334,15 @@ def q10(t: Tables) -> DataFrame:
     return found.select("anchor", "entity_id", "found", "path_length", F.array_join("path", ",").alias("path"), F.array_join(F.transform("strengths", lambda x: x.cast("string")), ",").alias("strengths"))
 
 
+@query("q10_between", f"""WITH {KNOWS}{PATHS}
+SELECT a.anchor, e.entity_id, CAST(len AS INTEGER) AS path_length, array_to_string(path, ',') AS path
+FROM (SELECT DISTINCT anchor FROM anchors) a CROSS JOIN (SELECT entity_id FROM people WHERE seq % 50 = 0) e JOIN u3 ON u3.anchor = a.anchor AND u3.p = e.entity_id""")
+def q10_between(t: Tables) -> DataFrame:
+    """The way from each anchor to a stated set of people, by frontiers from both ends."""
+    wanted = t.people.where("seq % 50 = 0").select("entity_id").crossJoin(F.broadcast(t.anchors.select("anchor").distinct()))
+    return G.paths_between(t.knows, wanted, 3).select("anchor", "entity_id", "path_length", F.array_join("path", ",").alias("path"))
+
+
 @query("q11_degree", f"WITH {KNOWS} SELECT p AS entity_id, count(*) AS degree FROM (SELECT from_id AS p FROM knows UNION ALL SELECT to_id FROM knows) GROUP BY p")
 def q11(t: Tables) -> DataFrame:
     return G.degree(t.knows)
