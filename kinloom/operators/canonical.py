@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +15,15 @@ from .upsert import upsert
 
 TYPES = {"google_contacts": "contact", "gmail": "email_message", "google_calendar": "calendar_event"}
 PARSER_VERSION = SCHEMA_VERSION = "v1"
-#: The lists of objects that each parser reads.
+#: The lists of objects that each parser reads whole, and the field that it takes for an address; lists of which it reads the first.
 LISTS = {
-    "contact": ("$.names", "$.emailAddresses", "$.phoneNumbers", "$.organizations"),
-    "email_message": ("$.payload.headers",),
-    "calendar_event": ("$.attendees",),
+    "contact": (("$.emailAddresses", "$.value"), ("$.phoneNumbers", None)),
+    "email_message": (("$.payload.headers", None),),
+    "calendar_event": (("$.attendees", "$.email"),),
 }
+FIRSTS = {"contact": ("$.names", "$.organizations"), "email_message": (), "calendar_event": ()}
+#: Addresses that stand by themselves.
+SINGLE = {"contact": ("$.email",), "email_message": (), "calendar_event": ()}
 
 
 def _texts(v: Column, path: str, field: str) -> Column:
@@ -27,9 +31,35 @@ def _texts(v: Column, path: str, field: str) -> Column:
     return F.transform(F.coalesce(get(v, path, "array<variant>"), F.array()), lambda x: get(x, f"$.{field}"))
 
 
-def _named(v: Column, path: str) -> Column:
-    """True if ``path`` holds a list whose elements are not objects, which no parser reads."""
-    return F.coalesce(F.schema_of_variant(get(v, path, "variant")).rlike("^ARRAY<(?!OBJECT|VARIANT)[A-Z]"), F.lit(False)) & (F.coalesce(F.size(get(v, path, "array<variant>")), F.lit(0)) > 0)
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _object(v: Column) -> Column:
+    return _kind(v).startswith("OBJECT")
+
+
+def _no_address(v: Column) -> Column:
+    """True for what is there, isn't empty, and is no text, so it can't be stripped."""
+    return ~_kind(v).isin("STRING", "VOID") & ~F.coalesce(F.to_json(v), F.lit("0")).isin("0", "0.0", "false", "[]", "{}")
+
+
+def _address_missing(field: str) -> Callable[[Column], Column]:
+    return lambda x: _no_address(get(x, field, "variant"))
+
+
+def _unreadable(v: Column, kind: str) -> Column:
+    """True if a parser of this kind chokes on the payload: it is no object, a list has something else than objects where
+    objects are read (in part or as a whole), or an address is no text."""
+    why = [~_object(v)]
+    items = lambda path: F.coalesce(get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    for path, field in LISTS[kind]:
+        why.append(F.exists(items(path), lambda x: ~_object(x)))
+        if field:
+            why.append(F.exists(items(path), _address_missing(field)))
+    why += [(F.size(items(path)) > 0) & ~_object(F.get(items(path), 0)) for path in FIRSTS[kind]]
+    why += [_no_address(get(v, path, "variant")) for path in SINGLE[kind]]
+    return reduce(Column.__or__, why)
 
 
 def route(raw: DataFrame) -> DataFrame:
@@ -37,8 +67,7 @@ def route(raw: DataFrame) -> DataFrame:
     v = F.try_parse_json("payload")
     kind = F.coalesce(*[F.when(F.col("source") == s, F.lit(t)) for s, t in TYPES.items()])
     raw = raw.withColumn("v", v).withColumn("event_type", kind)
-    of_type = [F.when(F.col("event_type") == t, F.lit(False) if not ps else reduce(Column.__or__, [_named(F.col("v"), p) for p in ps])) for t, ps in LISTS.items()]
-    bad = F.col("v").isNull() | F.coalesce(*of_type, F.lit(False))
+    bad = F.coalesce(F.col("v").isNull() | F.coalesce(*[F.when(F.col("event_type") == t, _unreadable(F.col("v"), t)) for t in LISTS]), F.lit(False))
     why = F.when(F.col("event_type").isNull(), F.concat(F.lit("unsupported_source:"), F.col("source"))).when(bad, F.lit("parse_error:shape"))
     return raw.withColumn("failure", why)
 

@@ -70,6 +70,21 @@ def merge_metadata(entities: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"display_name": F.coalesce("_full_name", "display_name"), "company": F.coalesce("_company_norm", "company"), "title": F.coalesce("_title_norm", "title"), "tags": F.coalesce("_tags", "tags"), "updates": F.coalesce("_n", F.lit(0))}).select(*ENTITY, "updates")
 
 
+def layer_metadata(entities: DataFrame, found: DataFrame) -> DataFrame:
+    """Entities (…, metadata map) with the maps of ``found`` (tenant_id, primary_email, raw_event_id, metadata) laid on.
+
+    Key by key: of each key the last value wins, null values too; keys that no update has keep the entity's value. Keys are
+    reduced before they are brought together, so an address with very many updates is no large group.
+    """
+    each = found.where("primary_email is not null").select("tenant_id", "primary_email", "raw_event_id", F.explode("metadata").alias("key", "value"))
+    last = each.groupBy("tenant_id", "primary_email", "key").agg(F.max_by(F.struct("value"), "raw_event_id").alias("v"))
+    new = last.groupBy("tenant_id", "primary_email").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("v.value").alias("value")))).alias("_new"))
+    old = F.coalesce("metadata", F.expr("CAST(map() AS MAP<STRING, STRING>)"))
+    kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
+    out = entities.join(new, ["tenant_id", "primary_email"], "left")
+    return out.withColumn("metadata", F.when(F.col("_new").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, "_new"))).select(*entities.columns)
+
+
 def resolve(df: DataFrame, entities: DataFrame, email: str, out: str) -> DataFrame:
     """``out``: the entity of (tenant, ``email``), null if there is none."""
     who = entities.where("primary_email is not null").select(F.col("tenant_id").alias("_t"), F.col("primary_email").alias("_e"), F.col("entity_id").alias(out))

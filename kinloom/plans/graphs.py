@@ -10,6 +10,7 @@ from kinloom.operators import canonical as C
 from kinloom.operators import graph as G
 from kinloom.operators import metrics as M
 from kinloom.operators import search as Q
+from kinloom.operators.keyed import KeyedTable
 from kinloom.operators.upsert import latest_by, upsert, upsert_counts
 from kinloom.session import shared_path
 from kinloom.streaming import flows
@@ -572,6 +573,42 @@ def st4(t: Tables) -> DataFrame:
     return rows.groupBy("user_id", "event_type", "since").agg(F.min("first_at").alias("first_at")).select("user_id", "event_type", F.unix_seconds("first_at").alias("first_s"))
 
 
+@query("st4_lifetimes", """
+WITH RECURSIVE e AS (SELECT user_id, event_type, (event_id + 1) % 3 AS b, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+live AS (
+  SELECT user_id, event_type, b, t FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY b, t) AS n FROM e) WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_type, b, t FROM (
+    SELECT e.*, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.b, e.t) AS n
+    FROM live JOIN e ON e.user_id = live.user_id AND e.event_type = live.event_type WHERE (e.b > live.b OR e.b = live.b AND e.t >= live.t) AND e.t >= live.t + 432000000000) WHERE n = 1)
+SELECT user_id, event_type, t AS first_us FROM live""")
+def st4_lifetimes(t: Tables) -> DataFrame:
+    """Three batches, each over the whole span of time; every user and type has a life of five days from when it is new."""
+    spark, source, path, log = t.spark, shared_path(t.spark, "arrived"), shared_path(t.spark, "new"), shared_path(t.spark, "stream")
+    rows = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    with flows.states_on_disk(spark):
+        for batch in range(3):
+            rows.where((F.col("event_id") + 1) % 3 == batch).drop("event_id").write.mode("append").parquet(source)
+            found = flows.new_keys(flows.read(spark, source), ["user_id", "event_type"], "ts", 5 * 86400, "3650 days")
+            flows.drain(found, log, flows.put_batches(path))
+    kept = spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(path)
+    return kept.select("user_id", "event_type", F.unix_micros("first_at").alias("first_us"))
+
+
+@query("u1_keyed_table", """
+WITH o AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), w AS (SELECT max(l_orderkey) AS top FROM lineitem)
+SELECT l_orderkey, CAST(CASE WHEN l_orderkey BETWEEN top * 0.5 AND top * 0.51 THEN n + 100 ELSE n END AS INTEGER) AS l_linenumber FROM o, w""")
+def u1_keyed_table(t: Tables) -> DataFrame:
+    """The orders' last lines as a keyed table, and a batch of a hundredth of their range put into it."""
+    rows = latest_by(t.lineitem.select("l_orderkey", "l_linenumber").where("l_linenumber <= 3"), ["l_orderkey"], ["l_linenumber"])
+    table = KeyedTable(t.spark, shared_path(t.spark, "orders"), ["l_orderkey"], file_rows=max(100, rows.count() // 100))
+    table.create(rows)
+    top = rows.agg(F.max("l_orderkey")).first()[0]
+    batch = rows.where(F.col("l_orderkey").between(F.lit(top) * F.lit(0.5), F.lit(top) * F.lit(0.51))).withColumn("l_linenumber", (F.col("l_linenumber") + 100).cast("int"))
+    table.put(batch, ["l_linenumber"])
+    return table.read()
+
+
 @query("st5_cursor", "SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS t_s, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS taken_later FROM events GROUP BY user_id")
 def st5(t: Tables) -> DataFrame:
     """Two runs from one checkpoint: the second takes only what came since the first. Rows: each user's mark, and what run two took."""

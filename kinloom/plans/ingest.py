@@ -11,7 +11,7 @@ from kinloom.operators import documents as D
 from kinloom.operators import entities as E
 from kinloom.operators import relations as R
 from kinloom.operators import vectors as V
-from kinloom.operators.upsert import upsert, upsert_counts
+from kinloom.operators.upsert import latest_by, upsert, upsert_counts
 from kinloom.sources import events as S
 
 from .fixtures import AS_OF, CONTACTS, INTER, ORDERS, Tables
@@ -200,6 +200,18 @@ def c5(t: Tables) -> DataFrame:
     return C.failures(t.routed)
 
 
+#: Payloads of eight shapes, by the last digits of an event's id: which of them a parser of contacts can read.
+SHAPES = ['{"emailAddresses":[{"value":"A@x.y"},"str"]}', '{"organizations":["a",{"name":"b"}]}', "[1]", '{"organizations":[{"name":"b"},"a"],"names":[]}', '{"emailAddresses":[{"value":5}]}', '{"phoneNumbers":[null]}', '"text"', '{"emailAddresses":"none","email":null}']
+
+
+@query("c5_shapes", "SELECT event_id AS raw_event_id, 'parse_error:shape' AS reason FROM events WHERE event_id % 8 NOT IN (3, 7)")
+def c5_shapes(t: Tables) -> DataFrame:
+    """Mixed lists, payloads that are no objects and addresses that are no text are quarantined; lists of which only the first is read are not."""
+    payload = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = t.events.select(F.col("event_id").alias("raw_event_id"), F.lit("google_contacts").alias("source"), payload.alias("payload"))
+    return C.failures(C.route(rows)).select("raw_event_id", "reason")
+
+
 @query("c6_header_date", "SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) - CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END AS t_s FROM orders")
 def c6(t: Tables) -> DataFrame:
     """Dates as headers write them: named zones, an offset, none."""
@@ -322,6 +334,18 @@ def e7(t: Tables) -> DataFrame:
     return E.merge_metadata(t.entities.select(*E.ENTITY), E.metadata(t.contacts)).select("entity_id", "display_name", "company", "title", joined("tags"), "updates")
 
 
+@query("e7_layers", """
+WITH u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, event_type AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY 1, 2)
+SELECT user_id AS entity_id, key, value FROM m UNION ALL SELECT user_id, 'kept', 'yes' FROM u
+UNION ALL SELECT user_id, 'click', 'old' FROM u WHERE user_id NOT IN (SELECT user_id FROM m WHERE key = 'click')""")
+def e7_layers(t: Tables) -> DataFrame:
+    """Free metadata of users: each event's type is a key, of which the last value wins; other keys stay as they were."""
+    users = t.events.select(F.col("user_id").alias("entity_id"), F.lit("t1").alias("tenant_id"), F.col("user_id").cast("string").alias("primary_email")).distinct()
+    users = users.withColumn("metadata", F.create_map(F.lit("kept"), F.lit("yes"), F.lit("click"), F.lit("old")))
+    found = t.events.select(F.lit("t1").alias("tenant_id"), F.col("user_id").cast("string").alias("primary_email"), F.col("event_id").alias("raw_event_id"), F.create_map(F.col("event_type"), F.col("event_id").cast("string")).alias("metadata"))
+    return E.layer_metadata(users, found).select("entity_id", F.explode("metadata").alias("key", "value"))
+
+
 @query("e8_resolve", f"WITH {ORDERS} SELECT raw_event_id, 'c' || o_custkey AS sender_id FROM mail JOIN orders ON o_orderkey = k")
 def e8(t: Tables) -> DataFrame:
     return E.resolve(t.mail.withColumn("email", X.address(F.col("sender"))), t.entities, "email", "sender_id").select("raw_event_id", "sender_id")
@@ -559,3 +583,16 @@ def d18(t: Tables) -> DataFrame:
     e = t.events.select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), "value", F.col("ts").alias("put_at"))
     empty = e.withColumn("expires_at", F.col("put_at")).where(F.lit(False))
     return D.put_ttl(empty, e, F.lit("2024-04-28").cast("timestamp")).groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query("d18_versions", """
+WITH e AS (SELECT event_type AS namespace, 'v' || event_id % 3 AS version, user_id AS key, event_id, ts, ts + to_seconds(86400 * (30 + event_id % 60)) AS expires_at FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY namespace, version, key ORDER BY ts DESC, event_id DESC) AS r FROM e)
+SELECT namespace, version, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS folded FROM l WHERE r = 1 AND expires_at > TIMESTAMP '2024-03-01 00:00:00' GROUP BY 1, 2""")
+def d18_versions(t: Tables) -> DataFrame:
+    """Entries of three versions, each with its own time to live."""
+    e = t.events.select(F.col("event_type").alias("namespace"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("version"), F.col("user_id").alias("key"), F.col("event_id").alias("value"), F.col("ts").alias("put_at"), (86400 * (30 + F.col("event_id") % 60)).alias("ttl_seconds"))
+    last = latest_by(e, ["namespace", "version", "key"], ["put_at", "value"])
+    empty = last.drop("ttl_seconds").withColumn("expires_at", F.col("put_at")).where(F.lit(False))
+    kept = D.put_ttl(empty, last, F.lit("2024-03-01").cast("timestamp"))
+    return kept.groupBy("namespace", "version").agg(F.count("*").alias("n"), F.sum("value").alias("folded"))
