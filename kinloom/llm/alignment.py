@@ -33,6 +33,8 @@ from .tokens import chunks, usual_characters
 
 #: Windows that a worker remembers.
 MOST_WINDOWS = 200_000
+#: Characters of texts that are aligned together; a longer text is by itself.
+CHARS = 1 << 19
 _MARK = "▁"
 #: How a byte-level BPE of this kind splits texts (fixed).
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,7 +137,7 @@ class Windows:
         self.number: dict[bytes, int] = {}
         self.pairs: dict[int, int] = {}
         self.text: list[bytes] = []
-        self.groups, self.links, self.offset, self.length, self.pair, self.times = (np.zeros(0, np.int64) for _ in range(6))
+        self.groups, self.links, self.offset, self.length, self.pair, self.times, self.codes = (np.zeros(0, np.int64) for _ in range(7))
 
     def of(self, a: np.ndarray, b: np.ndarray, edge_a: np.ndarray, edge_b: np.ndarray) -> np.ndarray:
         """The number of each window, of ids of ``a`` and ``b`` between edges; new ones are aligned."""
@@ -178,6 +180,7 @@ class Windows:
         of = np.repeat(np.arange(len(ka)), many)
         codes, code = np.unique((ka[of] & 0xFFFFFFFF) << 32 | kb[other] & 0xFFFFFFFF, return_inverse=True)
         number = np.array([self.pairs.setdefault(c, len(self.pairs)) for c in codes.tolist()], dtype=np.int64)
+        self.codes = np.concatenate([self.codes, codes[number >= len(self.codes)]])
         key, times = _repeated(window[ka[of] >> 32] * len(self.pairs) + number[code], ta[of] * tb[other])
         length = np.bincount(key // len(self.pairs), minlength=n)
         self.text += self._texts(a, b, group_a, group_b, n_a, n_b, window, groups)
@@ -258,7 +261,7 @@ class Aligner:
         w = self.windows
         place, pair, times = w.pairs_of(of)
         key, times = _repeated(doc[place] * len(w.pairs) + pair, times)
-        codes = np.fromiter(w.pairs, np.int64, len(w.pairs))[key % len(w.pairs)]
+        codes = w.codes[key % len(w.pairs)]
         ends = np.searchsorted(key, np.arange(len(at) + 1) * len(w.pairs)).tolist()
         groups, links = (np.bincount(doc, weights=x[of], minlength=len(at)).astype(np.int64).tolist() for x in (w.groups, w.links))
         text = [w.text[k] for k in of.tolist()]
@@ -297,7 +300,7 @@ def aligned(
         kinds = [pa.int64()] * 5 + [pa.string(), pa.string()]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at, to in chunks(texts):
+            for at, to in chunks(texts, CHARS):
                 found = aligner.align(texts[at:to])
                 cols = [ids[at:to], *([f[k] for f in found] for k in range(4)), [hashlib.sha256(f[4]).hexdigest() if f[0] else "" for f in found]]
                 cols.append([f[4].decode() if keep_groups else None for f in found])

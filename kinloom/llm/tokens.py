@@ -288,12 +288,13 @@ class Encoder(Known):
         return np.split(ids, np.cumsum(per_text)[:-1])
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """[from, to) of texts that are encoded together: of CHUNK_CHARS characters, or one longer text."""
+def chunks(texts: list[str], chars: int | None = None) -> Iterator[tuple[int, int]]:
+    """[from, to) of texts that are encoded together: of ``chars`` (CHUNK_CHARS) characters, or one longer text."""
+    chars = chars or CHUNK_CHARS
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_CHARS):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= chars):
             size += len(texts[to])
             to += 1
         yield at, to
