@@ -1,10 +1,11 @@
 """License scans by conditional compression (operator 4).
 
-Lines are joined to paragraphs without their comment marks, so a notice may be wrapped as it likes. Windows of each
-template's size and some more, overlapping, are laid over the words around whatever speaks of rights. A window that has
-enough of the template's words is confirmed by its exact wording differences, word by word. The confirmed block is then
-compressed by Zstandard alone and with the template as a raw dictionary: the more of the template's wording it has, the
-more bytes that saves. Blocks are ranked by their differences and the share saved, and all that don't overlap count.
+Lines are joined to paragraphs without their comment marks, so a notice may be wrapped as it likes. Candidate blocks are
+the sentences that speak of rights, and windows of a few sizes over them, overlapping. Each block is compressed by
+Zstandard alone and with every template as a raw dictionary: the more of a template's wording it has, the more bytes that
+saves. Templates are ranked by what they save; those that save enough, beside the best, are winners. A winner is confirmed
+by its exact wording differences, word by word, which also tell where the notice stands. Of confirmed notices that overlap
+the one whose template saves most of its bytes counts; all that don't overlap count.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ TEMPLATES = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Use, modification and distribution are subject to the Boost Software License, Version 1.0."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, version 1.2."),
+    ("GPL-2.0", "License: GPLv2"),
+    ("GPL-3.0", "License: GPLv3"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -51,19 +58,23 @@ TEMPLATES = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("proprietary", "All rights reserved."),
 ]
-#: The tag by which a file names its license, one for each license above that has an identifier.
-TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES if n != "proprietary")]
+#: Fixed: identifiers of one version of the GNU licenses and of those after it.
+VERSIONED = [f"{name}-{which}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for which in ("only", "or-later")]
+#: The tag by which a file names its license, one for each license that has an identifier.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys([*(n for n, _ in TEMPLATES if n != "proprietary"), *VERSIONED])]
 #: What may stand between two words of a wrapped comment.
 _GAP = r"(?:[\W_]|\b(?:rem|dnl)\b)+"
 #: A window is looked at if it has one of these.
 TRIGGER = "(?i)licen[sc]e|copyright|" + "|".join(x.replace(" ", _GAP) for x in ("all rights reserved", "public domain", "permission is hereby", "redistribution and use", "free software"))
-#: The least share of bytes that a template must save, and the least share of its words that a block must have in order.
+#: A winner saves so many bytes of a block at least, and such a share of what the best template saves.
+LEAST_BYTES, BESIDE_BEST = 6, 0.4
+#: The least share of its bytes that a template must save of a notice with differences, and of its words that it must have in order.
 LEAST_SAVED, LEAST_WORDS = 0.2, 0.8
-#: A window has so many words more than its template, or half of the template's words if that is more.
-SLACK = 16
+#: Words of a window, each with half as many more: the least that is no less than a template's is the one that finds it.
+SIZES = (12, 32, 96)
 _TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Words of these kinds tell licenses apart, so none may differ.
-_TELLING = re.compile(r"\d|^(?:nc|nd|sa|by-.*|lesser|affero|mit|isc|unlicense|bsd|apache|mozilla|eclipse)$")
+_TELLING = re.compile(r"\d|^(?:nc|nd|sa|by-.*|lesser|affero|mit|isc|unlicense|bsd|apache|mozilla|eclipse|boost|eupl|european)$")
 #: Words that may lead in several licenses of one sentence: "Licensed under the MIT License or the Apache License, Version 2.0".
 _LEADS = {"this", "work", "is", "licensed", "released", "distributed", "under", "the", "spdx-license-identifier"}
 _MARKS = re.compile(r"^\s*(?:(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+|\(\*|\"\"\"|'''|(?i:rem|dnl)\b)\s*)*|\s*(?:\*+/|--+>|\*\)|\"\"\"|'''|[*#])?\s*$")
@@ -96,16 +107,27 @@ def _telling() -> list[set[str]]:
     return [{w for w in t if _TELLING.search(w)} for t in _template_words()]
 
 
-def _saved(block: str, k: int) -> float:
-    """The share of the block's bytes that template ``k`` saves."""
+def _saved(block: str, k: int) -> tuple[int, float]:
+    """How many of the block's bytes template ``k`` saves, and which share of them."""
     raw, all_ = block.encode(), _compressors()
-    return 1 - len(all_[k + 1].compress(raw)) / len(all_[0].compress(raw))
+    alone = len(all_[0].compress(raw))
+    saved = alone - len(all_[k + 1].compress(raw))
+    return saved, saved / alone
+
+
+@lru_cache(4096)
+def winners(block: str) -> tuple[int, ...]:
+    """The templates that save enough of a block, those that save most first. Copies of a block are ranked once."""
+    raw, (alone, *given) = block.encode(), _compressors()
+    size = len(alone.compress(raw))
+    ranked = sorted((len(c.compress(raw)) - size, k) for k, c in enumerate(given))
+    least = max(LEAST_BYTES, -ranked[0][0] * BESIDE_BEST)
+    return tuple(k for more, k in ranked if -more >= least)
 
 
 def _windows(first: int, last: int, size: int, triggers: list[int]) -> set[tuple[int, int]]:
-    """[from, to) of the overlapping windows over the words from ``first`` to ``last``, for a template of ``size``, that have a trigger."""
-    slack = max(SLACK, size // 2)
-    step, length = slack // 2, size + slack
+    """[from, to) of the overlapping windows of 1.5 times ``size`` over the words from ``first`` to ``last`` that have a trigger."""
+    step, length = max(1, size // 4), size + size // 2
     return {(max(first, s), min(last, s + length)) for t in triggers for s in range((t - length) // step * step + step, t + 1, step)}
 
 
@@ -141,10 +163,12 @@ def match(block: str) -> list[dict]:
         i = bisect_right(cuts, t) - 1
         inside.setdefault((cuts[i], cuts[i + 1]), []).append(t)
     confirmed = {}
-    for k, template in enumerate(_template_words()):
-        for a, b in {w for sentence, ts in inside.items() for w in (sentence, *_windows(*sentence, len(template), ts))}:
-            part = words[a:b]
-            bag = set(part)
+    blocks = {w for sentence, ts in inside.items() for w in (sentence, *(x for size in SIZES if size < sentence[1] - sentence[0] for x in _windows(*sentence, size, ts)))}
+    for a, b in sorted(blocks):
+        part = words[a:b]
+        bag = set(part)
+        for k in winners(block[spots[a][0] : spots[b - 1][1]]):
+            template = _template_words()[k]
             if not _telling()[k] <= bag or sum(w in bag for w in template) < LEAST_WORDS * len(template):
                 continue
             have, lacks, puts, at = differences(part, template)
@@ -154,18 +178,18 @@ def match(block: str) -> list[dict]:
             if (k, at) not in confirmed:
                 end = spots[at[-1]][1]
                 found = block[spots[at[0]][0] : end + (block[end : end + 1] in tuple(".!?"))]
-                share = _saved(found, k)
+                saved, share = _saved(found, k)
                 # A notice with much put between is saved little of; it is confirmed by standing there word for word.
                 if share >= LEAST_SAVED or not lacks and not puts:
-                    confirmed[k, at] = (len(lacks) + len(puts), -share, k, at, have, lacks, puts, found)
+                    confirmed[k, at] = (-saved, len(lacks) + len(puts), k, at, share, have, lacks, puts, found)
     out: list[dict] = []
     taken: dict[int, set[str]] = {}
-    for _, share, k, at, have, lacks, puts, found in sorted(confirmed.values()):
+    for _, _, k, at, share, have, lacks, puts, found in sorted(confirmed.values()):
         name = TEMPLATES[k][0]
         if not any(i in taken and (words[i] not in _LEADS or name in taken[i]) for i in at):
             for i in at:
                 taken.setdefault(i, set()).add(name)
-            out.append({"license": name, "template": k, "saved": -share, "coverage": have, "lacks": lacks, "puts": puts, "block": found, "at": spots[at[0]][0], "of": bisect_right(cuts, at[0])})
+            out.append({"license": name, "template": k, "saved": share, "coverage": have, "lacks": lacks, "puts": puts, "block": found, "at": spots[at[0]][0], "of": bisect_right(cuts, at[0])})
     granted = {x["of"] for x in out if x["license"] != "proprietary"}
     out = [x for x in out if x["license"] != "proprietary" or x["of"] not in granted]
     return sorted(out, key=lambda x: (x["at"], x["template"]))

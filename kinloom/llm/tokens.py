@@ -281,7 +281,7 @@ class Encoder(Known):
         pieces = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) + len(pieces) > self.most:
             self.forget()
-        self._learn([p for p in pieces if p not in self.known])
+        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
         of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[code]
         ids, length = self.ids(of)
         per_text = np.bincount(text, weights=length, minlength=n_texts).astype(np.int64)

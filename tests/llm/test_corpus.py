@@ -251,7 +251,7 @@ def test_token_files(spark, odd, monkeypatch):
     got = sorted(tokens.read_tokens(spark, path).collect(), key=lambda r: r["start"])
     tok = tokens.Encoder(tokenizer()).tok
     at = 0
-    for (i, t), r in zip(sorted(odd, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), got, strict=True):
+    for (i, t), r in zip(sorted(odd, key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1] or "", 42)).astype(np.int64))), got, strict=True):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
@@ -434,15 +434,23 @@ def test_mixing(spark, odd):
     queue = mixing.schedule(messy(docs(spark, rows)), mixing.WEIGHTS).cache()
     assert queue.count() == len(rows)
     turns = mixing.turns(queue).collect()
-    assert [t["finish"] for t in turns] == sorted(t["finish"] for t in turns) and turns[-1]["finish"] <= 1
-    by = {}
+    assert [t["finish"] for t in turns] == sorted(t["finish"] for t in turns)
+    by = Counter()
     for t in turns:
-        by[t["source"]] = by.get(t["source"], 0) + t["take"]
-    for r in queue.select("source", "source_size", "target").distinct().collect():
-        assert abs(by.get(r["source"], 0) - r["target"]) <= 1 and r["target"] <= 2 * r["source_size"] + 1e-6
+        by[t["source"]] += t["take"]
+    aims = queue.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max("size").alias("longest")).collect()
+    assert sum(by.values()) == int(sum(r["target"] for r in aims) + 1e-6)
+    for r in aims:  # a source is at its target but for the document in service, and what others left is shared alike
+        assert r["target"] - r["longest"] <= by[r["source"]] <= turns[-1]["finish"] * r["target"] + 1e-6 and r["target"] <= 2 * r["source_size"] + 1e-6
+        assert by[r["source"]] <= 2 * r["source_size"]
+    # Only the truncation ends the mix: every document waits for each of its passes until then.
+    assert 2 * sum(t["size"] for t in queue.collect()) > sum(by.values()) and sum(t["take"] < t["size"] for t in turns) <= 1
     assert all(t["take"] <= t["size"] for t in turns)
     again = mixing.turns(mixing.schedule(docs(spark, rows[::-1]).repartition(5), mixing.WEIGHTS)).collect()
     assert [(t["doc_id"], t["take"]) for t in again] == [(t["doc_id"], t["take"]) for t in turns]
+    twins = docs(spark, [(1, "a b c", "x"), (1, "d e f", "x"), (1, "g h i", "x")] * 2 + [(2, "k", "y")])
+    orders = [[r["text"] for r in mixing.mixed(twins.repartition(n), mixing.WEIGHTS).collect()] for n in (1, 3, 4)]
+    assert orders[0] == orders[1] == orders[2]
     mix = mixing.mixed(docs(spark, rows[16:]), mixing.WEIGHTS)
     assert mix.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     total = sum(len((t or "").split()) for _, t, _ in rows[16:])
@@ -495,7 +503,7 @@ def measures(found, labels, name):
 
 def test_toxicity(spark, odd, tables):
     caught, left = measures(toxicity.rate(messy(tables[0]), messy(tables[1])), tables[1], "toxic")
-    assert caught >= 0.6 and left >= 0.95
+    assert caught >= 0.6 and left >= 0.99
     got = toxicity.rate(docs(spark, [*odd, (70, "You idiot, you pathetic moron, what worthless trash.")]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(odd) + 1 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.rate(docs(spark, []), tables[1]).isEmpty()

@@ -1,7 +1,6 @@
 """Every stage of the pipeline against a plain version of it, over planted and awkward rows, and run() as a whole."""
 
 import hashlib
-import math
 import zlib
 from collections import Counter
 
@@ -76,19 +75,19 @@ def plain_mix(rows):
     target = {s: min(2.0 * total[s], weight[s] * level) for s in sources}
     assert [target[s] for s in sources] == pytest.approx(fill([total[s] for s in sources], [weight[s] for s in sources], 1.5))
     place = [hashlib.md5(f"{'text ' + format(xxhash.xxh64_intdigest(t.encode(), 42), 'X') if i is None else i}:7".encode()).hexdigest() for i, t, *_ in rows]
+    signed = lambda k: int(np.uint64(xxhash.xxh64_intdigest((rows[k][1] or "").encode(), 42)).astype(np.int64))
     served = []
     for s in sources:
         for p in range(2):
             before = total[s] * p
-            for k in sorted(of[s], key=lambda k: (place[k], rows[k][0] or 0, size[k])):
-                take = max(0, min(size[k], math.floor(target[s]) - before))
-                if take:
-                    served.append(((before + take) / target[s], place[k], p, k, take))
+            for k in sorted(of[s], key=lambda k: (place[k], rows[k][0] or 0, size[k], signed(k))):
                 before += size[k]
-    left = math.floor(sum(target[s] for s in sources if target[s] >= 1) + 1e-6)
+                if size[k]:
+                    served.append((before / target[s], place[k], p, signed(k), k))
+    left = math.floor(sum(target.values()) + 1e-6)
     out = []
-    for _, _, _, k, take in sorted(served):
-        take = min(take, left)
+    for *_, k in sorted(served):
+        take = min(size[k], left)
         left -= take
         if take:
             out.append((rows[k][0], rows[k][1] if take == size[k] else " ".join(rows[k][1].split()[:take]), *rows[k][2:]))
