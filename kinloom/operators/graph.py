@@ -159,10 +159,10 @@ def put_mirror(store: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert(store, rows.select(*store.columns), keys, ["row_hash"])
 
 
-def projection_run(run_id: str, node_checks: DataFrame, edge_checks: DataFrame, sums: DataFrame) -> DataFrame:
+def projection_run(run_id: str, node_checks: DataFrame, edge_checks: DataFrame, sums: DataFrame, as_of: Column) -> DataFrame:
     """The record of a projection: status and mismatches by verify(), what the graph has, and a checksum of the snapshot.
 
-    sums: checksum() of the snapshot; the checksum doesn't depend on the order of rows or parts.
+    sums: checksum() of the snapshot; the checksum doesn't depend on the order of rows or parts. as_of: when it was recorded.
     """
     bad = F.when(~F.col("ok"), F.concat_ws(":", "part", F.concat(F.lit("expected>="), "expected"), F.concat(F.lit("actual="), "actual")))
     both = node_checks.select("*", F.lit("node").alias("kind")).unionByName(edge_checks.select("*", F.lit("edge").alias("kind")))
@@ -170,12 +170,12 @@ def projection_run(run_id: str, node_checks: DataFrame, edge_checks: DataFrame,
     run = both.agg(F.when(F.bool_and("ok"), F.lit("verified")).otherwise(F.lit("mismatch")).alias("status"), F.array_sort(F.collect_list(bad)).alias("mismatches"), total("node").alias("node_count"), total("edge").alias("edge_count"))
     parts = F.array_sort(F.collect_list(F.concat_ws(":", "part", F.col("n_rows").cast("string"), F.col("folded").cast("string"), F.col("summed").cast("string"))))
     mark = sums.agg(F.sha2(F.array_join(parts, ","), 256).alias("snapshot_checksum"))
-    return run.join(mark).select(F.lit(run_id).alias("run_id"), "*")
+    return run.join(mark).select(F.lit(run_id).alias("run_id"), "*", as_of.alias("recorded_at"))
 
 
 def put_run(runs: DataFrame, run: DataFrame) -> DataFrame:
-    """The table of runs after one is recorded, once for each id."""
-    return upsert(runs, run.select(*runs.columns), ["run_id"], ["status"])
+    """The table of runs after one is recorded; of one id the latest record stays."""
+    return upsert(runs, run.select(*runs.columns), ["run_id"], ["recorded_at"])
 
 
 def put_nodes(graph: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:

@@ -11,11 +11,12 @@ from kinloom.operators import graph as G
 from kinloom.operators import metrics as M
 from kinloom.operators import search as Q
 from kinloom.operators.keyed import KeyedTable
+from kinloom.operators.layers import Layers
 from kinloom.operators.upsert import latest_by, upsert, upsert_counts
 from kinloom.session import shared_path
 from kinloom.streaming import flows
 
-from .fixtures import AS_OF, ASKED, CONTACTS, KNOWS, PEOPLE, Tables
+from .fixtures import AS_OF, ASKED, CONTACTS, INTER, KNOWS, PEOPLE, Tables
 from .ingest import BOTH, CANON
 from .registry import Registry
 
@@ -193,7 +194,7 @@ def g18(t: Tables) -> DataFrame:
     runs = None
     for run, people in (("run1", G.persons(t.entities.where("seq % 7 <> 0"))), ("run2", snapshot["Person"])):
         there = [G.part_counts(x, "part") for x in ({"Person": people, "User": snapshot["User"]}, works)]
-        new = G.projection_run(run, G.verify(want[0], there[0], "part"), G.verify(want[1], there[1], "part"), sums)
+        new = G.projection_run(run, G.verify(want[0], there[0], "part"), G.verify(want[1], there[1], "part"), sums, F.lit(AS_OF).cast("timestamp"))
         runs = new if runs is None else G.put_run(runs, new)
     return runs.select("run_id", "status", F.array_join("mismatches", ",").alias("mismatches"), "node_count", "edge_count")
 
@@ -545,6 +546,55 @@ def st1(t: Tables) -> DataFrame:
     return flows.stored(spark, path, canonical_events(t.raw_contacts).schema, ["raw_event_id"], ["event_type"])
 
 
+def _layers_sql(batch: str, where: str, times: str) -> str:
+    """What all layers come to, if events are taken in the order of ``batch`` of their ids: people are known from the first that names them."""
+    b = lambda ident: batch.format(ident)
+    inter = INTER[len(INTER.split(",\ninter AS", 1)[0]) :]
+    return f"""WITH {BOTH}{inter},
+known AS (SELECT emails AS email, min({b("raw_event_id")}) AS b FROM contacts WHERE emails <> '' AND {where.format("raw_event_id")} GROUP BY 1),
+each AS (SELECT actor, target, CASE kind WHEN 'email' THEN 50000000000 ELSE 70000000000 END + CAST(substr(sid, 2) AS BIGINT) AS raw_event_id FROM inter),
+batches AS (SELECT {b("raw_event_id")} AS b, actor, target, count(*) AS n FROM each WHERE {where.format("raw_event_id")} GROUP BY 1, 2, 3),
+there AS (SELECT * FROM batches x WHERE x.b >= (SELECT b FROM known WHERE email = actor) AND x.b >= (SELECT b FROM known WHERE email = target)),
+last AS (SELECT *, row_number() OVER (PARTITION BY actor, target ORDER BY b DESC) AS r FROM there)
+SELECT 'canonical' AS layer, CAST(sum({times}) AS BIGINT) AS n, CAST(sum({times} * raw_event_id) AS BIGINT) AS folded FROM ({CANON}) WHERE {where.format("raw_event_id")}
+UNION ALL SELECT 'entities', (SELECT count(*) FROM known) + (SELECT count(*) FROM contacts WHERE emails = '' AND {where.format("raw_event_id")}), 0
+UNION ALL SELECT 'relations', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM last WHERE r = 1
+UNION ALL SELECT 'knows', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM last WHERE r = 1"""
+
+
+def layer_sums(layers: Layers) -> DataFrame:
+    """(layer, n, folded) of the tables and of the graph that is projected from them."""
+    one = lambda df, name, c: df.agg(F.lit(name).alias("layer"), F.count("*").alias("n"), F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("folded"))
+    out = one(layers.read("canonical"), "canonical", F.col("raw_event_id")).unionByName(one(layers.read("entities"), "entities", F.lit(0)))
+    out = out.unionByName(one(layers.read("relations"), "relations", F.col("interaction_count")))
+    return out.unionByName(one(layers.graph()["KNOWS"], "knows", F.col("interaction_count")))
+
+
+@query("st1_layers", _layers_sql("{} % 3", "true", "1"))
+def st1_layers(t: Tables) -> DataFrame:
+    """Raw events of all sources arrive in three batches; each runs all layers, to people, relations and the graph."""
+    spark, source, log = t.spark, shared_path(t.spark, "arrived"), shared_path(t.spark, "stream")
+    layers = Layers(spark, shared_path(spark, "layers"))
+    raw = t.raw_contacts.unionByName(t.raw_mail).unionByName(t.raw_meetings)
+    for batch in range(3):
+        raw.where(F.col("raw_event_id") % 3 == batch).write.mode("append").parquet(source)
+        flows.drain(flows.read(spark, source), log, lambda rows, n: layers.run(rows, f"run{n}", F.lit(AS_OF).cast("timestamp")) and None)
+    return layer_sums(layers)
+
+
+@query("st3_layers", _layers_sql("0 * {}", "({0} % 10 = 3 OR {0} < 50000000000)", "CASE WHEN raw_event_id % 10 = 3 THEN 2 ELSE 1 END"))
+def st3_layers(t: Tables) -> DataFrame:
+    """Contacts and a trace run under one parser version, and the trace is replayed under the next.
+
+    Canonical rows of both stand side by side; all else is put anew.
+    """
+    layers = Layers(t.spark, shared_path(t.spark, "layers"))
+    raw = t.raw_contacts.unionByName(t.raw_mail).unionByName(t.raw_meetings)
+    layers.run(raw.where("trace_id = 'tr3' OR source = 'google_contacts'"), "run1", F.lit(AS_OF).cast("timestamp"))
+    flows.replay(raw, "tr3", lambda rows: layers.run(rows, "run2", F.lit(AS_OF).cast("timestamp"), "v2"))
+    return layer_sums(layers)
+
+
 @query("st2_replay_safe", "SELECT count(*) AS stored, count(DISTINCT event_id) AS events, CAST(sum(event_id) AS BIGINT) AS folded FROM events")
 def st2(t: Tables) -> DataFrame:
     """Every batch is delivered twice, as after a lost checkpoint; each is stored once. No row is deduplicated on reading."""

@@ -236,7 +236,7 @@ def c8(t: Tables) -> DataFrame:
 
 @query("c9_enrich", f"WITH {CONTACTS} SELECT raw_event_id, company_t AS company, title_t AS title, tags, CASE WHEN warnings = '' THEN 'enrichment_applied' ELSE warnings || ',enrichment_applied' END AS warnings FROM tagged")
 def c9(t: Tables) -> DataFrame:
-    return t.contacts.select("raw_event_id", "company", "title", joined("tags"), joined("warnings"))
+    return C.enrich_contacts(C.flatten_contacts(C.route(t.raw_contacts))).select("raw_event_id", "company", "title", joined("tags"), joined("warnings"))
 
 
 C10 = """'{"company":"' || company_t || '","emails":[' || CASE WHEN emails = '' THEN '' ELSE '"' || emails || '"' END || ']' || CASE WHEN first_name IS NULL THEN '' ELSE ',"first_name":"' || first_name || '"' END || ',"full_name":"' || full_name || '"'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -40,18 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
     On a cluster a temporary folder would be another on each machine, so there it must be set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
+    jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jvm.isDefined() and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="kinloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        _folders[spark.sparkContext.applicationId] = found  # a running session doesn't take the setting
+    if not jvm.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, in this application's part of it."""
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
@@ -76,16 +80,25 @@ _kept: dict[tuple[str, ...], str] = {}
 
 
 def once(df: DataFrame, *key: str) -> DataFrame:
-    """materialise(), but what is written under ``key`` is written once for each application."""
+    """materialise(), but what is written under ``key`` is written once for each application and state of the files read."""
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, *key)
+    key = (spark.sparkContext.applicationId, *key, *_state(spark, df.inputFiles()))
     if key not in _kept:
-        path = shared_path(spark, key[-1])
+        path = shared_path(spark, key[-2])
         df.write.parquet(path)
         _kept[key] = path
     return spark.read.schema(df.schema).parquet(_kept[key])
 
 
+def _state(spark: SparkSession, files: list[str]) -> tuple[str, ...]:
+    """Names, lengths and times of files, folded to one text: files that are written anew make another."""
+    make, conf, seen = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        where = make(folder)
+        seen += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in where.getFileSystem(conf).listStatus(where)]
+    return (hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest(),)
+
+
 def ship(spark: SparkSession, *folders: str) -> None:
     """Send the packages in ``folders`` to the executors, which needn't see the driver's disk. Once for each application."""
     if spark.sparkContext.applicationId in _shipped:

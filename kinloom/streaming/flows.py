@@ -48,7 +48,7 @@ def stored(spark: SparkSession, path: str, schema: StructType, keys: list[str],
     return latest_by(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path), keys, order)
 
 
-def replay(raw: DataFrame, trace_id: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replay[T](raw: DataFrame, trace_id: str, run: Callable[[DataFrame], T]) -> T:
     """ST3: ``run`` again over the stored raw events of one trace."""
     return run(raw.where(F.col("trace_id") == trace_id))
 
