@@ -124,6 +124,48 @@ def verify(expected: DataFrame, actual: DataFrame, name: str) -> DataFrame:
     return both.withColumn("ok", F.col("actual") >= F.col("expected"))
 
 
+#: Leaves of a hash tree, and how many of its children a node has.
+LEAVES, CHILDREN = 1 << 16, 1 << 8
+
+
+def hash_tree(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(level, node, n, folded, summed): order-free folds of row hashes by leaf of the keys (level 2), by LEAVES / CHILDREN
+    groups of leaves (level 1) and of all (level 0). One pass over ``df`` makes the leaves; the rest is made from those."""
+    rows = df.select(F.pmod(F.xxhash64(*keys), F.lit(LEAVES)).alias("node"), F.xxhash64(*sorted(df.columns)).alias("h"))
+    fold = [F.bit_xor("h").alias("folded"), F.sum(F.col("h").cast("decimal(38,0)")).alias("summed")]
+    leaves = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), *fold), "hash-leaves")
+    up = [F.sum("n").alias("n"), F.bit_xor("folded").alias("folded"), F.sum("summed").cast("decimal(38,0)").alias("summed")]
+    tree = leaves.select(F.lit(2).alias("level"), "node", "n", "folded", F.col("summed").cast("decimal(38,0)").alias("summed"))
+    tree = tree.unionByName(leaves.groupBy(F.floor(F.col("node") / CHILDREN).cast("long").alias("node")).agg(*up).select(F.lit(1).alias("level"), "*"))
+    return tree.unionByName(leaves.agg(*up).na.fill(0, ["n"]).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"), "*"))
+
+
+def changed_nodes(a: DataFrame, b: DataFrame) -> list[int]:
+    """The leaves in which two hash trees differ, going down only where the nodes above differ. At most LEAVES numbers."""
+    both = a.select("level", "node", F.struct("n", "folded", "summed").alias("x")).join(b.select("level", "node", F.struct("n", "folded", "summed").alias("y")), ["level", "node"], "full_outer")
+    unlike = ~F.col("x").eqNullSafe(F.col("y"))
+    nodes = [0]
+    for level, children in ((0, None), (1, None), (2, CHILDREN)):
+        here = both.where((F.col("level") == level) & unlike)
+        if children:
+            here = here.where(F.floor(F.col("node") / children).isin(nodes))
+        nodes = sorted(r["node"] for r in here.select("node").collect())
+        if not nodes:
+            break
+    return nodes
+
+
+def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): rows that are added, removed or changed from one snapshot to the next; keys are unique.
+
+    The snapshots' hash trees name the leaves that differ; only rows of those leaves meet. If nothing differs, no rows do.
+    """
+    nodes = changed_nodes(hash_tree(before, keys), hash_tree(after, keys))
+    near = lambda df: df.select(*keys, F.xxhash64(*sorted(df.columns)).alias("h")).where(F.pmod(F.xxhash64(*keys), F.lit(LEAVES)).isin(nodes) if nodes else F.lit(False))
+    both = near(before).withColumnRenamed("h", "_a").join(near(after).withColumnRenamed("h", "_b"), keys, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return both.select(*keys, F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def _hash(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .upsert import upsert
@@ -29,6 +32,39 @@ def stage_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "stage", "attempt").agg(started.alias("started_at"), (F.unix_millis(ended) - F.unix_millis(started)).alias("duration_ms"), F.count("*").alias("records_in"), F.count_if(F.col("ok")).alias("records_out"), F.when(F.bool_and("ok"), "completed").otherwise("failed").alias("status"), F.min_by("error", F.when(~F.col("ok"), F.col("ts"))).alias("error"))
 
 
+STAGES = "run_id string, stage string, place int, started_at timestamp, duration_ms long, status string, records_out long, failed long, error string"
+
+
+class StageLog:
+    """O3: the stages of a run, each written and counted in one action, and what each came to."""
+
+    def __init__(self, spark: SparkSession, path: str, run_id: str):
+        self.spark, self.path, self.run_id, self.place = spark, path, run_id, 0
+
+    def run(self, stage: str, rows: DataFrame, **counts: Column) -> DataFrame:
+        """Write ``rows`` as the result of a stage and read them back.
+
+        ``counts`` (of which ``failed`` is kept by that name) are observed while the rows are written. The stage's row goes
+        to the log as soon as it ends; a stage that fails leaves its error there, and raises it.
+        """
+        watch, place, began = Observation(), f"{self.path}/{self.run_id}/{self.place:03d}-{stage}", time.time()
+        self.place += 1
+        try:
+            rows.observe(watch, F.count(F.lit(1)).alias("records_out"), *[c.alias(name) for name, c in counts.items()]).write.parquet(place)
+        except Exception as error:
+            self._note(stage, began, "failed", None, None, str(error)[:2000])
+            raise
+        self._note(stage, began, "succeeded", watch.get["records_out"], watch.get.get("failed"), None)
+        return self.spark.read.schema(rows.schema).parquet(place)
+
+    def _note(self, stage: str, began: float, status: str, records: int | None, failed: int | None, error: str | None) -> None:
+        row = (self.run_id, stage, self.place, datetime.fromtimestamp(began, UTC), int((time.time() - began) * 1000), status, records, failed, error)
+        self.spark.createDataFrame([row], STAGES).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def stages(self) -> DataFrame:
+        return self.spark.read.schema(STAGES).parquet(f"{self.path}/log")
+
+
 def put_stages(stages: DataFrame, new: DataFrame) -> DataFrame:
     """O3: idempotent for each attempt."""
     return upsert(stages, new, ["run_id", "stage", "attempt"], ["started_at"])

@@ -17,7 +17,7 @@ from kinloom.session import shared_path
 from kinloom.streaming import flows
 
 from .fixtures import AS_OF, ASKED, CONTACTS, INTER, KNOWS, PEOPLE, Tables
-from .ingest import BOTH, CANON
+from .ingest import BOTH, CANON, ROUTED
 from .registry import Registry
 
 reg = Registry()
@@ -160,6 +160,18 @@ def g15(t: Tables) -> DataFrame:
     return G.verify(want, G.part_counts({"Person": G.persons(t.entities.where("seq % 7 <> 0")), "User": users}, "label"), "label").drop("tenant_id")
 
 
+@query("g15_changes", f"""WITH {KNOWS}, o AS (SELECT from_id, to_id, row_number() OVER (ORDER BY from_id, to_id) AS r FROM knows)
+SELECT from_id, to_id, CASE r WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' END AS change FROM o WHERE r <= 2 UNION ALL SELECT 'nobody', from_id, 'added' FROM o WHERE r = 1""")
+def g15_changes(t: Tables) -> DataFrame:
+    """Among all KNOWS edges one is gone, one has another strength and one is new: the snapshots' hash trees name the three."""
+    edges = t.knows.select("from_id", "to_id", "strength", "interaction_count")
+    first, second = edges.orderBy("from_id", "to_id").limit(2).collect()
+    is_ = lambda r: (F.col("from_id") == r["from_id"]) & (F.col("to_id") == r["to_id"])
+    after = edges.where(~is_(first)).withColumn("strength", F.when(is_(second), F.col("strength") + 1).otherwise(F.col("strength")))
+    new = edges.where(is_(first)).select(F.lit("nobody").alias("from_id"), F.col("from_id").alias("to_id"), "strength", "interaction_count")
+    return G.changes(edges, after.unionByName(new), ["from_id", "to_id"])
+
+
 MIRROR = """hsh AS (
   SELECT 'Person' AS part, entity_id AS key, '{"domain":"' || split_part(email, '@', 2) || '","entity_id":"' || entity_id || '","location":"' || location || '","name":"' || name || '","primary_email":"' || email || '","seniority":"' || title || '","tenant_id":"t1"}' AS body FROM people
   UNION ALL SELECT 'User', user_id, '{"email":"' || email || '","name":"' || name || '","role":"' || role || '","tenant_id":"t1","user_id":"' || user_id || '"}' FROM usr
@@ -484,6 +496,24 @@ def o3(t: Tables) -> DataFrame:
     return M.put_stages(new, new).select("run_id", "stage", "duration_ms", "records_in", "records_out", "status", "error")
 
 
+@query("o3_observed", f"""WITH {BOTH}
+SELECT 'route' AS stage, 'succeeded' AS status, (SELECT count(*) FROM ({ROUTED})) AS records_out, (SELECT count(*) FROM ({ROUTED}) WHERE failure IS NOT NULL) AS failed, NULL AS error
+UNION ALL SELECT 'flatten', 'succeeded', (SELECT count(*) FROM contacts), (SELECT count(*) FROM contacts WHERE warnings <> ''), NULL
+UNION ALL SELECT 'enrich', 'succeeded', (SELECT count(*) FROM contacts), 0, NULL
+UNION ALL SELECT 'break', 'failed', NULL, NULL, 'DIVIDE_BY_ZERO'""")
+def o3_observed(t: Tables) -> DataFrame:
+    """Stages that write what they make and are counted by that very write; the last one fails."""
+    log = M.StageLog(t.spark, shared_path(t.spark, "stages"), "run1")
+    routed = log.run("route", C.route(t.raw), failed=F.count_if(F.col("failure").isNotNull()))
+    flat = log.run("flatten", C.flatten_contacts(routed), failed=F.count_if(F.size("warnings") > 0))
+    rich = log.run("enrich", C.enrich_contacts(flat), failed=F.count_if(F.size("warnings") == 0))
+    try:
+        log.run("break", rich.withColumn("x", F.lit(1) / (F.size("tags") * 0)), failed=F.count_if(F.lit(False)))
+    except Exception:  # noqa: BLE001
+        pass
+    return log.stages().select("stage", "status", "records_out", "failed", F.nullif(F.regexp_extract("error", r"\[([A-Z_]+)", 1), F.lit("")).alias("error"))
+
+
 @query("o4_summary", f"WITH {RUNS} SELECT run_id, count(*) AS stages, count(*) FILTER (status = 'failed') AS failed_stages, CAST(sum(records_in) AS BIGINT) AS records_in, CAST(sum(records_out) AS BIGINT) AS records_out, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, string_agg(stage || ':' || status || ':' || records_out, ',' ORDER BY started, stage) AS by_stage FROM st GROUP BY run_id")
 def o4(t: Tables) -> DataFrame:
     each = F.transform("by_stage", lambda s: F.concat_ws(":", s["stage"], s["status"], s["records_out"].cast("string")))
