@@ -1,6 +1,7 @@
 """Every stage of the pipeline against a plain version of it, over planted and awkward rows, and run() as a whole."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
