@@ -72,7 +72,7 @@ class _Live(StatefulProcessor):
         self.handle = handle
         self.since = handle.getValueState("since", "at long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([df.iloc[:, -1].to_numpy(np.int64) for df in rows]))
         live = self.since.get()[0] if self.since.exists() else None
         found, at = [], 0
@@ -88,9 +88,9 @@ class _Live(StatefulProcessor):
             self.handle.registerTimer(-(-(live + self.lifetime) // 1000))
             yield pd.DataFrame({"_key": [str(key[0])] * len(found), "_us": found})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A timer of an earlier stretch may come after a later one has begun.
-        if self.since.exists() and self.since.get()[0] + self.lifetime <= expired.getExpiryTimeInMs() * 1000:
+        if self.since.exists() and self.since.get()[0] + self.lifetime <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
             self.since.clear()
         return iter(())
 
