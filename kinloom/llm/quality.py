@@ -143,15 +143,20 @@ class Network:
                 p[n] = (p[n] - rate * (first[n] / (1 - 0.9**k)) / (np.sqrt(second[n] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, most_passages: int = 256) -> Network | None:
     """Learn from about ``per_label`` of the ``labels`` (doc_id, label) of each value, 0 and 1. None if a label has no row.
 
-    Labels are drawn before texts are looked up, so only the bounded draw is broadcast and texts aren't shuffled.
+    Of a text that has more than ``most_passages`` passages so many are learned from, at even distances; so the driver gets
+    at most 2 * per_label * most_passages of N_FEATURES numbers. Scoring reads all passages of every text. Labels are drawn before texts are looked up, so only the bounded draw is broadcast and texts aren't shuffled.
     """
 
+    def learned(passages: np.ndarray) -> np.ndarray:
+        n = len(passages)
+        return passages if n <= most_passages else passages[np.linspace(0, n - 1, most_passages).round().astype(int)]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([encode(t).astype("<f4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([learned(encode(t)).astype("<f4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["label", "x"])
 
     drawn = bounded_sample(labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", "label", per_label)
     got = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), drawn, "doc_id").select("text", "label").mapInArrow(work, "label int, x binary").toPandas().sort_values(["label", "x"])
