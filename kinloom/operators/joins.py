@@ -42,3 +42,32 @@ def split_join(few: DataFrame, rows: DataFrame, few_key: str, key: str, heavy: D
     copies = few.join(held, F.col(few_key) == F.col("_heavy"), "left")
     copies = copies.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("_heavy", "parts")
     return copies.join(dealt, (F.col(few_key) == F.col(key)) & (F.col("_of") == F.col("_part"))).drop("_of", "_part")
+
+
+#: Bits of one bitmap (fixed: what Spark's bitmap functions make), and bits for each key of a filter.
+BITMAP, BITS_A_KEY = 1 << 15, 10
+
+
+def key_filter(keys: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, int] | None:
+    """(_block, _bits) of the hashes of all keys and how many bits there are; None if it would take more than ``limit`` bytes.
+
+    Bitmaps are made and merged by an aggregate. A key that is there always has its bit; another one has in about a tenth of
+    cases.
+    """
+    bits = BITMAP * max(1, -(-keys.count() * BITS_A_KEY // BITMAP))
+    if bits // 8 > limit:
+        return None
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return keys.where(F.col(key).isNotNull()).select(F.floor(place / BITMAP).alias("_block"), F.pmod(place, F.lit(BITMAP)).alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")), bits
+
+
+def may_hold(rows: DataFrame, key: str, made: tuple[DataFrame, int] | None, name: str) -> DataFrame:
+    """``rows`` with ``name``: false where the key is surely not among those of key_filter(); nothing is shuffled for it."""
+    if made is None:
+        return rows.withColumn(name, F.lit(True))
+    table, bits = made
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.pmod(place, F.lit(BITMAP)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    return rows.withColumn("_block", F.floor(place / BITMAP)).join(F.broadcast(table), "_block", "left").withColumn(name, found).drop("_block", "_bits")

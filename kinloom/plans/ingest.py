@@ -122,7 +122,7 @@ def s7(t: Tables) -> DataFrame:
 
 @query("s8_raw_by_trace", f"WITH {CONTACTS} SELECT 'tr' || raw_event_id % 10 AS trace_id, raw_event_id, sid AS source_event_id FROM ckind WHERE raw_event_id % 10 = 1")
 def s8(t: Tables) -> DataFrame:
-    return t.raw_contacts.where("trace_id = 'tr1'").select("trace_id", "raw_event_id", "source_event_id").orderBy("raw_event_id")
+    return S.of_trace(t.raw_contacts, "tr1", "trace_id", "raw_event_id", "source_event_id")
 
 
 CANON = f"SELECT raw_event_id, 'contact' AS event_type, sid AS source_event_id, full_name AS label FROM contacts UNION ALL SELECT raw_event_id, 'email_message', sid, coalesce(subject, '') FROM mail UNION ALL SELECT raw_event_id, 'calendar_event', sid, coalesce(summary, '') FROM meet"
@@ -146,13 +146,14 @@ def s9(t: Tables) -> DataFrame:
 
 @query("s10_canonical_by_trace", f"WITH {BOTH} SELECT * FROM ({CANON}) WHERE raw_event_id % 10 = 3")
 def s10(t: Tables) -> DataFrame:
-    return canonical(t).where(F.concat(F.lit("tr"), (F.col("raw_event_id") % 10).cast("string")) == "tr3").orderBy("raw_event_id")
+    rows = canonical(t).withColumn("trace_id", F.concat(F.lit("tr"), (F.col("raw_event_id") % 10).cast("string")))
+    return S.of_trace(rows, "tr3").drop("trace_id")
 
 
 @query("s11_tenant_scan", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def s11(t: Tables) -> DataFrame:
     """Market segments stand for tenants: the filter and the two columns reach the scan."""
-    return t.customer.where(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name")
+    return S.of_tenant(t.customer, "BUILDING", "c_custkey", "c_name", tenant_col="c_mktsegment")
 
 
 @query("s14_payload_size", "SELECT event_id, CAST(strlen(props) AS INTEGER) AS payload_size_bytes FROM events")

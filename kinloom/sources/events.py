@@ -120,3 +120,15 @@ def cursor(events: DataFrame, keys: list[str]) -> DataFrame:
 def after_cursor(events: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Events beyond their key's mark, or of keys without one."""
     return events.join(marks, keys, "left").where(F.col("last_event_at").isNull() | (F.col("occurred_at") > F.col("last_event_at"))).drop("last_event_at")
+
+
+def of_trace(rows: DataFrame, trace_id: str, *columns: str) -> DataFrame:
+    """The raw or canonical events of one trace, in order; the filter and the columns reach the scan."""
+    found = rows.where(F.col("trace_id") == trace_id)
+    return (found.select(*columns) if columns else found).orderBy("raw_event_id")
+
+
+def of_tenant(rows: DataFrame, tenant: str, *columns: str, tenant_col: str = "tenant_id") -> DataFrame:
+    """A tenant's rows; the filter and the columns reach the scan."""
+    found = rows.where(F.col(tenant_col) == tenant)
+    return found.select(*columns) if columns else found

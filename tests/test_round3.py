@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom import session
-from kinloom.operators import canonical, documents, entities, graph, metrics, relations
+from kinloom.operators import canonical, documents, entities, graph, joins, metrics, relations
 from kinloom.session import shared_path
 from kinloom.streaming import flows
 
@@ -93,3 +93,15 @@ def test_lifetimes_end_by_timers(spark):
         got = sorted(((r.k, r.s) for r in kept.select("k", F.unix_seconds("first_at").alias("s")).collect()), key=str)
     # a: new at 90, so alive to 110; 111 is new again; 1001 is new; 1 is behind the watermark of 500.
     assert got == sorted([("a", 90), ("b", 100), (None, 5), ("a", 111), ("b", 130), ("c", 1000), ("a", 1001)], key=str)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_key_filters_lose_nothing(spark, limit):
+    keys = spark.range(0, 30_000, 3).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    rows = spark.range(30_000).select(F.concat(F.lit("k"), "id").alias("key"), "id").unionByName(spark.createDataFrame([(None, -1)], "key string, id long"))
+    made = joins.key_filter(keys, "key", limit)
+    assert (made is None) == (limit == 0)
+    n = {(r.there, r.maybe): r["count"] for r in joins.may_hold(rows, "key", made, "maybe").groupBy((F.col("id") % 3 == 0).alias("there"), "maybe").count().collect()}
+    assert n.get((True, False), 0) == 0 and n[True, True] == 10_000
+    if made:
+        assert 0.02 < n[False, True] / 20_000 < 0.15
