@@ -577,6 +577,14 @@ def d17(t: Tables) -> DataFrame:
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+@query("d17_stemmed", None)
+def d17_stemmed(t: Tables) -> DataFrame:
+    """The same queries by stems: terms that differ by their endings match."""
+    terms = D.stems_of(D.inverted_index(t.benchmark, "item_id", "text")).select(F.col("id").alias("query_id"), "term")
+    found = D.match_terms(D.stems_of(D.inverted_index(t.documents, "doc_id", "text")), terms, t.documents.count(), 3)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 @query("d18_ttl", """
 WITH l AS (SELECT event_type AS namespace, user_id AS key, max(ts) AS t_s FROM events GROUP BY 1, 2)
 SELECT namespace, count(*) AS n FROM l WHERE t_s + INTERVAL 90 DAY > TIMESTAMP '2024-04-28 00:00:00' GROUP BY namespace""")
