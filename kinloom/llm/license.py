@@ -115,9 +115,12 @@ def _saved(block: str, k: int) -> tuple[int, float]:
     return saved, saved / alone
 
 
-@lru_cache(4096)
 def winners(block: str) -> tuple[int, ...]:
-    """The templates that save enough of a block, those that save most first. Copies of a block are ranked once."""
+    """The templates that save enough of a block, those that save most first. Copies of a short block are ranked once."""
+    return _remembered(block) if len(block) <= 1000 else _ranked(block)
+
+
+def _ranked(block: str) -> tuple[int, ...]:
     raw, (alone, *given) = block.encode(), _compressors()
     size = len(alone.compress(raw))
     ranked = sorted((len(c.compress(raw)) - size, k) for k, c in enumerate(given))
@@ -125,6 +128,9 @@ def winners(block: str) -> tuple[int, ...]:
     return tuple(k for more, k in ranked if -more >= least)
 
 
+_remembered = lru_cache(4096)(_ranked)
+
+
 def _windows(first: int, last: int, size: int, triggers: list[int]) -> set[tuple[int, int]]:
     """[from, to) of the overlapping windows of 1.5 times ``size`` over the words from ``first`` to ``last`` that have a trigger."""
     step, length = max(1, size // 4), size + size // 2

@@ -119,11 +119,11 @@ def test_compression_ranks(monkeypatch):
     gpl = "This work is licensed under the GNU General Public License, version 2."
     first = [license.TEMPLATES[k][0] for k in license.winners(gpl)]
     assert first[0] == "GPL-2.0" and "GPL-3.0" in first
-    license.winners.cache_clear()
+    license._remembered.cache_clear()
     plain = license._compressors()[0]
     monkeypatch.setattr(license, "_compressors", lambda: [plain] * (len(license.TEMPLATES) + 1))
     assert not license.winners(text) and not license.scan(text)  # with nothing saved there is no winner
-    license.winners.cache_clear()
+    license._remembered.cache_clear()
 
 
 def test_tags_and_names():
