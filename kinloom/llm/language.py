@@ -121,6 +121,7 @@ def fit(
 ) -> Model:
     """Learn from about ``per_language`` rows of each non-null language, of whole texts with a letter.
 
+    The 1,000 most frequent languages are learned; texts of others are given one of those.
     Fewer rows or languages give a smaller model; no rows give one that knows none and predicts ``und``. Rows are drawn by
     id and text; those that repeat both count once.
     """
