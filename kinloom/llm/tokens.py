@@ -155,6 +155,10 @@ def split_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return start
 
 
+#: Masks of the first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
 def _same_pieces(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code of each piece [start, end) of ``cp``, first piece of each code); pieces share a code only if they are equal.
 
@@ -166,12 +170,23 @@ def _same_pieces(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     first[code[::-1]] = np.arange(len(code))[::-1]
     again = np.nonzero(first[code] != np.arange(len(code)))[0]
     of = first[code[again]]
-    size, same = end[again] - start[again], end[of] - start[of]
-    other = size != same
-    again, of, size = again[~other], of[~other], size[~other]
-    at = np.repeat(start[again] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    unlike = np.nonzero(cp[at] != cp[at + np.repeat(start[of] - start[again], size)])[0]
-    wrong = np.concatenate([np.nonzero(first[code] != np.arange(len(code)))[0][other], again[np.unique(np.searchsorted(np.cumsum(size), unlike, "right"))]])
+    size = end[again] - start[again]
+    unlike = size != end[of] - start[of]
+    alike = np.nonzero(~unlike)[0]
+    if len(cp) and cp.max() < 256:
+        # Eight characters at each place, as one number: the first and the last eight are all of a piece of up to sixteen.
+        eight = np.ndarray(len(cp), "<u8", cp.astype(np.uint8).tobytes() + bytes(8), strides=(1,)).copy()
+        x, y, n = start[again[alike]], start[of[alike]], size[alike]
+        unlike[alike] = ((eight[x] ^ eight[y]) & _FIRST[np.minimum(n, 8)]) != 0
+        last = np.maximum(n - 8, 0)
+        unlike[alike] |= (n > 8) & (eight[x + last] != eight[y + last])
+        alike = alike[n > 16]
+    if len(alike):
+        n = size[alike]
+        at = np.repeat(start[again[alike]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        other = np.nonzero(cp[at] != cp[at + np.repeat(start[of[alike]] - start[again[alike]], n)])[0]
+        unlike[alike[np.unique(np.searchsorted(np.cumsum(n), other, "right"))]] = True
+    wrong = again[unlike]
     if len(wrong):
         code[wrong] = len(first) + np.arange(len(wrong))
         first = np.concatenate([first, wrong])
@@ -222,14 +237,13 @@ class Encoder(Known):
         super().__init__(most_pieces)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces that start with a space are encoded in one string: there, and nowhere else, a token starts with a space."""
-        plain = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1:2].isspace()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            start = np.nonzero(self.spaced[ids])[0]
-            self.put(part, ids, np.diff(start, append=len(ids)))
-        rest = [p for p in pieces if p[0] != " " or len(p) == 1 or p[1:2].isspace()]
+        """Pieces that start with a space are encoded many in a string: there, and nowhere else, a token starts with a space."""
+        plain, rest = [], []
+        for p in pieces:
+            (plain if p[0] == " " and len(p) > 1 and not p[1].isspace() else rest).append(p)
+        joined = self.tok.encode_batch_fast(["".join(plain[at : at + 64]) for at in range(0, len(plain), 64)], add_special_tokens=False)
+        ids = np.array([i for e in joined for i in e.ids], dtype=np.uint32)
+        self.put(plain, ids, np.diff(np.nonzero(self.spaced[ids])[0], append=len(ids)))
         found = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
         self.put(rest, np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64))
 
@@ -281,8 +295,12 @@ class Encoder(Known):
         pieces = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) + len(pieces) > self.most:
             self.forget()
-        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-        of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[code]
+        found = list(map(self.known.get, pieces))
+        if new := [at for at, k in enumerate(found) if k is None]:
+            self._learn(list(dict.fromkeys(pieces[at] for at in new)))
+            for at in new:
+                found[at] = self.known[pieces[at]]
+        of = np.array(found, dtype=np.int64)[code]
         ids, length = self.ids(of)
         per_text = np.bincount(text, weights=length, minlength=n_texts).astype(np.int64)
         return np.split(ids, np.cumsum(per_text)[:-1])
