@@ -116,15 +116,18 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE {old}")
         self.names[name] = table
 
-    def _sorted(self, work: Callable[[], None]) -> None:
-        """A run has one file a bucket, so Spark may take its order for granted."""
+    def _sorted(self, work: Callable[[], None], session: SparkSession | None = None) -> None:
+        """A run has one file a bucket, so Spark may take its order for granted, in the session of a stream's batch, too."""
         key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, "true")
+        sessions = [self.spark, *([session] if session is not None else [])]
+        before = [s.conf.get(key) for s in sessions]
+        for s in sessions:
+            s.conf.set(key, "true")
         try:
             work()
         finally:
-            self.spark.conf.set(key, before)
+            for s, value in zip(sessions, before, strict=True):
+                s.conf.set(key, value)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -155,7 +158,7 @@ class LineRuns:
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
 
-        self._sorted(work)
+        self._sorted(work, counts.sparkSession)
         self._commit(batch)
 
     def _merge(self, first: str, second: str, name: str) -> None:
