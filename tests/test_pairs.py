@@ -1,8 +1,11 @@
 """Pairs of orders, mail and meetings: made where they are read, in parts of bounded rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from kinloom import session
+from kinloom.operators import relations
 from kinloom.plans import fixtures, graphs
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +19,35 @@ def test_pairs_of_orders_are_made_where_they_are_read(spark, monkeypatch):
     assert t.order_people.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     want = {(r["from_id"], r["to_id"]): sorted(r["kinds"]) for r in t.pair_facts.groupBy("from_id", "to_id").agg(F.collect_set("kind").alias("kinds")).collect()}
     assert known == want and {tuple(v) for v in want.values()} == {("email", "meeting"), ("meeting",)}
+
+
+def test_events_become_pairs_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "FILE_ROWS", 37)
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001/.")
+    pairs = t.interactions
+    assert not [k for k in session._kept if "interactions" in k]
+    sizes = [r["n"] for r in t.meetings.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) <= 37
+    assert pairs.count() == t.pair_facts.count()
+
+
+def test_addresses_are_read_before_attendees_are_paired(spark):
+    meetings = spark.createDataFrame([("t", "cal", 1, "s", "e1", [" A@x.y", "Bo <b@x.y>", "a@x.y ", "", None, "b@x.y"])], "tenant_id string, source string, occurred_at long, summary string, source_event_id string, attendees array<string>")
+    found = relations.from_meetings(meetings)
+    got = sorted((r["actor"], r["target"]) for r in found.collect())
+    assert got == sorted([("a@x.y", "b@x.y"), ("b@x.y", "a@x.y")] * 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[: plan.rindex("Generate")]
+
+
+def test_latest_evidence_against_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = [("t", "m", rng.choice(["email", "meeting"]), rng.randrange(40), f"a{rng.randrange(4)}", f"b{rng.randrange(3)}", None, f"e{k}") for k in range(300)] + [("u", "m", "email", 1, "a0", "b0", "x", "e")]
+    df = spark.createDataFrame(rows, "tenant_id string, source string, touchpoint_type string, occurred_at long, actor string, target string, topic string, source_event_id string")
+    made = relations.evidence(df.repartition(5))
+    want = {}
+    for r in rows:
+        want.setdefault((r[0], r[4], r[5]), []).append((r[3], r[2], r[7]))
+    got = {(r["tenant_id"], r["actor"], r["target"]): [(e["occurred_at"], e["touchpoint_type"], e["source_event_id"]) for e in r["evidence"]] for r in made.collect()}
+    assert got == {k: sorted(v)[-5:] for k, v in want.items()}
+    assert "_actor" in made._jdf.queryExecution().optimizedPlan().toString()
