@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kinloom import session
-from kinloom.operators import relations
+from kinloom.operators import canonical, relations
 from kinloom.plans import fixtures, graphs
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,11 @@ def test_latest_evidence_against_a_plain_version(spark):
     got = {(r["tenant_id"], r["actor"], r["target"]): [(e["occurred_at"], e["touchpoint_type"], e["source_event_id"]) for e in r["evidence"]] for r in made.collect()}
     assert got == {k: sorted(v)[-5:] for k, v in want.items()}
     assert "_actor" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    raw = spark.createDataFrame([(1, "gmail", '{"payload":{"headers":[{"name":"SUBJECT","value":"a"},{"name":"subject","value":7},{"name":"From","value":"x@y"},{"name":"subject","value":"b"}]}}'), (2, "gmail", '{"payload":{"headers":["x"]}}'), (3, "gmail", "[1]"), (4, "gmail", "nul")], "raw_event_id long, source string, payload string")
+    raw = raw.select("*", F.lit("t").alias("tenant_id"), F.lit("u").alias("user_id"), F.lit("e").alias("source_event_id"), F.lit(0).cast("timestamp").alias("occurred_at"))
+    mail = canonical.flatten_mail(canonical.route(raw))
+    assert [(r["raw_event_id"], r["subject"], r["sender"]) for r in mail.collect()] == [(1, "b", "x@y")]
+    assert mail._jdf.queryExecution().optimizedPlan().toString().count("Parse") + mail._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2
