@@ -59,3 +59,14 @@ def test_payloads_are_parsed_once(spark):
     mail = canonical.flatten_mail(canonical.route(raw))
     assert [(r["raw_event_id"], r["subject"], r["sender"]) for r in mail.collect()] == [(1, "b", "x@y")]
     assert mail._jdf.queryExecution().optimizedPlan().toString().count("Parse") + mail._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2
+
+
+def test_facts_shuffle_only_wanted_columns(spark):
+    rows = [("t", "m", "email", 1, "a@x", "b@x", "hi", "e1"), ("t", "m", "email", 1, "a@x", "b@x", "ho", "e2"), ("t", "m", "email", 2, "a@x", "b@x", "ho", "e3"), ("t", "m", "email", 1, "a@x", "no@x", "hi", "e4")]
+    inter = spark.createDataFrame(rows, "tenant_id string, source string, touchpoint_type string, occurred_at long, actor string, target string, topic string, source_event_id string")
+    people = spark.createDataFrame([("t", "a@x", "A"), ("t", "b@x", "B")], "tenant_id string, primary_email string, entity_id string")
+    few = relations.facts(inter, people, ())
+    assert few.columns == ["tenant_id", "actor_id", "target_id", "touchpoint_type", "occurred_at", "source_event_id"]
+    assert sorted(map(tuple, few.collect())) == [("t", "A", "B", "email", 1, "e2"), ("t", "A", "B", "email", 2, "e3")]
+    whole = relations.facts(inter, people)
+    assert {(r["source_event_id"], r["topic"], r["actor"], r["target_id"]) for r in whole.collect()} == {("e2", "ho", "a@x", "B"), ("e3", "ho", "a@x", "B")}
