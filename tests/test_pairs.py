@@ -70,3 +70,10 @@ def test_facts_shuffle_only_wanted_columns(spark):
     assert sorted(map(tuple, few.collect())) == [("t", "A", "B", "email", 1, "e2"), ("t", "A", "B", "email", 2, "e3")]
     whole = relations.facts(inter, people)
     assert {(r["source_event_id"], r["topic"], r["actor"], r["target_id"]) for r in whole.collect()} == {("e2", "ho", "a@x", "B"), ("e3", "ho", "a@x", "B")}
+
+
+def test_contacts_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "FILE_ROWS", 40)
+    t = fixtures.Tables(spark, SF)
+    parts = t.contact_items.where("raw_event_id % 10 = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 2 and sum(r["count"] for r in parts) == t.people.count()
