@@ -132,19 +132,30 @@ def by_name(people: DataFrame, queries: DataFrame, needle: str = "needle") -> Da
     return holding(people, ["name", "primary_email"], queries, needle)
 
 
-def decorate(found: DataFrame, edges: DataFrame, works: DataFrame, companies: DataFrame) -> DataFrame:
+#: What decorate() adds.
+DECORATION = ("strength", "interaction_count", "last_at", "company_id", "company_name", "company_domain", "degree", "shared_connections")
+
+
+def decorate(found: DataFrame, edges: DataFrame, works: DataFrame, companies: DataFrame, columns: tuple[str, ...] = DECORATION) -> DataFrame:
     """What search returns of each person: employer, and the KNOWS edge from the query's anchor, degree and shared connections.
 
     found: (…, entity_id, anchor); each query has its own anchor, the person of who asks. Several edges or employers of a
-    person give several rows.
+    person give several rows. columns: those of DECORATION that are wanted; others aren't made.
     """
     found = materialise(found, "found")
     anchors = side(materialise(found.select("anchor").distinct(), "anchors"))
-    own = edges.join(anchors, F.col("from_id") == F.col("anchor")).select("anchor", F.col("to_id").alias("entity_id"), "strength", "interaction_count", "last_at")
-    out = found.join(own, ["anchor", "entity_id"], "left").join(works.select("entity_id", "company_id"), "entity_id", "left")
-    out = out.join(companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain")), "company_id", "left")
-    out = out.join(G.degree(edges), "entity_id", "left").join(G.shared(edges, anchors), ["anchor", "entity_id"], "left")
-    return out.na.fill(0, ["degree", "shared_connections"])
+    out, want = found, set(columns)
+    if want & {"strength", "interaction_count", "last_at"}:
+        own = edges.join(anchors, F.col("from_id") == F.col("anchor")).select("anchor", F.col("to_id").alias("entity_id"), *[c for c in ("strength", "interaction_count", "last_at") if c in want])
+        out = out.join(own, ["anchor", "entity_id"], "left")
+    if want & {"company_id", "company_name", "company_domain"}:
+        out = out.join(works.select("entity_id", "company_id"), "entity_id", "left")
+        out = out.join(companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain")), "company_id", "left")
+    if "degree" in want:
+        out = out.join(G.degree(edges), "entity_id", "left").na.fill(0, ["degree"])
+    if "shared_connections" in want:
+        out = out.join(G.shared(edges, anchors), ["anchor", "entity_id"], "left").na.fill(0, ["shared_connections"])
+    return out.select(*found.columns, *[c for c in DECORATION if c in want])
 
 
 def top(found: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -234,8 +245,8 @@ def run(queries: DataFrame, people: DataFrame, edges: DataFrame, works: DataFram
     found = decorate(by_mail.unionByName(by_dom).unionByName(named).unionByName(general), edges, works, companies)
     found = people_search(found, k).withColumn("path_length", F.lit(None).cast("int"))
     intro = asked.where("intent = 'intro_path'")
-    reach = G.shortest_paths(edges, intro.select("anchor").distinct(), most_steps).where("path_length > 0")
-    met = intro_search(decorate(needle(intro, F.col("target_name")), edges, works, companies), reach, k)
+    led = materialise(decorate(needle(intro, F.col("target_name")), edges, works, companies), "led-to")
+    met = intro_search(led, G.paths_between(edges, led, most_steps).where("path_length > 0"), k)
     persons = found.unionByName(met.select(*found.columns)).withColumns({"result_type": F.lit("persons"), "result_id": F.col("entity_id")})
     firms = asked.where("intent = 'company_search'").select(*head, F.col("q_company").alias("company"), "q_domain")
     firms = company_search(companies, works, firms, k).withColumns({"result_type": F.lit("companies"), "result_id": F.col("company_id")})
